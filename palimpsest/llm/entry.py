@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, simhash, topk
+from . import ann, langid, simhash, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,26 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held & F.col("doc_id").isNotNull()), "doc_id", "text", "lang")
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+#: The contract's rules, and the host words by which URLs are labelled for training.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+BAD_HOST_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    bad = F.lower(host).rlike(r"(^|[.-])(" + "|".join(BAD_HOST_WORDS) + r")([.-]|$)")
+    model = urls.fit(pages.select("url", bad.cast("int").alias("blocked")), "url", "blocked")
+    return urls.judge(pages, model, URL_RULES)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -40,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op8_topk, op10_simhash)}
+    return {f.__name__: f for f in (op1_ann, op5_langid, op7_urls, op8_topk, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
