@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, simhash, topk, urls
+from . import ann, langid, mixing, quality, sharding, simhash, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,42 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return found.select("doc_id", "n_bytes", "depth", "prefix", "shard_bytes", "shard_rows")
+
+
+#: Buckets at every depth up to 20 bits; a row's shard is the shallowest that fits (deeper ones aren't needed at this size).
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+paths AS (SELECT doc_id, n_bytes, depth::INTEGER AS depth, h >> (60 - depth)::INTEGER AS prefix FROM d, generate_series(0, 20) g(depth)),
+sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_rows FROM paths GROUP BY ALL)
+SELECT doc_id, n_bytes, depth, prefix::VARCHAR AS prefix, shard_bytes, shard_rows
+FROM paths JOIN sums USING (depth, prefix) WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "copy", "shuffle_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP6_SQL = """
+WITH sizes AS (SELECT source, sum(strlen(text))::DOUBLE AS bytes FROM documents GROUP BY source),
+rates AS (SELECT source, sum(bytes) OVER () * pow(bytes, 0.5) / sum(pow(bytes, 0.5)) OVER () / bytes AS rate FROM sizes),
+cdf AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+        FROM rates, generate_series(0, 60) g(k)),
+drawn AS (SELECT doc_id, source, text, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+counted AS (SELECT doc_id, drawn.source, any_value(text) AS text, count(*) FILTER (u >= p) AS n FROM drawn JOIN cdf ON drawn.source = cdf.source GROUP BY ALL)
+SELECT doc_id, source, copy::INTEGER AS copy, md5('mix:' || doc_id || ':' || copy) AS shuffle_key, md5(text) AS text_md5
+FROM (SELECT doc_id, source, text, unnest(generate_series(1, n)) AS copy FROM counted)
+"""
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -54,14 +90,19 @@ FROM pairs QUALIFY rank <= 5
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op5_langid, op7_urls, op8_topk, op10_simhash)}
+    return {f.__name__: f for f in (op1_ann, op2_shards, op5_langid, op6_mix, op7_urls, op8_topk, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8_SQL}
+    return {"op2_shards": OP2_SQL, "op6_mix": OP6_SQL, "op8_topk": OP8_SQL}
