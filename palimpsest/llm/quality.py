@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation over the counts of vote
-patterns (all rows, at most 3^9 patterns) estimates how each labeller votes on good and on bad texts; the posterior of a
+patterns (all rows, at most 3^10 patterns) estimates how each labeller votes on good and on bad texts; the posterior of a
 pattern is the label of its texts. Those labels train a linear scorer on hashed features (word shapes and repetition) by
 logistic regression in numpy, on a bounded sample of SAMPLE rows. The scorer decides on every whole text.
 """
@@ -39,6 +39,11 @@ def _vote(value: float, good: float, bad: float) -> int:
     return 2 if value <= good else 1 if value >= bad else 0
 
 
+def _same(words: list[bytes]) -> float:
+    """The share of words that equal the word before."""
+    return sum(a == b for a, b in zip(words, words[1:])) / len(words)
+
+
 def votes(words: list[bytes], raw: bytes) -> int:
     """The labellers' votes as base-3 digits. A text without words has no votes but that it is empty."""
     n = len(words)
@@ -60,11 +65,12 @@ def votes(words: list[bytes], raw: bytes) -> int:
         _vote(1 - len(counts) / n, 0.5, 0.7) if n <= 2000 else 0,
         _vote(1 - len(repeats) / len(lines), 0.1, 0.4) if len(lines) >= 5 else 0,
         _vote(abs(len(raw) / n - 6.5), 3.0, 8.0) if n >= 20 else 0,
+        _vote(_same(words), 0.04, 0.12) if n >= 8 else 0,
     ]
     return sum(v * 3**i for i, v in enumerate(cast))
 
 
-LABELLERS = 9
+LABELLERS = 10
 
 
 def features(words: list[bytes], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +78,16 @@ def features(words: list[bytes], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     if not n:
         return np.array([zlib.crc32(b"empty") % BUCKETS], np.int64), np.ones(1)
-    shapes = Counter(RUNS.sub(lambda m: m[0][:2], raw.translate(SHAPES)).split())
+    shape = raw.translate(SHAPES)
+    shapes = Counter(RUNS.sub(lambda m: m[0][:2], shape).split())
     out = Counter()
-    for s, c in shapes.items():
-        out[zlib.crc32(b"shape " + s[:24]) % BUCKETS] += c / n
-        out[zlib.crc32(b"end " + s[-1:]) % BUCKETS] += c / n
+    for w, c in shapes.items():
+        out[zlib.crc32(b"shape " + w[:24]) % BUCKETS] += c / n
+    up, low = shape.count(b"A"), shape.count(b"a")
     counts = Counter(words)
-    same = sum(a == b for a, b in zip(words, words[1:])) / n
-    out[zlib.crc32(b"same") % BUCKETS] += same
-    out[zlib.crc32(b"top") % BUCKETS] += counts.most_common(1)[0][1] / n if n >= 20 else 0
+    rates = {"same": _same(words) * 4, "up": up / max(1, up + low), "symbol": len(SYMBOLS.findall(raw)) / n, "bang": raw.count(b"!") / n, "top": counts.most_common(1)[0][1] / n if n >= 20 else 0, "again": 1 - len(counts) / n if n >= 20 else 0}
+    for name, rate in rates.items():
+        out[zlib.crc32(f"{name} {min(9, int(rate * 10))}".encode()) % BUCKETS] += 1
     out[zlib.crc32(b"one") % BUCKETS] += 1
     return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
 
@@ -99,10 +106,10 @@ def posteriors(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     n = np.array([counts[c] for c in codes], np.float64)
     good = (digits == 2).sum(1) > 4 * (digits == 1).sum(1)
     p = np.where(good, 0.9, 0.1)
-    onehot = (digits[:, :, None] == np.arange(3)).astype(np.float64)
+    onehot = (digits[:, :, None] == np.arange(1, 3)).astype(np.float64)  # no vote is no evidence
     for _ in range(rounds):
         prior = np.clip((n * p).sum() / n.sum(), 0.02, 0.98)
-        told = np.zeros((2, LABELLERS, 3))
+        told = np.zeros((2, LABELLERS, 2))
         for y, w in enumerate((n * (1 - p), n * p)):
             told[y] = np.einsum("r,rjv->jv", w, onehot) + 0.5
             told[y] /= told[y].sum(1, keepdims=True)
@@ -149,7 +156,7 @@ def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[int, float], Scorer]:
     """The patterns' posteriors over all rows, and the scorer learnt from about `sample` rows, drawn by a hash of the id."""
-    counts = {r["pattern"]: r["count"] for r in label(df, id_col, text_col).groupBy("pattern").count().collect()}  # at most 3^9 rows
+    counts = {r["pattern"]: r["count"] for r in label(df, id_col, text_col).groupBy("pattern").count().collect()}  # at most 3^10 rows
     known = posteriors(counts)
     share = min(1.0, sample / max(1, sum(counts.values())))
     drawn = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) <= int(share * (1 << 30))).select(F.col(text_col).cast("string"))
