@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, quality, sharding, simhash, topk, urls
+from . import ann, langid, mixing, quality, sentencepiece, sharding, simhash, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,17 @@ FROM (SELECT doc_id, source, text, unnest(generate_series(1, n)) AS copy FROM co
 """
 
 
+#: The public vocabulary's model file; only the driver reads it.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece.decode_column(sentencepiece.encode_column(docs, model_path), model_path)
+    same = F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " "))
+    return both.select("doc_id", F.size("ids").alias("n_tokens"), sentencepiece.ids_digest("ids").alias("ids_sha256"), same.alias("round_trip"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -101,7 +112,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_shards, op5_langid, op6_mix, op7_urls, op8_topk, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_ann, op2_shards, op3_sentencepiece, op5_langid, op6_mix, op7_urls, op8_topk, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
