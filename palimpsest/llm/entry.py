@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, quality, sentencepiece, sharding, simhash, topk, urls
+from . import ann, langid, mixing, quality, sentencepiece, sharding, simhash, suffix_dedup, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
     return both.select("doc_id", F.size("ids").alias("n_tokens"), sentencepiece.ids_digest("ids").alias("ids_sha256"), same.alias("round_trip"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -112,7 +116,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_shards, op3_sentencepiece, op5_langid, op6_mix, op7_urls, op8_topk, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_ann, op2_shards, op3_sentencepiece, op4_suffix, op5_langid, op6_mix, op7_urls, op8_topk, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
