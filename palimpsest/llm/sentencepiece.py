@@ -312,7 +312,8 @@ def encode_column(df: DataFrame, model_path: str, text_col: str = "text", ids_co
     An ids_col that is already there is replaced. Repeated rows get the same ids; an empty table gives no rows.
     """
     df = df.drop(ids_col)
-    at, model = df.columns.index(text_col), df.sparkSession.sparkContext.broadcast(Model(model_path))
+    names = [*df.columns, ids_col]
+    at, model = names.index(text_col), df.sparkSession.sparkContext.broadcast(Model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = model.value.encoder()
@@ -322,7 +323,7 @@ def encode_column(df: DataFrame, model_path: str, text_col: str = "text", ids_co
                 found = encoder.encode(texts)
                 offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*df.columns, ids_col])
+                yield pa.RecordBatch.from_arrays([*b.columns, ids], names=names)
 
     return df.mapInArrow(run, f"{_ddl(df)}`{ids_col}` array<int>")
 
@@ -334,7 +335,8 @@ def _ddl(df: DataFrame) -> str:
 def decode_column(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df and the column text_col, the text of each row's ids; null ids have a null text. An old text_col is replaced."""
     df = df.drop(text_col)
-    at, model = df.columns.index(ids_col), df.sparkSession.sparkContext.broadcast(Model(model_path))
+    names = [*df.columns, text_col]
+    at, model = names.index(ids_col), df.sparkSession.sparkContext.broadcast(Model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
@@ -342,7 +344,7 @@ def decode_column(df: DataFrame, model_path: str, ids_col: str = "ids", text_col
             for b in _slices(whole):
                 col = b.column(at)
                 texts = [None if not v.is_valid else decode(own, v.values.to_numpy(zero_copy_only=False)) for v in col]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*df.columns, text_col])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(run, f"{_ddl(df)}`{text_col}` string")
 
