@@ -36,9 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, and whether they decode to it."""
-    both = sentencepiece.decode_column(sentencepiece.encode_column(docs.select("doc_id", "lang", "source", "text"), PIECE_MODEL), PIECE_MODEL)
-    same = F.col("decoded").eqNullSafe(F.translate("text", "▁", " "))
-    return both.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), same.alias("round_trip"))
+    found = sentencepiece.encode_column(docs, PIECE_MODEL, keep=["doc_id", "lang", "source"], check_col="round_trip")
+    return found.withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [

@@ -20,13 +20,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\\s]+|{SPACE}+|\\s")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 400_000
+CACHE = 200_000
+SLICE = 4_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -267,8 +268,7 @@ class Encoder:
         cut = [UNIT.findall((SPACE if self.m.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = set().union(*cut) - self.cache.keys()
-        self.learn(new)
+        self.learn({u for units in cut for u in units if u not in self.cache})
         return [b"".join(map(self.cache.__getitem__, units)) for units in cut]
 
 
@@ -301,31 +301,44 @@ def _table(model: Model) -> list[bytes]:
     return _TABLES[id(model)]
 
 
-def _slices(b: pa.RecordBatch, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    for at in range(0, b.num_rows, size):
-        yield b.slice(at, size)
+def _slices(b: pa.RecordBatch, at: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about `size` bytes together, so that their units fit in memory; one row at least."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False).tolist()):
+        held += n
+        if held >= size:
+            yield b.slice(first, i + 1 - first)
+            first, held = i + 1, 0
+    if first < b.num_rows:
+        yield b.slice(first)
 
 
-def encode_column(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df and the column ids_col, the ids of each whole text; null texts have null ids, empty ones none.
+def encode_column(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, check_col: str | None = None) -> DataFrame:
+    """df's columns (or those of `keep`) and the column ids_col, the ids of each whole text; null texts have null ids, empty ones none.
 
-    An ids_col that is already there is replaced. Repeated rows get the same ids; an empty table gives no rows.
+    check_col, if named, is a column that tells whether the ids decode to the text (for null texts: true). Columns of these names
+    that are already there are replaced. Repeated rows get the same ids; an empty table gives no rows.
     """
-    df = df.drop(ids_col)
-    names = [*df.columns, ids_col]
-    at, model = names.index(text_col), df.sparkSession.sparkContext.broadcast(Model(model_path))
+    df = df.drop(*[c for c in (ids_col, check_col) if c])
+    kept = [c for c in (keep or df.columns) if c in df.columns]
+    df = df.select(*kept, *([] if text_col in kept else [text_col]))
+    names = [*kept, ids_col, *([check_col] if check_col else [])]
+    at, n, model = df.columns.index(text_col), len(kept), df.sparkSession.sparkContext.broadcast(Model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = model.value.encoder()
+        own = model.value
+        encoder = own.encoder()
         for whole in batches:
-            for b in _slices(whole):
+            for b in _slices(whole, at):
                 texts = b.column(at).to_pylist()
                 found = encoder.encode(texts)
                 offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], names=names)
+                cols = [*b.columns[:n], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=pa.array([t is None for t in texts]))]
+                if check_col:
+                    cols.append(pa.array([t is None or decode(own, np.frombuffer(x, np.int32)) == t.replace(SPACE, " ") for t, x in zip(texts, found)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(run, f"{_ddl(df)}`{ids_col}` array<int>")
+    return df.mapInArrow(run, f"{_ddl(df.select(*kept))}`{ids_col}` array<int>" + (f", `{check_col}` boolean" if check_col else ""))
 
 
 def _ddl(df: DataFrame) -> str:
@@ -341,14 +354,9 @@ def decode_column(df: DataFrame, model_path: str, ids_col: str = "ids", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for whole in batches:
-            for b in _slices(whole):
-                col = b.column(at)
-                texts = [None if not v.is_valid else decode(own, v.values.to_numpy(zero_copy_only=False)) for v in col]
+            for first in range(0, whole.num_rows, 1024):
+                b = whole.slice(first, 1024)
+                texts = [None if not v.is_valid else decode(own, v.values.to_numpy(zero_copy_only=False)) for v in b.column(at)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(run, f"{_ddl(df)}`{text_col}` string")
-
-
-def ids_digest(ids: str) -> F.Column:
-    """SHA-256 of the ids, written as decimals with a space between."""
-    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
