@@ -70,7 +70,9 @@ class Model:
         for n, ids in by_length.items():
             key = _prefix_hashes(_codes([self.pieces[i] for i in ids], n))[:, -1]
             order = np.argsort(key)
-            self.keys[n] = key[order], np.array(ids)[order]
+            first_bits = np.zeros(1 << 16, bool)
+            first_bits[key >> np.uint64(48)] = True
+            self.keys[n] = key[order], np.array(ids)[order], first_bits
             if len(np.unique(key)) < len(key):
                 raise ValueError("two pieces share a key")
 
@@ -185,13 +187,15 @@ class Encoder:
             for size in m.sizes:
                 if size > end or not len(open_rows):
                     continue
-                keys, ids = m.keys[size]
+                keys, ids, first_bits = m.keys[size]
                 key = h[open_rows, end] - h[open_rows, end - size] * self.power[size]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == key)
+                hit = np.flatnonzero(first_bits[key >> np.uint64(48)])  # most substrings are no piece: seen without a search
                 if not len(hit):
                     continue
-                r, piece = open_rows[hit], ids[at[hit]]
+                at = np.minimum(np.searchsorted(keys, key[hit]), len(keys) - 1)
+                same = keys[at] == key[hit]
+                hit, at = hit[same], at[same]
+                r, piece = open_rows[hit], ids[at]
                 if m.bpe:
                     good = self.stands(back[r, end - size], piece)
                 else:
