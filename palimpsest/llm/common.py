@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests) one is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; where it is unset (local tests) one is made, for this process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return path.rstrip("/")
 
 
