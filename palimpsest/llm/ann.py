@@ -3,7 +3,7 @@
 Centroids come from hierarchical, balanced k-means on a bounded sample (SAMPLE distinct vectors, MAX_LISTS centroids).
 They are searched through an in-memory graph (each centroid's nearest centroids, both ways) with a batched beam. Every
 vector goes to its nearest list, and a boundary vector also to other lists whose centroid is almost as near (at most
-REPLICAS). A query reads the lists whose centroid distance is within a ratio of the nearest. Long lists are cut
+REPLICAS). A query reads the LEAST_PROBES nearest lists and those within a ratio of the nearest one's distance (at most PROBES). Long lists are cut
 into blocks and many queries of one list into query blocks, so a hot list or vector spreads over tasks, whole.
 Scores are exact cosines in double precision on the original vectors.
 """
@@ -26,7 +26,7 @@ LIST_ROWS = 160
 REPLICAS = 8
 CLOSURE = 1.15
 PROBE_RATIO = 1.15
-PROBES = 96
+PROBES, LEAST_PROBES = 96, 16
 DEGREE = 16
 BLOCK = 128
 QUERY_BLOCK = 1024
@@ -115,15 +115,15 @@ def beam(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, width: int) -> t
         ids[live], sims[live], done[live] = ids2[i, order], sims2[i, order], done2[i, order]
 
 
-def _chosen(vectors: np.ndarray, model, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list): the lists within `ratio` of the nearest, or of the usual distance if a centroid is nearer than that."""
+def _chosen(vectors: np.ndarray, model, width: int, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): the lists within `ratio` of the nearest, or of the usual distance if a centroid is nearer than that; the `least` nearest anyway."""
     centres, graph, usual = model
     rows, lists = [], []
     x = unit(vectors).astype(np.float32)
     step = max(16, min(512, (1 << 23) // max(1, len(centres))))
     for at in range(0, len(x), step):
         ids, far = beam(x[at : at + step], centres, graph, width)
-        r, c = np.nonzero(far <= ratio * np.maximum(far[:, :1], usual))
+        r, c = np.nonzero((far <= ratio * np.maximum(far[:, :1], usual)) | (np.arange(far.shape[1]) < least))
         rows.append(r + at)
         lists.append(ids[r, c])
     return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, np.int64),) * 2
@@ -162,7 +162,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, list_
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, lists = _chosen(matrix(b.column(1), width), model.value, PROBES, PROBE_RATIO)
+            row, lists = _chosen(matrix(b.column(1), width), model.value, PROBES, PROBE_RATIO, LEAST_PROBES)
             yield pa.RecordBatch.from_arrays([pa.array(lists), _take(b.column(0), row), _take(b.column(1), row)], names=["list", "id", "vec"])
 
     shape = f"list long, id long, vec {vec_type}"

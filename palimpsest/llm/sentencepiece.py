@@ -24,7 +24,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}\\s]+|{SPACE}+|\\s")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 200_000
 SLICE = 4_000_000
@@ -63,6 +62,8 @@ class Model:
         if any(set(p) - self.known or SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces must be made of single-character pieces and must not cross spaces")
         self.longest = max(map(len, self.ids))
+        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        self.alone = "".join(c for c in "\t\n\x0b\x0c\r" if c not in joined)  # white space that no longer piece holds ends a unit
         by_length = defaultdict(list)
         for i in normal:
             by_length[len(self.pieces[i])].append(i)
@@ -158,6 +159,8 @@ def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, model: Model):
         self.m, self.cache = model, {}
+        alone = re.escape(model.alone)
+        self.units = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
         self.pair_keys, self.pair_good = np.full(1 << 20, -1), np.zeros(1 << 20, bool)
         self.power = np.cumprod(np.r_[np.uint64(1), np.full(model.longest, BASE)], dtype=np.uint64)
 
@@ -269,7 +272,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers; null and empty texts have none."""
-        cut = [UNIT.findall((SPACE if self.m.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [self.units.findall((SPACE if self.m.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         self.learn({u for units in cut for u in units if u not in self.cache})
