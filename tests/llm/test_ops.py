@@ -591,3 +591,43 @@ def test_deduplicate_keeps_one_of_each(spark, prose):
     df = docs(spark, [prose(200), base, base, prose(200), base])
     out = simhash.deduplicate(df)
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 3] and out.columns == df.columns
+
+
+def test_wide_recall(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts, want = [], []
+    for i in range(150):
+        w = [rng.choice(vocab) for _ in range(300)]
+        other = list(w)
+        for at in rng.sample(range(300), rng.choice([1, 3, 5, 7])):
+            other[at] = rng.choice(vocab)
+        texts += [" ".join(w), " ".join(other)]
+        x, y = (set(simhash.shingle_hashes(t, 5)) for t in texts[-2:])
+        want.append(len(x & y) / len(x | y))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(clashing(docs(spark, texts))).collect()}
+    linked = [got[2 * i + 1] == 2 * i for i in range(150)]
+    assert not any(k and j < 0.8 for k, j in zip(linked, want))
+    assert np.mean([k for k, j in zip(linked, want) if j >= 0.8]) > 0.95
+    assert np.mean([k for k, j in zip(linked, want) if j >= 0.87]) > 0.98
+    assert all(got[2 * i] == 2 * i for i in range(150))
+
+
+def test_similar_groups_odd_rows(spark, prose):
+    base = prose(400)
+    texts = [base, base, base + " end", None, "", "one", "ONE", "two three"] + [prose(60) for _ in range(10)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(clashing(docs(spark, texts))).collect()}
+    assert got == {i: {1: 0, 2: 0, 4: 3, 6: 5}.get(i, i) for i in range(len(texts))}
+    assert simhash.similar_groups(docs(spark, [])).count() == 0
+
+
+def test_similar_groups_of_a_crowd(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(250)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        w[rng.randrange(250)] = f"x{i}"
+        texts.append(" ".join(w))
+    got = simhash.similar_groups(docs(spark, texts + ["something else entirely of its own kind"])).collect()
+    assert {r.component_id for r in got} == {0, 120}
