@@ -94,3 +94,18 @@ def redeem_status(status: Column, message: Column) -> Column:
         .when(status == 503, "validate_unavailable")
         .otherwise("network_error")
     )
+
+
+def megabytes(size: Column) -> Column:
+    """Bytes as MB with one decimal; nothing for none."""
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "").otherwise(F.format_string("%.1f MB", size / (1024 * 1024)))
+
+
+def acquired(ts: Column, width: int = 15) -> Column:
+    """`May 16  2:30 AM`: date to the left and time to the right of a fixed width."""
+    date, time = F.date_format(ts, "MMM d"), F.date_format(ts, "h:mm a")
+    return F.concat(date, F.repeat(F.lit(" "), F.greatest(F.lit(1), F.lit(width) - F.length(date) - F.length(time))), time)
+
+
+def date_time(ts: Column) -> Column:
+    return F.date_format(ts, "M/d/yyyy, h:mm a")

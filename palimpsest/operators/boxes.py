@@ -84,3 +84,9 @@ def ui_groups(items: DataFrame) -> DataFrame:
     """(type, n_items, total, items): items by count then first seen; of items (type, value, count, seq)."""
     key = F.struct((-F.col("count")).alias("c"), "seq", "value", "count")
     return items.groupBy("type").agg(F.count(F.lit(1)).alias("n_items"), F.sum("count").alias("total"), F.transform(F.array_sort(F.collect_list(key)), lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))).alias("items"))
+
+
+def reading_order(boxes: Column) -> Column:
+    """array<struct<page_num, x, y, w, h>> from page to page, top to bottom, left to right."""
+    keyed = F.transform(boxes, lambda b: F.struct(b["page_num"].alias("p"), b["y"].alias("y"), b["x"].alias("x"), b.alias("b")))
+    return F.transform(F.array_sort(keyed), lambda k: k["b"])

@@ -248,3 +248,17 @@ def newest(purchases: DataFrame, most: int = 10) -> DataFrame:
 def pending_migrations(files: DataFrame, applied: DataFrame) -> DataFrame:
     """Migration files (.sql) that were not applied, in order of name."""
     return files.where(F.col("filename").endswith(".sql")).join(applied.select("filename"), "filename", "left_anti").orderBy("filename")
+
+
+def penalty_notices(penalties: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """Penalties to show: charged, and whose lease the client has not dismissed. One row for each client and lease."""
+    new = penalties.where("charged > 0").join(dismissed.select("client", "lease_issued_at"), ["client", "lease_issued_at"], "left_anti")
+    return new.groupBy("client", "lease_issued_at").agg(F.max("charged").alias("charged"))
+
+
+def purchases_detected(before: DataFrame, polls: DataFrame) -> DataFrame:
+    """(client, at): the first poll in which what is left of prepaid pages is more than before (nothing, if unknown)."""
+    was = before.select("client", remaining(F.col("granted"), F.col("usage")).alias("was"))
+    now = polls.select("client", "at", remaining(F.col("granted"), F.col("usage")).alias("left"))
+    grown = now.join(was, "client", "left").where(F.col("left") > F.coalesce("was", F.lit(0)))
+    return grown.groupBy("client").agg(F.min("at").alias("at"))

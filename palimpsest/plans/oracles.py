@@ -210,6 +210,15 @@ coalesce((SELECT string_agg(type || '=' || value, ';' ORDER BY type, value) FROM
     "pattern_census": SPAN_ROWS + " SELECT s->>'label' AS label, count(*) AS n FROM (SELECT unnest(ss) AS s, pos FROM lists JOIN hits USING (row_id)) WHERE abs(coalesce((s->>'start')::INTEGER, -999) - pos) < 80 GROUP BY ALL",
     "pattern_hits": SPAN_ROWS + " SELECT row_id::BIGINT AS row_id, pos::INTEGER AS \"at\", replace(substr(text, (greatest(pos - 20, 0) + 1)::INTEGER, (pos + 80 - greatest(pos - 20, 0))::INTEGER), chr(10), ' ') AS context FROM hits",
     "quality_census": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
+    "acquired_stamps": """WITH t AS (SELECT o_orderkey, o_orderdate + to_minutes(o_orderkey * 37) AS ts FROM orders), f AS (SELECT o_orderkey, strftime(ts, '%b %-d') AS d, strftime(ts, '%-I:%M %p') AS t, ts FROM t)
+SELECT o_orderkey, d || repeat(' ', greatest(1, 15 - length(d) - length(t))) || t AS stamp, strftime(ts, '%-m/%-d/%Y, %-I:%M %p') AS shown, CASE WHEN o_orderkey = 0 THEN '' ELSE printf('%.1f MB', o_orderkey * 104858 / 1048576) END AS size FROM f""",
+    "reading_order": PLACED + " SELECT type, value, string_agg(page_num || ':' || floor((792 - y1) * 300 / 72 * 10 + 0.5)::BIGINT || ':' || floor(x0 * 300 / 72 * 10 + 0.5)::BIGINT, ' ' ORDER BY page_num, (792 - y1), x0) AS places FROM placed GROUP BY type, value",
+    "download_totals": "SELECT count(*) AS files, sum(size)::BIGINT AS total FROM (SELECT l_orderkey % 5 AS file, max(l_partkey) AS size FROM lineitem GROUP BY ALL)",
+    "command_outcomes": """WITH e AS (SELECT event_id, event_id % 2 = 0 AS detect, event_id % 3 AS phase, event_id % 7 % 4 AS status FROM events)
+SELECT event_id, status = 3 OR (status = 2 AND ((detect AND phase = 1) OR (NOT detect AND phase = 2))) AS ends FROM e""",
+    "page_progress": "SELECT doc_id, phase, floor(max(n) + 0.5)::INTEGER AS percent FROM (SELECT user_id % 20 AS doc_id, CASE WHEN event_id % 2 = 0 THEN 'ocr' ELSE 'analyze' END AS phase, CASE WHEN event_id % 2 = 0 THEN event_id % 97 ELSE event_id % 89 END AS n FROM events) GROUP BY ALL",
+    "penalty_notices": "WITH p AS (SELECT o_custkey AS client, o_orderdate AS lease_issued_at, o_orderkey % 4 AS charged, o_orderkey AS k FROM orders) SELECT client, lease_issued_at, max(charged) AS charged FROM p WHERE charged > 0 AND (client, lease_issued_at) NOT IN (SELECT (client, lease_issued_at) FROM p WHERE k % 3 = 0) GROUP BY ALL",
+    "purchases_detected": "WITH b AS (SELECT c_custkey AS client, CASE WHEN c_custkey % 5 > 0 THEN greatest(c_custkey % 50 - 10, 0) ELSE 0 END AS was FROM customer), p AS (SELECT o_custkey AS client, o_orderdate AS at_, greatest(o_orderkey % 60 - 10, 0) AS now_ FROM orders) SELECT client, min(at_) AS \"at\" FROM p LEFT JOIN b USING (client) WHERE now_ > coalesce(was, 0) GROUP BY client",
     "stream_rollup": f"SELECT {TRUNC}::TIMESTAMP AS hour, event_type AS pii_type, count(*) AS count FROM events GROUP BY ALL",
     "stream_grants": "SELECT DISTINCT event_id::VARCHAR AS order_id FROM events",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, identity, labels, text
-from ..operators import boxes, corpus, layout, ledger, match, metrics, spans
+from ..operators import boxes, corpus, layout, ledger, match, metrics, spans, synth
 from ..sources import readers, sinks
 from ..sources.readers import table
 from . import fixtures as fx
@@ -521,7 +521,63 @@ def stream_ui_fold(spark, sf_dir):
     return _stream(spark, sf_dir, "items", make, "append")
 
 
+# displays and odds
+
+
+def acquired_stamps(spark, sf_dir):
+    ts = F.timestamp_add("MINUTE", (F.col("o_orderkey") * 37).cast("int"), F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.acquired(ts).alias("stamp"), text.date_time(ts).alias("shown"), text.megabytes(F.col("o_orderkey") * 104_858).alias("size"))
+
+
+def reading_order(spark, sf_dir):
+    px = _boxes(spark, sf_dir).select("type", "value", "page_num", *geometry.pixels(SCALE, F.lit(spans.PAGE_HEIGHT)))
+    lists = px.groupBy("type", "value").agg(F.collect_list(F.struct("page_num", "x", "y", "w", "h")).alias("b"))
+    ordered = F.transform(boxes.reading_order(F.col("b")), lambda b: F.concat_ws(":", b["page_num"], F.floor(b["y"] * 10 + 0.5), F.floor(b["x"] * 10 + 0.5)))
+    return lists.select("type", "value", F.array_join(ordered, " ").alias("places"))
+
+
+def download_totals(spark, sf_dir):
+    parts = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).alias("file"), F.col("l_partkey").alias("size"))
+    files = parts.groupBy("file").agg(F.max("size").alias("size"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("total"))
+
+
+def command_outcomes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    cmd = F.when(F.col("event_id") % 2 == 0, "detect").otherwise("scrub")
+    phase = F.element_at(F.array(F.lit("ocr"), F.lit("analyze"), F.lit("redact")), (F.col("event_id") % 3 + 1).cast("int"))
+    status = F.element_at(F.array(F.lit("started"), F.lit("in_progress"), F.lit("done"), F.lit("error")), (F.col("event_id") % 7 % 4 + 1).cast("int"))
+    return e.select("event_id", readers.terminal(cmd, phase, status).alias("ends"))
+
+
+def page_progress(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("doc_id"), F.when(F.col("event_id") % 2 == 0, "ocr").otherwise("analyze").alias("phase"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 97).alias("page"), F.when(F.col("event_id") % 2 == 1, F.col("event_id") % 89).alias("chunk"), F.lit(100).alias("total"))
+    done = readers.progress(e)
+    return done.select("doc_id", "phase", text.percent(F.col("done"), F.col("total")).alias("percent"))
+
+
+def penalty_notices(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("client"), F.col("o_orderdate").alias("lease_issued_at"), (F.col("o_orderkey") % 4).alias("charged"), "o_orderkey")
+    return ledger.penalty_notices(rows, rows.where("o_orderkey % 3 = 0")).select("client", "lease_issued_at", "charged")
+
+
+def purchases_detected(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 50).alias("granted"), F.lit(10).cast("long").alias("usage"))
+    polls = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("client"), F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 60).alias("granted"), F.lit(10).cast("long").alias("usage"))
+    return ledger.purchases_detected(c, polls)
+
+
+def sample_corpus(spark, sf_dir):
+    return synth.corpus(spark, 5000).select("row", "kind", "ocr_text", F.to_json("pii").alias("pii"))
+
+
+def sample_kinds(spark, sf_dir):
+    return synth.corpus(spark, 5000).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = [
+    acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
     chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, indexed_text, resolve_entity_boxes, pixel_boxes,
     custom_pii_parse, custom_pii_match, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
     star_text, hash_text, deny_list, cluster_lines, ocr_words, ui_groups, selected_by_type, page_span, keep_checked, selected_values, union_identifiers, detection_json,

@@ -69,3 +69,20 @@ def clean_custom(rows: DataFrame) -> DataFrame:
 def sampled(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows in a shuffled order: a bounded draw for inspection."""
     return df.orderBy(F.rand(seed)).limit(n)
+
+
+#: The phase whose `done` ends each command.
+TERMINAL_PHASE = {"detect": "analyze", "scrub": "redact"}
+
+
+def terminal(cmd, phase, status):
+    """Whether an event ends its command: an error, or done in the command's last phase."""
+    last = F.lit(False)
+    for c, p in TERMINAL_PHASE.items():
+        last = last | ((cmd == c) & (phase == p))
+    return F.coalesce((status == "error") | ((status == "done") & last), F.lit(False))
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """(doc_id, phase, done, total): how far each document's phases have come."""
+    return events.groupBy("doc_id", "phase").agg(F.max(F.coalesce("page", "chunk")).alias("done"), F.max("total").alias("total"))

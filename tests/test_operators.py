@@ -312,3 +312,27 @@ def test_fold_over_batches(spark, tmp_path):
     stream = jobs.file_stream(spark, f"file://{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_trigger=1)
     got = jobs.run_once(jobs.fold_items(stream), "fold", f"file://{tmp_path}/state").collect()
     assert sorted((r.doc_id, r.type, r["count"]) for r in got if r.doc_id == 1)[:1] in ([(1, "email", 1)], [])
+
+
+def test_synthetic_corpus(spark):
+    from palimpsest.operators import corpus, synth
+
+    df = synth.corpus(spark, 3000).cache()
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, synth.corpus(spark, 3000).repartition(5).collect()))
+    total = sum(w for w, _ in synth.TEMPLATES.values())
+    assert total == 155 and len(synth.TEMPLATES) == 43
+    n = {r.kind: r["count"] for r in df.groupBy("kind").count().collect()}
+    assert all(abs(n[k] / 3000 - w / total) < 0.02 for k, (w, _) in synth.TEMPLATES.items())
+    missing = df.select(F.explode("pii").alias("p"), "ocr_text").where(F.size(corpus.missing_tokens(F.col("p.value"), F.col("ocr_text"))) > 0)
+    assert missing.isEmpty()
+
+
+def test_formats(spark):
+    rows = [(datetime(2024, 5, 6, 2, 30), 1572864), (datetime(2024, 12, 16, 12, 5), None)]
+    got = one(spark, "t timestamp, n long", rows, text.acquired(F.col("t")), text.date_time(F.col("t")), text.megabytes(F.col("n")))
+    assert got == [("May 6   2:30 AM", "5/6/2024, 2:30 AM", "1.5 MB"), ("Dec 16 12:05 PM", "12/16/2024, 12:05 PM", "")]
+
+
+def test_terminal(spark):
+    rows = [("detect", "analyze", "done"), ("detect", "ocr", "done"), ("scrub", "redact", "done"), ("scrub", "ocr", "error"), ("close", None, None)]
+    assert [r[0] for r in one(spark, "c string, p string, s string", rows, readers.terminal(F.col("c"), F.col("p"), F.col("s")))] == [True, False, True, True, False]
