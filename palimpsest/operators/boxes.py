@@ -60,20 +60,25 @@ def untouched(docs: DataFrame, rects: DataFrame) -> DataFrame:
 
 def mask(text: Column, patterns: dict[str, str], how: str = "replace", token: str = "<ANONYMIZED>") -> Column:
     """Matches replaced by a token, masked by asterisks from the end (12 at most), redacted or hashed."""
-    from .spans import matches
+    def cut(t: Column, p: str) -> Column:
+        if how in ("replace", "redact"):
+            return F.regexp_replace(t, p, token if how == "replace" else "")
+        hit = lambda m: F.sha2(m, 256) if how == "hash" else F.concat(m.substr(F.lit(1), F.greatest(F.length(m) - 12, F.lit(0))), F.repeat(F.lit("*"), F.least(F.length(m), F.lit(12))))
+        hits = F.transform(F.regexp_extract_all(t, F.lit(p), 0), hit)
+        pieces = F.split(t, p, -1)
+        joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda x: F.concat(x["piece"], F.coalesce(x["hit"], F.lit("")))), "")
+        return F.when(t.rlike(p), joined).otherwise(t)
 
     for p in patterns.values():
-        if how == "replace":
-            text = F.regexp_replace(text, p, token)
-        elif how == "redact":
-            text = F.regexp_replace(text, p, "")
-        else:
-            hit = lambda m: F.sha2(m, 256) if how == "hash" else F.concat(m.substr(F.lit(1), F.greatest(F.length(m) - 12, F.lit(0))), F.repeat(F.lit("*"), F.least(F.length(m), F.lit(12))))
-            pieces, hits = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), 0)
-            text = F.when(text.rlike(p), F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(hit(F.get(hits, i)), F.lit("")))), "")).otherwise(text)
+        # bound in a lambda, so that each step's text is worked out once and not once for each use
+        text = F.get(F.transform(F.array(text), _bind(cut, p)), 0)
     return text
 
 
+def _bind(f, p: str):
+    return lambda t: f(t, p)
+
+
 def deny_list(text: Column, words: list[str], token: str = "") -> Column:
     """Whole words of a list replaced by a token."""
     escaped = "|".join(w.replace(".", r"\.") for w in sorted(words, key=len, reverse=True))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,15 +108,60 @@ PAGE_LINES, CELL, LINE_HEIGHT, PAGE_WIDTH, PAGE_HEIGHT = 40, 6.0, 12.0, 612.0, 7
 
 
 def layout_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, page_num, line_no, word_idx, text, x0, y0, x1, y1) of a plain text, without blank words."""
-    lines = df.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("raw_line", "line"))
-    column = lambda ws, i: F.aggregate(F.slice(ws, 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1)
-    words = F.transform(F.split("line", " ", -1), lambda w, i: F.struct(i.alias("i"), w.alias("text")))
-    kept = F.filter(words, lambda w: F.trim(w["text"]) != "")
-    whole = lines.select(id_col, "raw_line", F.split("line", " ", -1).alias("ws"), F.posexplode(kept).alias("word_idx", "w"))
-    at = whole.select(id_col, (F.floor(F.col("raw_line") / PAGE_LINES) + 1).cast("int").alias("page_num"), (F.col("raw_line") % PAGE_LINES).alias("line_no"), "word_idx", F.col("w.text").alias("text"), column(F.col("ws"), F.col("w.i")).alias("col"))
-    top = PAGE_HEIGHT - LINE_HEIGHT * F.col("line_no")
-    return at.select(id_col, "page_num", "line_no", "word_idx", "text", (F.col("col") * CELL).alias("x0"), (top - 10.0).alias("y0"), ((F.col("col") + F.length("text")) * CELL).alias("x1"), top.alias("y1"))
+    """(id, page_num, line_no, word_idx, text, x0, y0, x1, y1, line_idx, char_start, char_end) of plain texts, in their layout.
+
+    Places are running sums over a text, which lies in one row: so they are made there, a batch of texts at a time in numpy,
+    and no word is shuffled for them. index_words() gives the same offsets for words that come as rows. Null texts have no words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                yield _laid_out(b.column(0), texts, id_col)
+
+    kept = df.select(id_col, F.col(text_col).cast("string"))
+    ddl = f"`{id_col}` {kept.schema[0].dataType.simpleString()}, page_num int, line_no int, word_idx int, text string, x0 double, y0 double, x1 double, y1 double, line_idx int, char_start int, char_end int"
+    return kept.mapInArrow(run, ddl)
+
+
+def _laid_out(ids: pa.Array, texts: list[str], id_col: str) -> pa.RecordBatch:
+    raw = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass") + b"\n\x00\x00\x00", np.uint32)
+    utf8 = np.frombuffer(("\n".join(texts) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    gap, newline = (raw == 32) | (raw == 10), raw == 10
+    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    length = np.flatnonzero(gap & ~np.r_[True, gap[:-1]]) - starts
+    doc_start = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    doc = np.searchsorted(doc_start, starts, side="right") - 1
+    lines = np.cumsum(newline)  # newlines up to and with each place
+    line_begin = np.r_[0, np.flatnonzero(newline) + 1]
+    line = lines[starts]
+    col = starts - line_begin[line]
+    raw_line = line - np.r_[0, lines][doc_start[doc]]
+    new_doc = np.r_[True, doc[1:] != doc[:-1]][: len(doc)]
+    new_line = new_doc | np.r_[True, line[1:] != line[:-1]][: len(doc)]
+    page = raw_line // PAGE_LINES + 1
+    new_page = new_doc | np.r_[True, page[1:] != page[:-1]][: len(doc)]
+    header = 8 + np.floor(np.log10(page)).astype(np.int64) + 1
+    before = np.where(new_doc, header, np.where(new_page, header + 2, 1))
+    end = np.cumsum(before + length)
+    place = np.arange(len(doc))
+    first = lambda flag: np.maximum.accumulate(np.where(flag, place, 0))
+    d = first(new_doc)
+    char_end = end - (end[d] - (before + length)[d]) if len(doc) else end
+    seen = np.cumsum(new_line)
+    line_idx = seen - seen[d] if len(doc) else seen
+    # the words' bytes are the text's bytes without the (one-byte) gaps
+    size = np.where(raw < 0x80, 1, np.where(raw < 0x800, 2, np.where(raw < 0x10000, 3, 4)))
+    ends = np.r_[0, np.cumsum(size)]
+    offsets = np.r_[0, np.cumsum(ends[starts + length] - ends[starts])].astype(np.int32)
+    data = utf8[(utf8 != 32) & (utf8 != 10)]
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+    top = PAGE_HEIGHT - LINE_HEIGHT * (raw_line % PAGE_LINES)
+    ints = lambda x: pa.array(x.astype(np.int32))
+    cols = [ids.take(pa.array(doc)), ints(page), ints(raw_line % PAGE_LINES), ints(place - first(new_line)), words, pa.array(col * CELL), pa.array(top - 10.0), pa.array((col + length) * CELL), pa.array(top * 1.0), ints(line_idx), ints(char_end - length), ints(char_end)]
+    return pa.RecordBatch.from_arrays(cols, names=[id_col, "page_num", "line_no", "word_idx", "text", "x0", "y0", "x1", "y1", "line_idx", "char_start", "char_end"])
 
 
 def index_words(words: DataFrame, id_col: str = "doc_id") -> DataFrame:

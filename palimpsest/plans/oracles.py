@@ -127,6 +127,7 @@ SQL = {
     "aggregate_pii": FOUND + f" SELECT {SHOWN} AS type, value, count(*) AS occurrences FROM items GROUP BY ALL",
     "conversation_pii": "WITH turns AS (SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations), " + _found("turns") + f", {FIRST}, {ITEMS} SELECT {SHOWN} AS type, value, count(*) AS occurrences FROM items GROUP BY ALL",
     "index_words": "WITH " + LAYOUT + " SELECT doc_id, page_num, line_idx, word_idx, char_start, (char_start + length(text))::INTEGER AS char_end, text, x0, x1, y0 FROM indexed",
+    "index_word_rows": "WITH " + LAYOUT + " SELECT doc_id, page_num, line_idx, word_idx, char_start, (char_start + length(text))::INTEGER AS char_end FROM indexed",
     "indexed_text": "WITH " + LAYOUT + " SELECT doc_id, length(text)::INTEGER AS n, md5(text) AS text_md5 FROM full_texts",
     "resolve_entity_boxes": PLACED + " SELECT doc_id, g_start, label, value, page_num, line_idx, x0, y0, x1, y1 FROM placed",
     "pixel_boxes": PLACED + f" SELECT doc_id, g_start, value, line_idx, {PX} FROM placed",

@@ -56,13 +56,19 @@ def conversation_pii(spark, sf_dir):
 
 
 def _words(spark, sf_dir):
-    return spans.index_words(spans.layout_words(_docs(spark, sf_dir)))
+    return spans.layout_words(_docs(spark, sf_dir))
 
 
 def index_words(spark, sf_dir):
     return _words(spark, sf_dir).select("doc_id", "page_num", "line_idx", "word_idx", "char_start", "char_end", "text", "x0", "x1", "y0")
 
 
+def index_word_rows(spark, sf_dir):
+    """The same offsets by windows, for words that come as rows."""
+    rows = spans.layout_words(_docs(spark, sf_dir)).select("doc_id", "page_num", "line_no", "word_idx", "text")
+    return spans.index_words(rows).select("doc_id", "page_num", "line_idx", "word_idx", "char_start", "char_end")
+
+
 def indexed_text(spark, sf_dir):
     return spans.indexed_text(spans.layout_words(_docs(spark, sf_dir))).select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -72,7 +78,7 @@ def _boxes(spark, sf_dir):
     hit = F.lit(False)
     for p in spans.PATTERNS.values():
         hit = hit | F.col("text").rlike(p)
-    words = spans.index_words(spans.layout_words(_docs(spark, sf_dir).where(hit)))
+    words = spans.layout_words(_docs(spark, sf_dir).where(hit))
     found = spans.items(spans.entities(spans.indexed_text(words)))
     return spans.resolve(found, words).withColumn("type", labels.category(F.col("label")))
 
@@ -98,7 +104,7 @@ def custom_pii_parse(spark, sf_dir):
 def _custom_boxes(spark, sf_dir):
     given = _custom(spark).where("value = 'Th Heing'")
     hit = text.norm(F.col("text")).contains("thheing")
-    words = spans.index_words(spans.layout_words(_docs(spark, sf_dir).where(hit)))
+    words = spans.layout_words(_docs(spark, sf_dir).where(hit))
     return match.match_custom(words, given)
 
 
@@ -578,7 +584,7 @@ def sample_kinds(spark, sf_dir):
 
 QUERIES = [
     acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
-    chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, indexed_text, resolve_entity_boxes, pixel_boxes,
+    chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, index_word_rows, indexed_text, resolve_entity_boxes, pixel_boxes,
     custom_pii_parse, custom_pii_match, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
     star_text, hash_text, deny_list, cluster_lines, ocr_words, ui_groups, selected_by_type, page_span, keep_checked, selected_values, union_identifiers, detection_json,
     chunk_dump, format_identifier, ui_formats, output_paths, redeem_status, tier_dimension, label_categories, device_id, validate_ids, request_lines, identifier_lists, clean_custom,
