@@ -58,14 +58,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     """df's columns, `copy` (from 1) and `shuffle_key`, in the global order of shuffle_key.
 
     Rows that repeat an id get the same number of copies; a null id is keyed by its text. Null and empty texts count no bytes
-    and are drawn like the rest of their source. No rows: no rows. df must not have columns copy, shuffle_key or mix_*.
+    and are drawn like the rest of their source. No rows: no rows. Columns copy and shuffle_key that are
+    already there are replaced.
     """
-    found = rates(df, source_col, text_col, weights, alpha, epochs).select(F.col("source").alias("mix_source"), F.col("cdf").alias("mix_cdf"))
+    df = df.drop("copy", "shuffle_key")
+    found = rates(df, source_col, text_col, weights, alpha, epochs).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
     found = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found  # beyond, a plain join that AQE splits where it is skewed
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     draw = uniform(F.concat(F.lit(f"{seed}:"), key))
-    drawn = df.join(found, F.col(source_col).eqNullSafe(F.col("mix_source"))).withColumn("mix_u", draw)
-    copies = F.size(F.filter("mix_cdf", lambda c: F.col("mix_u") >= c))
-    rows = drawn.withColumn("mix_n", copies).where("mix_n > 0").drop("mix_cdf", "mix_u", "mix_source")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))).drop("mix_n")
+    drawn = df.join(found, F.col(source_col).eqNullSafe(F.col("__mix_source"))).withColumn("__mix_u", draw)
+    copies = F.size(F.filter("__mix_cdf", lambda c: F.col("__mix_u") >= c))
+    rows = drawn.withColumn("__mix_n", copies).where(F.col("__mix_n") > 0).drop("__mix_cdf", "__mix_u", "__mix_source")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).drop("__mix_n")
     return rows.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("copy").cast("string")).cast("binary"))).orderBy("shuffle_key")

@@ -71,6 +71,6 @@ def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "t
 
 
 def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write df as Parquet with a folder for each shard. Ids must be there and distinct."""
-    names = shards(df, limit, id_col, text_col).select(F.col(id_col).alias("shard_id_"), F.concat_ws("-", "depth", "prefix").alias("shard"))
-    df.join(names, F.col(id_col) == F.col("shard_id_")).drop("shard_id_").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write df as Parquet with a folder for each shard; a column shard is replaced. Ids must be there and distinct."""
+    names = shards(df, limit, id_col, text_col).select(F.col(id_col).alias("__shard_id"), F.concat_ws("-", "depth", "prefix").alias("shard"))
+    df.drop("shard").join(names, F.col(id_col) == F.col("__shard_id")).drop("__shard_id").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -143,8 +143,9 @@ def _common(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarra
 
 
 def matching_statistics(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """For each position, how long the longest match with another position is (exact below `depth`, at least it above).
+    """For each position, how long the longest match with another position is.
 
+    Exact up to `depth` less the position's place in its segment; longer matches show as at least that.
     text: symbols, 0 between segments; starts: the segments' first places, where the stream is sampled afresh.
     """
     n = len(text)
@@ -402,14 +403,16 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH,
 
     Matches lie within single texts and may lie within the same text. Null and short texts have no spans (null); rows with
     equal texts count as different places, so their texts are wholly covered if long enough. An empty table gives no
-    rows. Ranges come in any order and may overlap: merged() puts them right. df must not have a column dup_spans.
+    rows. Ranges come in any order and may overlap: merged() puts them right. A column dup_spans that is already
+    there is replaced.
     """
     if not 0 < gram < length:
         raise ValueError("gram must be shorter than length")
-    found = _Finder(df, text_col, length, gram, hot, broadcast_grams).spans().select(F.col("c1").alias("dup_c1"), F.col("c2").alias("dup_c2"), F.col("spans").alias("dup_spans"))
+    df = df.drop("dup_spans")
+    found = _Finder(df, text_col, length, gram, hot, broadcast_grams).spans().select(F.col("c1").alias("__dup_c1"), F.col("c2").alias("__dup_c2"), F.col("spans").alias("dup_spans"))
     c1, c2 = identity(text_col)
-    keyed = df.withColumn("dup_k1", c1).withColumn("dup_k2", c2)
-    joined = keyed.join(found, (F.col("dup_k1") == F.col("dup_c1")) & (F.col("dup_k2") == F.col("dup_c2")), "left")
+    keyed = df.withColumn("__dup_k1", c1).withColumn("__dup_k2", c2)
+    joined = keyed.join(found, (F.col("__dup_k1") == F.col("__dup_c1")) & (F.col("__dup_k2") == F.col("__dup_c2")), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], "dup_spans")
 
 

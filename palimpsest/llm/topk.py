@@ -111,11 +111,11 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, scale:
     total, asked, width = rows.agg(F.count(F.lit(1)), F.sum(F.col("q").cast("long")), F.max(F.size("vec"))).first()
     width = width or 0
     ranged = rows.repartitionByRange(max(1, math.ceil((total or 0) / SUPER)), "key", "id").sortWithinPartitions("key", "id")
-    index = materialise(packed(ranged, SUPER, width, scale).withColumn("part", F.monotonically_increasing_id()), "topk-index")
+    index = materialise(packed(ranged, SUPER, width, scale).withColumn("part", F.spark_partition_id()), "topk-index")
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, (total or 0) // SEED_ROWS))) == 0).select("id", "vec").limit(2 * SEED_ROWS).toArrow()
     seed = spark.sparkContext.broadcast((np.asarray(sample["id"], np.int64), np.floor(matrix(sample["vec"], width) * scale).astype(np.int64)))
     blocks = materialise(packed(rows.where("q").repartition(max(1, math.ceil((asked or 0) / QUERIES))), QUERIES, width, scale), "topk-queries")
-    parts = index.select(F.col("part")).select(F.collect_list("part").alias("parts"))
+    parts = index.agg(F.max("part")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed_ids, seed_terms = seed.value
@@ -132,7 +132,8 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, scale:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "id", "score", "blocks"])
 
     # every query block meets every superblock: the stated query set against all rows, in blocks
-    spread = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "terms")]).join(parts, how="inner").select("*", F.explode("parts").alias("at")).drop("parts")
+    sent = [F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "terms")]
+    spread = blocks.select(*sent, F.explode(F.sequence(F.lit(0), F.lit(parts or 0))).alias("at"))
     met = spread.join(index, F.col("at") == F.col("part")).select("q_n", "q_width", "q_ids", "q_terms", "n", "width", "ids", "terms")
     found = met.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(run, "query_id long, id long, score long, blocks long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
