@@ -227,6 +227,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WORDS = 16
 SKETCH = 2
 WIDE = WORDS * 23
+FEW = 8
 NEAR, NEARER = 24, 16  # of 128 bits: for all pairs of a small bucket, and for the forest of a large one
 PAIRS = [(a, b) for a in range(WORDS) for b in range(a)]
 
@@ -269,20 +270,23 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _candidates(key: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-    """Near pairs under each key of rows that come sorted by key, with whole buckets; of large buckets a forest."""
+    """Near pairs under each key of rows that come sorted by key and rep, with whole buckets.
+
+    Of large buckets a forest, grown from the smallest reps: the same group meets under many keys, and so gives the same pairs.
+    """
     sketch = np.stack([low, high], axis=1).view(np.uint64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     size_of = np.repeat(sizes, sizes)
     us, vs = [], []
-    for step in range(1, SMALL):
-        i = np.flatnonzero((key[step:] == key[:-step]) & (size_of[step:] <= SMALL))
+    for step in range(1, FEW):
+        i = np.flatnonzero((key[step:] == key[:-step]) & (size_of[step:] <= FEW))
         if not len(i):
             break
         i = i[_near(sketch[i], sketch[i + step]) <= NEAR]
         us.append(rep[i])
         vs.append(rep[i + step])
-    for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+    for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
         left = np.arange(s, s + n)
         while len(left):
             todo, left = [left[0]], left[1:]
@@ -328,7 +332,7 @@ def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     keyed = distinct.select("fp", "rep").mapInArrow(spread, "key long, low long, high long, rep long")
-    found = keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(links, "u long, v long")
+    found = keyed.repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(links, "u long, v long")
     pairs = materialise(found.where("u <> v").distinct(), "wide-pairs")
     wanted = materialise(pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct(), "wide-wanted")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
