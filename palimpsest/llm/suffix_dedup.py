@@ -31,7 +31,7 @@ from .common import materialise
 LENGTH = 400
 GRAM = 300
 BLOCK = 1 << 19
-HOT = 512
+HOT = 192
 SHARD_BYTES = 1 << 19
 BROADCAST_GRAMS = 4_000_000
 ODD = 0x9E3779B97F4A7C15
