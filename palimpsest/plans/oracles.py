@@ -119,7 +119,75 @@ parts AS (SELECT seq, 0 AS part_no, value, type FROM raw WHERE line IS NULL UNIO
 named AS (SELECT seq, part_no, trim(value) AS value, {_case("lower(trim(coalesce(type, '')))", CUSTOM_ALIASES, "lower(trim(coalesce(type, '')))")} AS t FROM parts),
 entries AS (SELECT seq, part_no, value, CASE WHEN t IN {IN_CATEGORIES} THEN t ELSE 'other' END AS type FROM named WHERE value <> '')"""
 
+
+_ORDERS = "WITH " + values("e", ["seq", "body"], fx.ORDER_EVENTS) + ", " + values("products", ["product_id", "tier", "pages", "price_cents"], fx.PRODUCTS) + """,
+j AS (SELECT seq, body::JSON AS b FROM e),
+o AS (SELECT seq, b->'data'->>'id' AS order_id, b->'data'->'metadata'->>'account_id' AS account_id, coalesce(b->'data'->>'productId', b->'data'->>'product_id') AS product_id,
+             coalesce((b->'data'->>'totalAmount')::BIGINT, (b->'data'->>'total_amount')::BIGINT, 0) AS amount_cents FROM j WHERE b->>'type' = 'order.paid'),
+paid AS (SELECT order_id, account_id, tier, pages::BIGINT AS pages, amount_cents FROM o JOIN products USING (product_id)
+         WHERE order_id <> '' AND regexp_full_match(account_id, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', 'i') QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY seq) = 1)"""
+
+
+def _replay(events: str) -> str:
+    """The ledger's fold as a recursion over each account's events: settle, refill, drain, answer, mint."""
+    return f"""WITH RECURSIVE {events},
+ev AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts, seq) AS i, min(ts) OVER (PARTITION BY account) AS opened FROM events_),
+st AS (
+  SELECT account, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::BOOLEAN AS allow, 0::BIGINT AS from_daily, 0::BIGINT AS from_week1, 0::BIGINT AS from_prepaid,
+         opened + INTERVAL 7 DAY AS week_end, date_trunc('day', opened)::TIMESTAMP + INTERVAL 1 DAY AS day_end, 0::BIGINT AS du, 0::BIGINT AS wu, 0::BIGINT AS pu, NULL::BIGINT AS pg,
+         NULL::TIMESTAMP AS li, NULL::BIGINT AS lc, 0::BIGINT AS charged, 0::BIGINT AS reconciled
+  FROM ev WHERE i = 1
+  UNION ALL
+  SELECT account, i, ts, seq, kind, CASE kind WHEN 'consume' THEN ok ELSE TRUE END, CASE WHEN kind = 'consume' AND ok THEN least(dl, pages) ELSE 0 END,
+         CASE WHEN kind = 'consume' AND ok THEN least(wl, pages - least(dl, pages)) ELSE 0 END, CASE WHEN kind = 'consume' AND ok THEN pages - least(dl, pages) - least(wl, pages - least(dl, pages)) ELSE 0 END,
+         week_end, day_end, du2 + CASE WHEN kind = 'consume' AND ok THEN least(dl, pages) ELSE 0 END, wu2 + CASE WHEN kind = 'consume' AND ok THEN least(wl, pages - least(dl, pages)) ELSE 0 END,
+         pu2 + CASE WHEN kind = 'consume' AND ok AND pg IS NOT NULL THEN pages - least(dl, pages) - least(wl, pages - least(dl, pages)) ELSE 0 END, CASE WHEN kind = 'grant' THEN coalesce(pg, 0) + pages ELSE pg END,
+         CASE WHEN mint THEN ts ELSE li2 END, CASE WHEN mint THEN greatest(0, least(dl + wl + pl, 10)) ELSE lc2 END, CASE WHEN told THEN 0 ELSE amt END, CASE WHEN told THEN amt ELSE 0 END
+  FROM (SELECT *, dl + wl + pl >= pages AS ok, kind = 'balance' AND (li2 IS NULL OR ts > li2 + INTERVAL 24 HOUR OR ts - li2 >= INTERVAL 12 HOUR) AS mint
+   FROM (SELECT *, greatest(1 - du2, 0) AS dl, CASE WHEN ts <= week_end THEN greatest(20 - wu2, 0) ELSE 0 END AS wl, greatest(coalesce(pg, 0) - pu2, 0) AS pl,
+                CASE WHEN NOT told AND amt > 0 THEN NULL ELSE li END AS li2, CASE WHEN NOT told AND amt > 0 THEN NULL ELSE lc END AS lc2
+    FROM (SELECT *, du1 + least(greatest(1 - du1, 0), amt) AS du2, wu + least(wk, amt - least(greatest(1 - du1, 0), amt)) AS wu2,
+                 pu + CASE WHEN pg IS NULL THEN 0 ELSE amt - least(greatest(1 - du1, 0), amt) - least(wk, amt - least(greatest(1 - du1, 0), amt)) END AS pu2
+     FROM (SELECT e.account, e.i, e.ts, e.seq, e.kind, e.pages, s.week_end, s.wu, s.pu, s.pg, s.li, s.lc, e.issued IS NOT NULL AND e.used IS NOT NULL AS told,
+                  CASE WHEN e.kind <> 'grant' AND e.ts > s.day_end THEN 0 ELSE s.du END AS du1,
+                  CASE WHEN e.kind <> 'grant' AND e.ts > s.day_end THEN date_trunc('day', e.ts)::TIMESTAMP + INTERVAL 1 DAY ELSE s.day_end END AS day_end,
+                  CASE WHEN e.ts <= s.week_end THEN greatest(20 - s.wu, 0) ELSE 0 END AS wk,
+                  CASE WHEN e.kind = 'grant' OR s.li IS NULL THEN 0 WHEN e.issued IS NOT NULL AND e.used IS NOT NULL THEN CASE WHEN s.li <> e.issued OR e.ts > s.li + INTERVAL 24 HOUR THEN 0 ELSE least(e.used, s.lc) END ELSE greatest(s.lc, 0) END AS amt
+           FROM st s JOIN ev e ON e.account = s.account AND e.i = s.i + 1)))))
+SELECT account, ts, seq, kind, allow, CASE WHEN NOT allow THEN 'insufficient_balance' END AS reason, from_daily, from_week1, from_prepaid, greatest(1 - du, 0)::BIGINT AS daily_left,
+       (CASE WHEN ts <= week_end THEN greatest(20 - wu, 0) ELSE 0 END)::BIGINT AS week1_left, greatest(coalesce(pg, 0) - pu, 0)::BIGINT AS prepaid_left, li AS lease_issued_at, lc AS lease_ceiling, charged, reconciled
+FROM st WHERE i > 0"""
+
+
+ASKED = """SELECT o_custkey::VARCHAR AS account, o_orderdate::TIMESTAMP AS ts, o_orderkey * 2 + 1 AS seq, 'consume' AS kind, o_orderkey % 25 + 1 AS pages FROM orders
+UNION ALL SELECT o_custkey::VARCHAR, o_orderdate::TIMESTAMP, o_orderkey * 2, 'grant', 100 FROM orders WHERE o_orderpriority LIKE '1%'"""
+LEDGER = f"events_ AS (SELECT *, NULL::TIMESTAMP AS issued, NULL::BIGINT AS used FROM ({ASKED}))"
+LEASES = f"""asked_ AS (SELECT account, ts, seq, pages, CASE WHEN kind = 'grant' THEN 'grant' WHEN seq % 3 = 0 THEN 'balance' ELSE 'consume' END AS kind FROM ({ASKED})),
+known_ AS (SELECT *, last_value(CASE WHEN kind = 'balance' THEN ts END IGNORE NULLS) OVER (PARTITION BY account ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ FROM asked_),
+events_ AS (SELECT account, ts, seq, kind, pages, CASE WHEN seq % 5 < 4 AND kind <> 'grant' THEN last_ END AS issued, CASE WHEN seq % 5 < 4 AND kind <> 'grant' AND last_ IS NOT NULL THEN seq % 12 END AS used FROM known_)"""
+
 SQL = {
+    "ledger_replay": _replay(LEDGER),
+    "lease_replay": _replay(LEASES),
+    "deny_list": "SELECT doc_id, length(regexp_replace(text, '\\b(the|Of|and)\\b', '<X>', 'g'))::INTEGER AS n FROM documents",
+    "cluster_lines": "WITH " + LAYOUT + """, gaps AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id, page_num, line_no ORDER BY word_idx) > 20, TRUE) AS cut FROM words),
+lines AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY doc_id, page_num ORDER BY line_no, word_idx) - 1 AS line_idx FROM gaps)
+SELECT doc_id, page_num, (line_no * 100000 + word_idx)::BIGINT AS word_seq, line_idx::INTEGER AS line_idx, (row_number() OVER (PARTITION BY doc_id, page_num, line_idx ORDER BY word_idx) - 1)::INTEGER AS word_idx FROM lines""",
+    "detection_json": FOUND + f""", each AS (SELECT 'doc-' || doc_id AS file, type, value, count(*) AS n FROM items WHERE doc_id % 2 = 0 GROUP BY ALL)
+SELECT file, '{{"file":"' || file || '","model":"rules","total_pii_detected":' || count(*) || ',"pii":[' || string_agg('{{"value":"' || value || '","type":"' || type || '","occurrences":' || n || '}}', ',' ORDER BY list_position([{', '.join(map(quoted, CATEGORIES))}], type), value) || ']}}' AS json FROM each GROUP BY file""",
+    "request_lines": "WITH " + values("r", ["line_no", "raw"], fx.REQUEST_LINES) + """, j AS (SELECT line_no, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM r WHERE trim(raw) <> '')
+SELECT line_no::BIGINT AS line_no, j->>'cmd' AS cmd, j->>'path' AS path, CASE WHEN j IS NULL THEN 'invalid JSON' WHEN coalesce(j->>'cmd', '') NOT IN ('detect', 'scrub', 'close') THEN 'unknown cmd' END AS error FROM j""",
+    "clean_custom": "WITH " + values("raw", ["seq", "value", "type", "line"], fx.CUSTOM) + f""", t AS (SELECT trim(value) AS value, {_case("lower(trim(coalesce(type, '')))", CUSTOM_ALIASES, "lower(trim(coalesce(type, '')))")} AS t FROM raw)
+SELECT value, CASE WHEN t IN {IN_CATEGORIES} THEN t ELSE 'other' END AS type FROM t WHERE value <> ''""",
+    "identifier_lists": "SELECT * FROM (VALUES (1::BIGINT, 0, 'name', 'Ann'), (1, 1, 'other', 'Bob'), (1, 3, 'other', 'Z')) v(row_id, seq, type, value)",
+    "grant_idempotent": _ORDERS + " SELECT order_id, account_id, tier, pages, amount_cents FROM paid",
+    "grant_balances": _ORDERS + ", " + values("held", ["account_id", "granted"], fx.BALANCES) + ", " + values("done", ["order_id"], fx.DONE_ORDERS) + " SELECT account_id, sum(granted)::BIGINT AS granted FROM (SELECT * FROM held UNION ALL SELECT account_id, pages FROM paid WHERE order_id NOT IN (SELECT order_id FROM done)) GROUP BY ALL",
+    "offline_consume": "WITH RECURSIVE " + values("r", ["client", "seq", "now_", "pages", "expires_at", "ceiling", "used"], fx.OFFLINE) + """,
+st AS (SELECT DISTINCT client, 0 AS seq, NULL::VARCHAR AS reason, 0 AS used_before, used FROM r
+ UNION ALL SELECT client, seq, reason, used AS used_before, used + CASE WHEN reason IS NULL THEN pages ELSE 0 END FROM
+ (SELECT r.client, r.seq, r.pages, st.used, CASE WHEN r.ceiling IS NULL THEN 'offline_state_missing' WHEN r.expires_at IS NULL OR r.now_ >= r.expires_at THEN 'offline_lease_expired' WHEN r.pages > r.ceiling - st.used THEN 'offline_ceiling_reached' END AS reason
+  FROM st JOIN r ON r.client = st.client AND r.seq = st.seq + 1))
+SELECT client, seq::BIGINT AS seq, reason IS NULL AS allow, reason, used_before::BIGINT AS used_before FROM st WHERE seq > 0""",
     "chunk_documents": f"WITH {DOCS}, " + _chunks("docs") + " SELECT doc_id, chunk_idx, chunk_offset, length(chunk)::INTEGER AS n, md5(chunk) AS chunk_md5 FROM chunks",
     "normalize_text": "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS norm_md5 FROM documents",
     "detect_regex_entities": f"WITH {DOCS}, " + _found("docs") + " SELECT * FROM found",
@@ -221,5 +289,9 @@ SELECT event_id, status = 3 OR (status = 2 AND ((detect AND phase = 1) OR (NOT d
     "penalty_notices": "WITH p AS (SELECT o_custkey AS client, o_orderdate AS lease_issued_at, o_orderkey % 4 AS charged, o_orderkey AS k FROM orders) SELECT client, lease_issued_at, max(charged) AS charged FROM p WHERE charged > 0 AND (client, lease_issued_at) NOT IN (SELECT (client, lease_issued_at) FROM p WHERE k % 3 = 0) GROUP BY ALL",
     "purchases_detected": "WITH b AS (SELECT c_custkey AS client, CASE WHEN c_custkey % 5 > 0 THEN greatest(c_custkey % 50 - 10, 0) ELSE 0 END AS was FROM customer), p AS (SELECT o_custkey AS client, o_orderdate AS at_, greatest(o_orderkey % 60 - 10, 0) AS now_ FROM orders) SELECT client, min(at_) AS \"at\" FROM p LEFT JOIN b USING (client) WHERE now_ > coalesce(was, 0) GROUP BY client",
     "stream_rollup": f"SELECT {TRUNC}::TIMESTAMP AS hour, event_type AS pii_type, count(*) AS count FROM events GROUP BY ALL",
+    "stream_ui_fold": """WITH e AS (SELECT user_id % 20 AS doc_id, event_id, event_id % 50 = 49 AS ends, event_type AS type, (event_id % 3)::VARCHAR AS value FROM events),
+cut AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part, count(*) FILTER (ends) OVER (PARTITION BY doc_id) AS parts FROM e),
+held AS (SELECT doc_id, part, type, value, count(*) AS count, min(event_id) AS first FROM cut WHERE NOT ends AND part < parts GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id, part ORDER BY first) - 1 AS seq, type, value, count, 'done' AS status FROM held""",
     "stream_grants": "SELECT DISTINCT event_id::VARCHAR AS order_id FROM events",
 }
