@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 200_000
 SLICE = 4_000_000
+LONG = 512
 UNKNOWN_PENALTY = 10.0
 
 
@@ -234,9 +236,10 @@ class Encoder:
         by_length.pop(0, None)
         for words in by_length.values():
             words = list(words)
-            if self.m.bpe:  # the pieces for long runs of spaces share one score: merged one by one
-                self.cache.update((w, self.merge_long(w)) for w in words if long_spaces in w)
-                words = [w for w in words if long_spaces not in w]
+            if self.m.bpe:  # merged one by one: very long words, and long runs of spaces, whose pieces share one score
+                alone = {w for w in words if len(w) > LONG or long_spaces in w}
+                self.cache.update((w, self.merge_long(w)) for w in alone)
+                words = [w for w in words if w not in alone]
             for at in range(0, len(words), 8192):
                 part = words[at : at + 8192]
                 self.cache.update(zip(part, self.viterbi(part)))
@@ -245,7 +248,7 @@ class Encoder:
             self.cache[u] = b"".join(self.m.byte_id[list(r.encode("utf-8", "surrogatepass"))].astype(np.int32).tobytes() if i % 2 else self.cache[r] for i, r in enumerate(runs))
 
     def merge_long(self, word: str) -> bytes:
-        """Merging with a heap: for words with long runs of spaces."""
+        """Merging with a heap: for words that are very long or have long runs of spaces."""
         import heapq
 
         ids, scores, n = self.m.ids, self.m.scores, len(word)
@@ -272,11 +275,28 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers; null and empty texts have none."""
-        cut = [self.units.findall((SPACE if self.m.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [self.units.findall(self.spaced(t)) if t and len(t) <= SLICE else [] for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         self.learn({u for units in cut for u in units if u not in self.cache})
-        return [b"".join(map(self.cache.__getitem__, units)) for units in cut]
+        out = [b"".join(map(self.cache.__getitem__, units)) for units in cut]
+        for i, t in enumerate(texts):
+            if t and len(t) > SLICE:
+                out[i] = self.encode_long(t)
+        return out
+
+    def spaced(self, text: str) -> str:
+        return (SPACE if self.m.prefix else "") + text.replace(" ", SPACE)
+
+    def encode_long(self, text: str) -> bytes:
+        """One text's ids, a bounded number of units at a time."""
+        found, out = (m.group() for m in self.units.finditer(self.spaced(text))), []
+        while part := list(islice(found, 200_000)):
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            self.learn({u for u in part if u not in self.cache})
+            out.append(b"".join(map(self.cache.__getitem__, part)))
+        return b"".join(out)
 
 
 def decode(model: Model, ids: np.ndarray) -> str:

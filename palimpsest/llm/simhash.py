@@ -15,9 +15,10 @@ they get the same kind of key, and no link is lost. Under one key links come out
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +32,39 @@ GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the Golay code's generat
 MAX_BITS = 3
 HOT = 4096
 SMALL = 24
+LONG_TEXT = 8_000_000
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def shingles(text: str | None, words: int) -> Iterator[list[bytes]]:
+    """A text's word shingles, some at a time; fewer words make one shingle of all, none make none."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    held: list[bytes] = []
+    if len(raw) <= LONG_TEXT:
+        parts = iter([raw.split()])
+    else:
+        found = (m.group() for m in WORD.finditer(raw))
+        parts = iter(lambda: list(islice(found, 1 << 17)), [])
+    first = True
+    for part in parts:
+        held += part
+        if len(held) >= words:
+            yield [b" ".join(x) for x in zip(*(held[i:] for i in range(words)))]
+            held, first = held[len(held) - words + 1 :], False
+    if first and held:
+        yield [b" ".join(held)]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats counted; no words: 0. Null is an empty text."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    shingles = [b" ".join(x) for x in zip(*(w[i:] for i in range(words)))] if len(w) >= words else [b" ".join(w)]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), 1 << 16):
-        part = shingles[at : at + (1 << 16)]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
+    ones, n = np.zeros(64, np.int64), 0
+    for some in shingles(text, words):
+        n += len(some)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part))
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -233,13 +253,9 @@ PAIRS = [(a, b) for a in range(WORDS) for b in range(a)]
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in order; fewer words make one shingle, none make none."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    if len(w) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)], np.uint64)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 42) for x in zip(*(w[i:] for i in range(words)))), np.uint64, len(w) - words + 1))
+    """The distinct hashes of a text's word shingles, in order."""
+    parts = [np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in some), np.uint64, len(some)) for some in shingles(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:

@@ -219,6 +219,12 @@ def test_odd_texts(encoder, library, t):
     assert ids.tolist() == library.encode(t) and sentencepiece.decode(encoder.m, ids) == t.replace("▁", " ")
 
 
+def test_very_long_texts(encoder, library, monkeypatch):
+    monkeypatch.setattr(sentencepiece, "SLICE", 1000)
+    text = "the ship  and the harbour\n" * 300 + "x" * 3000
+    assert np.frombuffer(encoder.encode([text, "a"])[0], np.int32).tolist() == library.encode(text)
+
+
 def test_unigram_paths_are_the_best(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -517,6 +523,15 @@ def test_fingerprint(t):
     assert simhash.fingerprint(t) == brute_fingerprint(t)
 
 
+def test_fingerprint_of_a_long_text(monkeypatch, prose):
+    text = prose(2000)
+    want = simhash.fingerprint(text), simhash.shingle_hashes(text, 5).tolist()
+    monkeypatch.setattr(simhash, "LONG_TEXT", 100)
+    monkeypatch.setattr(simhash, "islice", lambda it, n: __import__("itertools").islice(it, 7))
+    assert (simhash.fingerprint(text), simhash.shingle_hashes(text, 5).tolist()) == want
+    assert simhash.fingerprint("a b" + " " * 200) == brute_fingerprint("a b")
+
+
 def test_fingerprint_hash_is_the_engines(spark):
     assert spark.sql("select xxhash64('a b c')").first()[0] % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
 
