@@ -380,7 +380,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with one row kept of each similar group: the one whose id is the smallest. Rows that share that id all stay."""
+    """df with one row kept of each similar group: the one whose id is the smallest.
+
+    Rows that share that id all stay. So do rows without an id, if the text of one of them is in no group that has an id.
+    """
     groups = similar_groups(df, id_col, text_col, words, similarity)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept_id")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id")).distinct()
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")

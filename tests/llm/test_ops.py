@@ -606,6 +606,9 @@ def test_deduplicate_keeps_one_of_each(spark, prose):
     df = docs(spark, [prose(200), base, base, prose(200), base])
     out = simhash.deduplicate(df)
     assert simhash.deduplicate(clashing(df)).count() == 3
+    nameless = df.unionByName(spark.createDataFrame([(None, prose(150), None, None, None)], DOCS))
+    assert simhash.deduplicate(nameless).count() == 4 and simhash.deduplicate(df.unionByName(spark.createDataFrame([(None, base, None, None, None)], DOCS))).count() == 3
+    assert simhash.deduplicate(docs(spark, [])).count() == 0
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 3] and out.columns == df.columns
 
 
