@@ -39,11 +39,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("c"), "m")
+        low = materialise(low, "low")  # a table on either side: a hub's rows can then be split in the join
         return both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        low = materialise(low, "low")
         rest = down.join(low, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return rest.unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
 
@@ -53,7 +55,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select("u", "v").where("u <> v").distinct(), "edges")
     seen = state(now)
     while seen[0]:
-        now = materialise(small(large(now).where("u <> v").distinct()).where("u <> v").distinct(), "stars")
+        stars = materialise(large(now).where("u <> v").distinct(), "stars")
+        now = materialise(small(stars).where("u <> v").distinct(), "stars")
         if seen == (seen := state(now)):
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
