@@ -58,7 +58,8 @@ def detect_rules(chunked: DataFrame, patterns: dict[str, str] = PATTERNS, id_col
         return F.transform(matches(F.col("chunk"), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"), m["text"].alias("text")))
 
     ordered = F.array_sort(F.concat(*[labelled(label, p) for label, p in patterns.items()]))
-    rows = chunked.select(id_col, "chunk_idx", "chunk_offset", F.posexplode(ordered).alias("ent_idx", "e"))
+    # the outer form: for the inner one a filter on the list's size is inferred, which would find all matches twice
+    rows = chunked.select(id_col, "chunk_idx", "chunk_offset", F.posexplode_outer(ordered).alias("ent_idx", "e")).where("e is not null")
     return rows.select(id_col, "chunk_idx", "chunk_offset", "ent_idx", "e.*", F.lit(1.0).alias("score"))
 
 
@@ -164,6 +165,25 @@ def _laid_out(ids: pa.Array, texts: list[str], id_col: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=[id_col, "page_num", "line_no", "word_idx", "text", "x0", "y0", "x1", "y1", "line_idx", "char_start", "char_end"])
 
 
+def layout_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text): what indexed_text() gives for the words of layout_words(), made from each text in place. Texts without words are left out."""
+
+    def one(text: str) -> str:
+        pages: dict[int, list[str]] = {}
+        for i, line in enumerate(text.split("\n")):
+            if words := [w for w in line.split(" ") if w]:
+                pages.setdefault(i // PAGE_LINES + 1, []).append(" ".join(words))
+        return "\n\n".join(f"[Page {n}]\n" + "\n".join(lines) for n, lines in pages.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t or "") for t in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+            yield made.filter(pa.array([bool(t.as_py()) for t in made.column(1)], pa.bool_()))
+
+    kept = df.select(id_col, F.col(text_col).cast("string"))
+    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, text string")
+
+
 def index_words(words: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """words with line_idx (over all pages) and their half-open range [char_start, char_end) in the indexed text.
 

@@ -197,6 +197,7 @@ SELECT client, seq::BIGINT AS seq, reason IS NULL AS allow, reason, used_before:
     "index_words": "WITH " + LAYOUT + " SELECT doc_id, page_num, line_idx, word_idx, char_start, (char_start + length(text))::INTEGER AS char_end, text, x0, x1, y0 FROM indexed",
     "index_word_rows": "WITH " + LAYOUT + " SELECT doc_id, page_num, line_idx, word_idx, char_start, (char_start + length(text))::INTEGER AS char_end FROM indexed",
     "indexed_text": "WITH " + LAYOUT + " SELECT doc_id, length(text)::INTEGER AS n, md5(text) AS text_md5 FROM full_texts",
+    "layout_text": "WITH " + LAYOUT + " SELECT doc_id, length(text)::INTEGER AS n, md5(text) AS text_md5 FROM full_texts",
     "resolve_entity_boxes": PLACED + " SELECT doc_id, g_start, label, value, page_num, line_idx, x0, y0, x1, y1 FROM placed",
     "pixel_boxes": PLACED + f" SELECT doc_id, g_start, value, line_idx, {PX} FROM placed",
     "custom_pii_parse": CUSTOM + " SELECT value, coalesce(arg_min(type, seq * 1000 + part_no) FILTER (type <> 'other'), 'other') AS type FROM entries GROUP BY value",

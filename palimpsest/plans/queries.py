@@ -73,14 +73,18 @@ def indexed_text(spark, sf_dir):
     return spans.indexed_text(spans.layout_words(_docs(spark, sf_dir))).select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def layout_text(spark, sf_dir):
+    return spans.layout_text(_docs(spark, sf_dir)).select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _boxes(spark, sf_dir):
     """Words of documents with a hit somewhere, and the boxes of their entities."""
     hit = F.lit(False)
     for p in spans.PATTERNS.values():
         hit = hit | F.col("text").rlike(p)
-    words = spans.layout_words(_docs(spark, sf_dir).where(hit))
-    found = spans.items(spans.entities(spans.indexed_text(words)))
-    return spans.resolve(found, words).withColumn("type", labels.category(F.col("label")))
+    docs = _docs(spark, sf_dir).where(hit)
+    found = spans.items(spans.entities(spans.layout_text(docs)))
+    return spans.resolve(found, spans.layout_words(docs)).withColumn("type", labels.category(F.col("label")))
 
 
 def resolve_entity_boxes(spark, sf_dir):
@@ -584,7 +588,7 @@ def sample_kinds(spark, sf_dir):
 
 QUERIES = [
     acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
-    chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, index_word_rows, indexed_text, resolve_entity_boxes, pixel_boxes,
+    chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, index_word_rows, indexed_text, layout_text, resolve_entity_boxes, pixel_boxes,
     custom_pii_parse, custom_pii_match, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
     star_text, hash_text, deny_list, cluster_lines, ocr_words, ui_groups, selected_by_type, page_span, keep_checked, selected_values, union_identifiers, detection_json,
     chunk_dump, format_identifier, ui_formats, output_paths, redeem_status, tier_dimension, label_categories, device_id, validate_ids, request_lines, identifier_lists, clean_custom,
