@@ -23,7 +23,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
@@ -242,13 +242,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # shingles, of which an edit spoils fewer: about 9 % of the bits then differ. And it is wider, WORDS words of 23 bits, with
 # the Golay code as a quantiser: each word is decoded to its one nearest codeword, which noise of a few bits often leaves
 # alone. Two codeword indices make a key of 24 bits; every pair of words makes one. Texts that share a key and are near on the
-# first 128 bits are candidates, and their sets of five-word shingles are compared exactly.
+# first 128 bits are candidates. Chains of candidates make crowds, and all texts of a crowd are compared exactly, by their sets of
+# five-word shingles: nothing leaves a crowd on its fingerprint's word. A crowd of more than BLOCK texts first meets PIVOTS of
+# its own, then the PIVOTS that most of those are linked to; if its texts aren't one group by then, blocks of it are compared two by two.
 
 WORDS = 16
 SKETCH = 2
 WIDE = WORDS * 23
 FEW = 8
-NEAR, NEARER = 24, 16  # of 128 bits: for all pairs of a small bucket, and for the forest of a large one
+NEAR = 24  # of 128 bits
+BLOCK, BLOCK_BYTES = 128, 1 << 24
+PIVOTS = 16
 PAIRS = [(a, b) for a in range(WORDS) for b in range(a)]
 
 
@@ -288,7 +292,8 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _candidates(key: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
     """Near pairs under each key of rows that come sorted by key and rep, with whole buckets.
 
-    Of large buckets a forest, grown from the smallest reps: the same group meets under many keys, and so gives the same pairs.
+    Of large buckets a forest, which chains the same rows as all near pairs would. It grows from the smallest reps: the same
+    group meets under many keys, and so gives the same pairs.
     """
     sketch = np.stack([low, high], axis=1).view(np.uint64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -308,7 +313,7 @@ def _candidates(key: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndar
             todo, left = [left[0]], left[1:]
             while todo and len(left):
                 at = todo.pop()
-                near = _near(sketch[left], sketch[[at]]) <= NEARER
+                near = _near(sketch[left], sketch[[at]]) <= NEAR
                 us.append(np.full(int(near.sum()), rep[at]))
                 vs.append(rep[left[near]])
                 todo += left[near].tolist()
@@ -317,8 +322,42 @@ def _candidates(key: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
+def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets (of distinct numbers) are at least so similar, each pair compared: a matrix, true on its diagonal."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[column] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[column[often]], owner[often]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int((times > 1).sum()), 4096):
+        i = slice(*np.searchsorted(column, [at, at + 4096]))
+        some = np.zeros((len(sets), 4096), np.float32)
+        some[owner[i], column[i] - at] = 1
+        both += some @ some.T
+    linked = both >= similarity * (sizes[:, None] + sizes - both)
+    np.fill_diagonal(linked, True)
+    return linked
+
+
+def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A forest that spans the links."""
+    left, out = np.arange(len(linked)), []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            near = linked[at, left]
+            out += [(at, x) for x in left[near]]
+            todo += left[near].tolist()
+            left = left[~near]
+    return out
+
+
 def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(u, v): representatives whose shingle sets are at least so similar, of distinct (fp, rep)."""
+    """(u, v): links that span the groups of representatives whose shingle sets are at least so similar, of distinct (fp, rep)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,27 +375,58 @@ def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
+            found = pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], found], names=["id", "crowd", "shingles"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            us, vs = [], []
+            for u, x, pivots in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                for p in pivots:
+                    y = np.frombuffer(p["shingles"].as_py(), np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both):
+                        us.append(u)
+                        vs.append(p["id"].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    def compare(part: pa.Table) -> pa.Table:
+        ids = part["id"].to_numpy()
+        found = _spanning(linked_sets([np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()], similarity))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(ids[at[:, 0]], pa.int64()), "v": pa.array(ids[at[:, 1]], pa.int64())})
 
     keyed = distinct.select("fp", "rep").mapInArrow(spread, "key long, low long, high long, rep long")
     found = keyed.repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(links, "u long, v long")
-    pairs = materialise(found.where("u <> v").distinct(), "wide-pairs")
-    wanted = materialise(pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct(), "wide-wanted")
+    crowds = materialise(connected_components(materialise(found.where("u <> v").distinct(), "wide-pairs")), "wide-crowds")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(wanted, F.col("id") == F.col("wanted"), "left_semi").mapInArrow(sets, "id long, shingles binary")
+    held = texts.join(crowds, F.col("id") == F.col("node")).select("id", F.col("component").alias("crowd"), "text").mapInArrow(sets, "id long, crowd long, shingles binary")
     held = materialise(held.dropDuplicates(["id"]), "wide-sets")
-    left, right = (held.select(F.col("id").alias(f"{c}_id"), F.col("shingles").alias(f"{c}_set")) for c in "uv")
-    both = pairs.join(left, F.col("u") == F.col("u_id")).join(right, F.col("v") == F.col("v_id"))
-    return both.select("u", "v", "u_set", "v_set").mapInArrow(verify, "u long, v long")
+    sizes = held.groupBy("crowd").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = materialise(sizes.select(F.col("crowd").alias("of"), F.greatest("blocks", F.lit(1)).alias("blocks")), "wide-sizes")
+    large = materialise(held.join(sizes.where("blocks > 1"), F.col("crowd") == F.col("of")).select("id", "crowd", "shingles"), "wide-large")
+
+    def met(rank: DataFrame) -> DataFrame:
+        """Links of all texts of large crowds to their crowd's pivots, the first of (id, crowd, score)."""
+        first = rank.withColumn("place", F.row_number().over(Window.partitionBy("crowd").orderBy(F.desc("score"), F.xxhash64("id")))).where(F.col("place") <= PIVOTS)
+        first = first.select(F.col("id").alias("pivot"))
+        pivots = large.join(first, F.col("id") == F.col("pivot")).groupBy(F.col("crowd").alias("of")).agg(F.collect_list(F.struct("id", "shingles")).alias("pivots"))
+        pivots = materialise(pivots, "wide-pivots")
+        rows = large.join(pivots, F.col("crowd") == F.col("of")).select("id", "shingles", "pivots")
+        return materialise(rows.mapInArrow(meet, "u long, v long").where("u <> v"), "wide-met")
+
+    once = met(large.select("id", "crowd", F.lit(0).alias("score")))
+    score = once.groupBy("u").agg(F.count(F.lit(1)).alias("score"))
+    twice = once.unionByName(met(large.select("id", "crowd").join(score, F.col("id") == F.col("u"), "left").select("id", "crowd", F.coalesce("score", F.lit(0)).alias("score"))))
+    parts = connected_components(twice).select("node", "component")
+    state = large.select("id", "crowd").join(parts, F.col("id") == F.col("node"), "left").select("crowd", F.coalesce("component", "id").alias("part"))
+    whole = state.groupBy("crowd").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least = most").select(F.col("crowd").alias("of"))
+    todo = materialise(sizes.join(whole, "of", "left_anti"), "wide-todo")
+    cut = held.join(todo, F.col("crowd") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("crowd", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "shingles")
+    return twice.unionByName(cut.groupBy("crowd", "a", "b").applyInArrow(compare, "u long, v long"))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -650,3 +650,28 @@ def test_similar_groups_of_a_crowd(spark):
         texts.append(" ".join(w))
     got = simhash.similar_groups(docs(spark, texts + ["something else entirely of its own kind"])).collect()
     assert {r.component_id for r in got} == {0, 120}
+
+
+def test_similar_groups_of_a_star(spark):
+    """A base with a middle id, within 0.8 of every copy; most copies are not within 0.8 of each other."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = []
+    for i in range(200):
+        w = list(base)
+        for j in range(5):
+            w[rng.randrange(60 * j, 60 * j + 56)] = f"x{i}.{j}"
+        texts.append(" ".join(w))
+    texts[100] = " ".join(base)
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    near = [len(x & sets[100]) / len(x | sets[100]) >= 0.8 for x in sets]
+    assert all(near) and sum(len(x & sets[0]) / len(x | sets[0]) < 0.8 for x in sets) > 150
+    got = simhash.similar_groups(docs(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_linked_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12))).astype(np.uint64) for _ in range(60)]
+    want = [[len(set(x) & set(y)) >= 0.6 * len(set(x) | set(y)) for y in sets] for x in sets]
+    assert (simhash.linked_sets(sets, 0.6) == np.array(want)).all()
