@@ -436,8 +436,18 @@ def digest(spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """df with the repeated strings cut out of its texts; characters of which only some bytes are left go too. Every row stays."""
+def whole_words(text: bytes, a: int, z: int) -> int:
+    """How many words of the text lie wholly in [a, z)."""
+    words = text[a:z].split()
+    cut = (a > 0 and not text[a - 1 : a].isspace() and not text[a : a + 1].isspace()) + (z < len(text) and not text[z : z + 1].isspace() and not text[z - 1 : z].isspace())
+    return max(0, len(words) - cut)
+
+
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, over: int = 0) -> DataFrame:
+    """df with the repeated strings cut out of its texts; characters of which only some bytes are left go too. Every row stays.
+
+    With `over`, a span stays in its text unless more than so many whole words lie in it.
+    """
     names = df.columns
     at = names.index(text_col)
     found = repeated_spans(df, text_col, length, gram)
@@ -447,7 +457,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
             texts = b.column(at).to_pylist()
             for i, v in enumerate(b.column(b.num_columns - 1)):
                 if texts[i] is not None and v.is_valid:
-                    texts[i] = remainder(texts[i].encode("utf-8", "surrogatepass"), _spans(v.as_py())).decode("utf-8", "ignore")
+                    raw = texts[i].encode("utf-8", "surrogatepass")
+                    texts[i] = remainder(raw, [x for x in _spans(v.as_py()) if not over or whole_words(raw, *x) > over]).decode("utf-8", "ignore")
             cols = b.columns[:-1]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)

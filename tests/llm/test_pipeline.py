@@ -52,3 +52,16 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, "unused"), name)
         assert docs.count() == 0
+
+
+def test_passage_of_51_words_is_cut(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    long, short = prose(51), prose(50)
+    assert 250 < len(long) < 400 and len(short) >= 200
+    texts = [f"{prose(80)} {p} {prose(80)}" for p in (long, long, short, short)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "unused").collect()}
+    assert all(long not in got[i] and len(got[i]) <= len(texts[i]) - len(long) for i in (0, 1))
+    assert [got[2], got[3]] == texts[2:]
