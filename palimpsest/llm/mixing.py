@@ -2,7 +2,8 @@
 
 A source's mean repetition rate is its target share of the output over its share of the input. Each document's number of
 copies is a Poisson variable with that mean: a uniform number from a seeded hash of its id is put through the inverse
-distribution function, a short array for each source. Copies are exploded and all rows are put in the order of a second
+distribution function, a short array for each source. A rate above MAX_RATE is a sum of equal parts, each drawn from a hash of its own:
+the sum of independent Poisson variables is one too. Copies are exploded and all rows are put in the order of a second
 hash, so neighbours come from all sources.
 """
 
@@ -15,6 +16,7 @@ from .common import materialise
 
 BROADCAST_SOURCES = 100_000
 MAX_RATE = 10_000.0
+RUN = 10_000
 
 
 def uniform(text: Column) -> Column:
@@ -36,10 +38,10 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """(source, bytes, rate, cdf) for each source, null included.
+    """(source, bytes, rate, parts, cdf) for each source, null included; cdf is that of one of the rate's equal parts.
 
     Target weights are given (sources left out have 0) or the source's bytes to the power alpha. A source without bytes has
-    rate 0 if its weight is 0, otherwise `epochs`. A rate above MAX_RATE is an error: such a target asks for that many copies of each document.
+    rate 0 if its weight is 0, otherwise `epochs`. A rate above MAX_RATE is an error where weights are given: such a target asks for that many copies of each document.
     """
     sizes = df.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0))).cast("double").alias("bytes"))
     if weights is None:
@@ -50,8 +52,10 @@ def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, floa
     sizes = materialise(sizes.withColumn("weight", weight), "mix-sizes")
     total, weigh = sizes.agg(F.sum("bytes"), F.sum("weight")).first()
     rate = F.when(F.col("bytes") > 0, F.lit(epochs * float(total or 0)) * F.col("weight") / F.lit(float(weigh or 1) or 1.0) / F.col("bytes")).when(F.col("weight") > 0, F.lit(epochs)).otherwise(0.0)
-    checked = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.lit(f"a source's repetition rate is above {MAX_RATE}")).cast("double"))
-    return materialise(sizes.withColumn("rate", checked).withColumn("cdf", poisson_cdf(F.col("rate"))), "mix-rates")
+    if weights is not None:
+        rate = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.lit(f"a source's repetition rate is above {MAX_RATE}")).cast("double"))
+    parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    return materialise(sizes.withColumn("rate", rate).withColumn("parts", parts).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts"))), "mix-rates")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -62,12 +66,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     already there are replaced.
     """
     df = df.drop("copy", "shuffle_key")
-    found = rates(df, source_col, text_col, weights, alpha, epochs).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
+    found = rates(df, source_col, text_col, weights, alpha, epochs).select(F.col("source").alias("__mix_source"), F.col("parts").alias("__mix_parts"), F.col("cdf").alias("__mix_cdf"))
     found = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found  # beyond, a plain join that AQE splits where it is skewed
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    draw = uniform(F.concat(F.lit(f"{seed}:"), key))
-    drawn = df.join(found, F.col(source_col).eqNullSafe(F.col("__mix_source"))).withColumn("__mix_u", draw)
-    copies = F.size(F.filter("__mix_cdf", lambda c: F.col("__mix_u") >= c))
-    rows = drawn.withColumn("__mix_n", copies).where(F.col("__mix_n") > 0).drop("__mix_cdf", "__mix_u", "__mix_source")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).drop("__mix_n")
+    first = F.array(uniform(F.concat(F.lit(f"{seed}:"), key)))
+    more = F.transform(F.sequence(F.lit(1), F.col("__mix_parts") - 1), lambda j: uniform(F.concat(F.lit(f"{seed}#"), j.cast("string"), F.lit(":"), key)))
+    draws = F.when(F.col("__mix_parts") > 1, F.concat(first, more)).otherwise(first)
+    drawn = df.join(found, F.col(source_col).eqNullSafe(F.col("__mix_source"))).withColumn("__mix_u", draws)
+    copies = F.aggregate("__mix_u", F.lit(0), lambda n, u: n + F.size(F.filter("__mix_cdf", lambda c: u >= c)))
+    rows = drawn.withColumn("__mix_n", copies).where(F.col("__mix_n") > 0).drop("__mix_cdf", "__mix_u", "__mix_source", "__mix_parts")
+    rows = rows.withColumn("__mix_from", F.explode(F.sequence(F.lit(1), F.col("__mix_n"), F.lit(RUN))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("__mix_from"), F.least("__mix_n", F.col("__mix_from") + (RUN - 1))))).drop("__mix_n", "__mix_from")
     return rows.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("copy").cast("string")).cast("binary"))).orderBy("shuffle_key")

@@ -424,6 +424,15 @@ def test_large_rates(spark):
         mixing.mix(docs(spark, ["a" * 1000] * 20_000 + ["b"], source=["s"] * 20_000 + ["t"]), weights={"t": 1.0}).count()
 
 
+def test_mix_of_a_tiny_source(spark):
+    text = "a" * 500_000
+    out = mixing.mix(docs(spark, [text] * 1000 + ["b"], source=["s"] * 1000 + ["t"]))
+    rate = (500_000_001 / (math.sqrt(500_000_000) + 1)) / 1
+    assert rate > 2 * mixing.MAX_RATE
+    got = out.where("source = 't'").agg(F.count(F.lit(1)), F.countDistinct("copy"), F.max("copy")).first()
+    assert got[0] == got[1] == got[2] and abs(got[0] - rate) < 6 * math.sqrt(rate)
+
+
 def test_mix_has_no_python(spark, sf):
     plan = entry.queries()["op6_mix"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
