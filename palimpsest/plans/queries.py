@@ -105,15 +105,8 @@ def custom_pii_parse(spark, sf_dir):
     return _custom(spark).select("value", "type")
 
 
-def _custom_boxes(spark, sf_dir):
-    given = _custom(spark).where("value = 'Th Heing'")
-    hit = text.norm(F.col("text")).contains("thheing")
-    words = spans.layout_words(_docs(spark, sf_dir).where(hit))
-    return match.match_custom(words, given)
-
-
 def custom_pii_match(spark, sf_dir):
-    return _custom_boxes(spark, sf_dir)
+    return match.match_custom(spans.layout_words(_docs(spark, sf_dir)), _custom(spark))
 
 
 def _custom_area(found):

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -36,3 +39,18 @@ def test_plans_push_down_and_prune(spark, sf):
     assert "ReadSchema: struct<ts:timestamp_ntz>" in plan
     plan = catalogue.queries()["purchased_total"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan
+
+
+def made(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_custom_pii_match_is_brute_force(spark, tmp_path):
+    texts = ["a Th Heing here", "a plain odd one is plain", "call 555-0100 or ann@example.com", "o f t he of", "078 05 1120 with no type", "nothing to see"]
+    sf = made(spark, tmp_path, texts)
+    letters = lambda t: re.sub("[^a-z0-9]", "", t.lower())
+    values = [r.value for r in catalogue.queries()["custom_pii_parse"](spark, sf).collect()]
+    want = Counter({(i, v): n for i, t in enumerate(texts) for v in values if letters(v) and (n := letters(t).count(letters(v)))})
+    assert len({v for _, v in want}) > 5
+    assert Counter((r.doc_id, r.value) for r in catalogue.queries()["custom_pii_match"](spark, sf).collect()) == want
