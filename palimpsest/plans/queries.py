@@ -78,13 +78,11 @@ def layout_text(spark, sf_dir):
 
 
 def _boxes(spark, sf_dir):
-    """Words of documents with a hit somewhere, and the boxes of their entities."""
-    hit = F.lit(False)
-    for p in spans.PATTERNS.values():
-        hit = hit | F.col("text").rlike(p)
-    docs = _docs(spark, sf_dir).where(hit)
+    """The boxes of all entities of the indexed texts; words are laid out for documents that have any."""
+    docs = _docs(spark, sf_dir)
     found = spans.items(spans.entities(spans.layout_text(docs)))
-    return spans.resolve(found, spans.layout_words(docs)).withColumn("type", labels.category(F.col("label")))
+    hit = docs.join(found.select(F.col("doc_id").alias("hit_id")).distinct(), F.col("doc_id") == F.col("hit_id"), "left_semi")
+    return spans.resolve(found, spans.layout_words(hit)).withColumn("type", labels.category(F.col("label")))
 
 
 def resolve_entity_boxes(spark, sf_dir):

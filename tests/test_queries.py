@@ -54,3 +54,9 @@ def test_custom_pii_match_is_brute_force(spark, tmp_path):
     want = Counter({(i, v): n for i, t in enumerate(texts) for v in values if letters(v) and (n := letters(t).count(letters(v)))})
     assert len({v for _, v in want}) > 5
     assert Counter((r.doc_id, r.value) for r in catalogue.queries()["custom_pii_match"](spark, sf).collect()) == want
+
+
+def test_boxes_of_a_number_with_two_spaces(spark, tmp_path):
+    sf = made(spark, tmp_path, ["call (555)  555-0100 now", "nothing to see"])
+    got = catalogue.queries()["resolve_entity_boxes"](spark, sf).collect()
+    assert {(r.doc_id, r.value) for r in got} == {(0, "(555) 555-0100")}
