@@ -84,11 +84,12 @@ def segments(text: bytes, length: int, gram: int, salt: int = 0) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
-    """Ranks of all suffixes by their first 7, 21, 63, ... symbols until `depth`, and the order by the last.
+def suffix_ranks(text: np.ndarray, depth: int | None = None) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Ranks of all suffixes by their first 7, 21, 63, ... symbols until no two are equal (or until `depth`), and the suffix order.
 
     A rank is the place of the first suffix with that beginning. Each step puts three ranks into one key and sorts only
-    what is still tied. Symbols take 9 bits (bytes plus one; 0 separates). Behind the end stand zeros.
+    what is still tied. Symbols take 9 bits (bytes plus one; 0 separates). Behind the end stand zeros. Matching statistics
+    take no depth: the step from a position's match to the next one's holds only for the true suffix order, with nothing tied.
     """
     n = len(text)
     if n >= 1 << 21:
@@ -103,25 +104,24 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[list[tuple[int, np.ndarr
     ordered = key[order]
     rank[order] = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], np.arange(n), 0))
     size, levels = 7, [(7, rank.astype(np.int32))]
-    while size < depth:
-        tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
-        if len(tied):
-            far = np.zeros(n + 2 * size, np.int64)
-            far[:n] = rank + 1
-            key = rank[tied] << 42 | far[tied + size] << 21 | far[tied + 2 * size]
-            by = np.argsort(key)
-            key, old = key[by], rank[tied[by]]
-            at = np.arange(len(tied))
-            group = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], at, 0))
-            inner = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
-            rank[tied[by]] = old + inner - group
+    tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    while len(tied) and (depth is None or size < depth):
+        far = np.r_[rank + 1, 0]
+        key = rank[tied] << 42 | far[np.minimum(tied + size, n)] << 21 | far[np.minimum(tied + 2 * size, n)]
+        by = np.argsort(key)
+        key, old = key[by], rank[tied[by]]
+        at = np.arange(len(tied))
+        group = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], at, 0))
+        inner = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+        rank[tied[by]] = old + inner - group
         size *= 3
         levels.append((size, rank.astype(np.int32)))
-    return levels, np.argsort(levels[-1][1])
+        tied = tied[np.bincount(rank, minlength=n)[rank[tied]] > 1]
+    return levels, np.argsort(rank, kind="stable")
 
 
 def _common(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and b, up to the deepest level's size and a little more."""
+    """Lengths of the common prefixes of the different suffixes at a and b, from the levels' ranks downwards."""
     n, got = len(text), np.zeros(len(a), np.int64)
 
     def same(values: np.ndarray) -> np.ndarray:
@@ -129,27 +129,23 @@ def _common(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarra
         inside = (x < n) & (y < n)
         return inside & (values[np.minimum(x, n - 1)] == values[np.minimum(y, n - 1)])
 
-    full = np.zeros(len(a), bool)
-    for i, (size, rank) in enumerate(reversed(levels)):
-        for _ in range(1 if i == 0 else 2):
-            hit = same(rank) & ~full
-            got += size * hit
-            full |= hit if i == 0 else False
-    live = ~full
+    for size, rank in reversed(levels):
+        for _ in range(2):
+            got += size * same(rank)
+    live = np.ones(len(a), bool)
     for _ in range(6):
         live &= same(text)
         got += live
     return got
 
 
-def matching_statistics(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """For each position, how long the longest match with another position is.
+def matching_statistics(text: np.ndarray, starts: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """For each position, how long the longest match with another position is, cut at `depth`.
 
-    Exact up to `depth` less the position's place in its segment; longer matches show as at least that.
     text: symbols, 0 between segments; starts: the segments' first places, where the stream is sampled afresh.
     """
     n = len(text)
-    levels, order = suffix_ranks(text, depth)
+    levels, order = suffix_ranks(text)
     before = text[order - 1]  # the transform; the first symbol's is the last one
     sampled = np.r_[True, before[1:] != before[:-1]]  # heads of runs; the place before each is a run's end
     place = np.empty(n, np.int64)
@@ -167,7 +163,7 @@ def matching_statistics(text: np.ndarray, starts: np.ndarray, depth: int) -> np.
         value[edge] = 0
         last = np.maximum.accumulate(np.where(value >= 0, places, 0))  # the sample at or before each place
         longest = np.maximum(longest, np.maximum(value[last], 0) - (places - last))
-    return longest
+    return longest if depth is None else np.minimum(longest, depth)
 
 
 def index_matches(parts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -180,7 +176,7 @@ def index_matches(parts: list[bytes], length: int) -> list[list[tuple[int, int]]
     text[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
     rest = starts[owner] + sizes[owner] - np.arange(len(text))
-    found = matching_statistics(text, starts, length + int(sizes.max()) - length + 1)
+    found = matching_statistics(text, starts)
     marked = np.flatnonzero((found >= length) & (rest >= length))
     out: list[list[tuple[int, int]]] = [[] for _ in parts]
     if len(marked):

@@ -334,6 +334,39 @@ def test_matching_statistics(parts):
         assert min(got[i], most) == min(best, most)
 
 
+@pytest.mark.parametrize("gram,length,n", [(16, 20, 250), (45, 56, 150), (300, 400, 25)])
+def test_index_misses_nothing(gram, length, n):
+    """Distinct segments of random, near-constant and periodic text, and cuttings of one text."""
+    rng = random.Random(length)
+
+    def text(k):
+        kind = rng.randrange(4)
+        unit = bytes(rng.randrange(3) for _ in range((k, 1, rng.randrange(2, 9), k)[kind]))
+        out = bytearray((unit * k)[:k])
+        for _ in range(rng.randrange(3) if kind else 0):
+            out[rng.randrange(k)] = 7
+        return bytes(out)
+
+    for _ in range(n):
+        pool, parts = text(8 * length), set()
+        for _ in range(rng.randrange(2, 30)):
+            k = rng.randrange(length, 2 * length - gram + 1)
+            at = rng.randrange(len(pool) - k)
+            parts.add(pool[at : at + k] if rng.random() < 0.7 else text(k))
+        parts = sorted(parts)
+        count = {}
+        for p in parts:
+            for i in range(len(p) - length + 1):
+                count[p[i : i + length]] = count.get(p[i : i + length], 0) + 1
+        for p, found in zip(parts, suffix_dedup.index_matches(parts, length)):
+            want, got = np.zeros(len(p), bool), np.zeros(len(p), bool)
+            for i in range(len(p) - length + 1):
+                want[i : i + length] |= count[p[i : i + length]] > 1
+            for a, z in found:
+                got[a:z] = True
+            assert (got == want).all()
+
+
 def test_index_is_run_compressed(prose):
     text = np.frombuffer((prose(400) * 4).encode(), np.uint8).astype(np.int64) + 1
     _, order = suffix_dedup.suffix_ranks(text, 400)
