@@ -1,75 +1,52 @@
-"""A labelled synthetic corpus: weighted templates, value generators and noise, as column expressions.
+"""A labelled synthetic corpus: notes of labelled sentences between plain ones, as column expressions.
 
-Every random choice is a hash of (seed, row, purpose), so any row can be made anywhere, in any order, and again. Values use
+Every random choice is a hash of (seed, row, purpose), so any row can be made anywhere, in any order, and again. A note's kind
+says which values it holds; each value stands in a sentence of its own kind, and plain sentences stand between them. Values use
 reserved ranges: example.com, 555-01xx, 192.0.2.x, test card numbers and social security numbers that are never issued.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Kinds of sample and how often each is drawn. Braces name the labelled values.
-TEMPLATES: dict[str, tuple[int, str]] = {
-    "wage_statement_employee": (10, "Wage and tax statement {year} Employee {full_name} Address {address} No {social_security_number}"),
-    "wage_statement_employer": (4, "Employer copy {company} {address} Employee number {account_id}"),
-    "paystub": (5, "Pay period {year} {full_name} Deposit to {account_id} Net {money}"),
-    "id_card": (5, "Identity card {full_name} Born {date} No {government_id}"),
-    "flight_booking": (5, "Booking for {full_name} contact {email_address} Total {money}"),
-    "boarding_pass": (3, "Boarding pass {full_name} Seat 12A Gate 7"),
-    "utility_bill": (5, "Electricity bill {full_name} {address} Account {account_id} Due {money}"),
-    "medical": (5, "Patient {full_name} Born {date} Record {other_pii}"),
-    "prescription": (3, "Rx {full_name} {address} Tablets 20 mg"),
-    "bank_statement": (4, "Statement {full_name} Account {account_id} Balance {money}"),
-    "cheque": (3, "Pay to the order of {full_name} {money} from {account_id}"),
-    "card_statement": (4, "Card {credit_card_number} of {full_name} Owing {money}"),
-    "shipping_label": (4, "Ship to {full_name} {address} Phone {phone_number}"),
-    "resume": (3, "{full_name} {email_address} {phone_number} Experience {year}"),
-    "mail_signature": (3, "Kind regards {full_name} {company} {email_address} {phone_number}"),
-    "driving_licence": (4, "Driver licence {government_id} {full_name} {address} Born {date}"),
-    "passport": (3, "Passport {government_id} {full_name} Born {date}"),
-    "contractor_form": (3, "Nonemployee pay {money} {full_name} {social_security_number}"),
-    "loan_application": (3, "Loan of {money} to {full_name} {social_security_number} {address} {phone_number}"),
-    "voter_registration": (2, "Voter {full_name} {address} Born {date}"),
-    "lease": (2, "Tenant {full_name} rents {address} at {money}"),
-    "invoice": (3, "Invoice to {full_name} {email_address} Sum {money}"),
-    "hotel_folio": (3, "Room 214 {full_name} Card {credit_card_number} Total {money}"),
-    "foreign_address": (3, "{full_name} Rue du Quai 4 75000 Paris {email_address}"),
-    "foreign_phone": (2, "Call {full_name} on {phone_number}"),
-    "plain_name": (4, "{full_name}"),
-    "plain_email": (4, "{email_address}"),
-    "plain_phone": (4, "{phone_number}"),
-    "plain_ssn": (3, "{social_security_number}"),
-    "plain_card": (3, "{credit_card_number}"),
-    "plain_ip": (2, "{other_pii}"),
-    "noise_only": (6, "Page {year} of {money} see instructions"),
-    "merged_columns": (3, "Name Address {full_name} {address} Total Due {money}"),
-    "character_swaps": (3, "Narne {full_name} Acc0unt {account_id}"),
-    "fragmented_address": (5, "{full_name} street and town: {address} (continued)"),
-    "repeated_copy": (3, "Copy A {full_name} {social_security_number} Copy B"),
-    "field_soup": (3, "Box 1 {money} Box 2 {full_name} Box 3 {account_id} Box 4 {date}"),
-    "jury_summons": (2, "Summons {full_name} {address} Juror {other_pii}"),
-    "student_record": (3, "Student {full_name} Born {date} Number {account_id}"),
-    "insurance_claim": (3, "Claim {other_pii} {full_name} {phone_number} Sum {money}"),
-    "name_then_label": (6, "{full_name} (name) {address} (address)"),
-    "masked_number": (2, "xxx-xx-1234 in full {social_security_number} {full_name}"),
-    "distractors": (2, "Order 4111 Item 555 Lot 078 {full_name}"),
+#: How often each kind of note is drawn, and the values it holds: one or two of every pattern of the rule detector, and none.
+KINDS: dict[str, tuple[int, list[str]]] = {
+    "contact": (5, ["full_name", "email_address", "phone_number"]),
+    "delivery": (4, ["full_name", "address", "phone_number"]),
+    "payment": (4, ["full_name", "credit_card_number", "date"]),
+    "payroll": (3, ["full_name", "social_security_number", "account_id"]),
+    "border": (2, ["full_name", "government_id", "date"]),
+    "sign_in": (2, ["email_address", "other_pii"]),
+    "nothing": (3, []),
+}
+#: Sentences around a value; # is where it stands.
+SENTENCES = {
+    "full_name": ["The form was filled in by #.", "Please ask for #.", "# called this morning."],
+    "email_address": ["Write to # with questions.", "The answer went to # yesterday."],
+    "phone_number": ["Call # before noon.", "The number on file is #."],
+    "address": ["It goes to # by van.", "The house is at #."],
+    "credit_card_number": ["The card used was #.", "Charge # once more."],
+    "social_security_number": ["The number # was checked twice.", "Tax papers carry #."],
+    "date": ["It is dated #.", "The paper runs out on #."],
+    "account_id": ["Money goes to account #.", "The books show account #."],
+    "government_id": ["Document # was shown at the desk.", "The clerk noted #."],
+    "other_pii": ["The request came from #.", "Somebody signed in from #."],
 }
-UNLABELLED = {"year", "money", "company"}
+PLAIN = ["The lift is out of order again.", "Rain is expected by the weekend.", "Two copies were made.", "The meeting room is booked until four.", "Nobody answered the door.", "Stamps are in the second drawer."]
+PLAIN_SHARE, BREAK_SHARE = 0.4, 0.25
 
 FIRST = ["Ann", "Bob", "Cleo", "Dev", "Elif", "Femi", "Gita", "Hugo", "Ines", "Jo"]
 LAST = ["Example", "Sample", "Tester", "Doe", "Quay", "Harbour", "Stone", "River"]
 STREETS = ["Quay", "Mill", "Church", "Station", "Garden", "Bridge"]
 TOWNS = ["Porthaven", "Eastwick", "Millford", "Lakeside"]
-NOISE = ["Box 12", "$1,204.00", "---", "N/A", "cont.", "see instr.", "||", "0041"]
 
 
 def uniform(seed: int, row: Column, *what: Column | str) -> Column:
-    """A number in [0, 1) that depends on these alone."""
-    parts = [F.lit(x) if isinstance(x, str) else x for x in what]
-    return F.pmod(F.xxhash64(F.lit(seed), row, *parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) that depends on these alone: 52 bits of an MD5, so that any engine can make it."""
+    parts = [F.lit(x) if isinstance(x, str) else x.cast("string") for x in what]
+    text = F.concat_ws("|", F.lit(str(seed)), row.cast("string"), *parts)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def pick(values: list[str], u: Column) -> Column:
@@ -86,7 +63,7 @@ def weighted(weights: dict[str, int], u: Column) -> Column:
 
 
 def value(kind: str, seed: int, row: Column) -> Column:
-    """One value of a kind."""
+    """One value of a kind; a row's name and its e-mail address belong together."""
     u = lambda part: uniform(seed, row, kind, part)
     number = lambda part, low, high: (F.floor(u(part) * (high - low)) + low).cast("long")
     first, last = pick(FIRST, uniform(seed, row, "first")), pick(LAST, uniform(seed, row, "last"))
@@ -95,39 +72,41 @@ def value(kind: str, seed: int, row: Column) -> Column:
         "email_address": lambda: F.concat(F.lower(first), F.lit("."), F.lower(last), number("n", 1, 99).cast("string"), F.lit("@example.com")),
         "phone_number": lambda: F.format_string("(%d) 555-%04d", number("a", 201, 989), number("n", 100, 200)),
         "social_security_number": lambda: F.format_string("%d-%02d-%04d", number("a", 900, 1000), number("b", 1, 70), number("c", 0, 10_000)),
-        "credit_card_number": lambda: F.format_string("4111 1111 1111 %04d", number("n", 0, 10_000)),
+        "credit_card_number": lambda: F.format_string("411111111111%04d", number("n", 0, 10_000)),
         "address": lambda: F.concat_ws(" ", number("n", 1, 200).cast("string"), pick(STREETS, u("s")), F.lit("Street"), pick(TOWNS, u("t")), F.format_string("%05d", number("z", 1, 99_999))),
         "date": lambda: F.format_string("%02d/%02d/%d", number("m", 1, 13), number("d", 1, 29), number("y", 1940, 2006)),
         "account_id": lambda: F.format_string("%010d", number("n", 0, 10**10)),
         "government_id": lambda: F.format_string("X%08d", number("n", 0, 10**8)),
         "other_pii": lambda: F.format_string("192.0.2.%d", number("n", 1, 255)),
-        "year": lambda: number("n", 1990, 2025).cast("string"),
-        "money": lambda: F.format_string("$%d.%02d", number("n", 5, 9000), number("c", 0, 100)),
-        "company": lambda: F.concat_ws(" ", pick(LAST, u("c")), F.lit("& Sons")),
     }[kind]()
 
 
-def inject(tokens: Column, seed: int, row: Column, noise: float = 0.3, newline: float = 0.15) -> Column:
-    """Tokens joined by spaces or newlines, with noise between some."""
+def scatter(sentences: Column, seed: int, row: Column, plain: float = PLAIN_SHARE, newline: float = BREAK_SHARE) -> Column:
+    """A plain sentence first, then the given ones, each on a new line or not and with a plain one behind it or not."""
 
-    def one(t: Column, i: Column) -> Column:
-        extra = F.when(uniform(seed, row, "noise", i) < noise, F.concat(F.lit(" "), pick(NOISE, uniform(seed, row, "which", i)))).otherwise("")
-        gap = F.when(uniform(seed, row, "gap", i) < newline, "\n").otherwise(" ")
-        return F.when(i == 0, t).otherwise(F.concat(extra, gap, t))
+    def one(s: Column, i: Column) -> Column:
+        gap = F.when(uniform(seed, row, "break", i) < newline, "\n").otherwise(" ")
+        behind = F.when(uniform(seed, row, "plain", i) < plain, F.concat(F.lit(" "), pick(PLAIN, uniform(seed, row, "which", i)))).otherwise("")
+        return F.concat(gap, s, behind)
 
-    return F.array_join(F.transform(tokens, one), "")
+    return F.concat(pick(PLAIN, uniform(seed, row, "opening")), F.array_join(F.transform(sentences, one), ""))
 
 
 def corpus(spark: SparkSession, n: int, seed: int = 1337) -> DataFrame:
-    """(row, kind, ocr_text, pii): n labelled samples. Noise goes between a template's words, never into a value."""
+    """(row, kind, ocr_text, pii): n labelled notes. A value is never broken, so all its words stand in the text."""
     row = F.col("id")
-    fields = sorted({f for _, t in TEMPLATES.values() for f in re.findall(r"{(\w+)}", t)})
-    base = spark.range(n).select(row, weighted({k: w for k, (w, _) in TEMPLATES.items()}, uniform(seed, row, "kind")).alias("kind"), *[value(f, seed, row).alias(f) for f in fields])
+    kind = weighted({k: w for k, (w, _) in KINDS.items()}, uniform(seed, row, "kind"))
+    base = spark.range(n).select(row, kind.alias("kind"), *[value(f, seed, row).alias(f) for f in SENTENCES])
+    said = {f: F.replace(pick(s, uniform(seed, row, f, "said")), F.lit("#"), F.col(f)) for f, s in SENTENCES.items()}
     text = pii = None
-    for kind, (_, template) in TEMPLATES.items():
-        tokens = F.array(*[F.concat(*[F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in re.split(r"({\w+})", word) if p]) for word in template.split(" ")])
-        used = [f for f in dict.fromkeys(re.findall(r"{(\w+)}", template)) if f not in UNLABELLED]
-        items = F.array(*[F.struct(F.lit(f).alias("type"), F.col(f).alias("value")) for f in used]) if used else F.array().cast("array<struct<type:string,value:string>>")
-        text = (F.when if text is None else text.when)(F.col("kind") == kind, tokens)
-        pii = (F.when if pii is None else pii.when)(F.col("kind") == kind, items)
-    return base.select(row.alias("row"), "kind", inject(text, seed, row).alias("ocr_text"), pii.alias("pii"))
+    for name, (_, fields) in KINDS.items():
+        sentences = F.array(*[said[f] for f in fields]).cast("array<string>")
+        items = F.array(*[F.struct(F.lit(f).alias("type"), F.col(f).alias("value")) for f in fields]).cast("array<struct<type:string,value:string>>")
+        text = (F.when if text is None else text.when)(F.col("kind") == name, sentences)
+        pii = (F.when if pii is None else pii.when)(F.col("kind") == name, items)
+    return base.select(row.alias("row"), "kind", scatter(text, seed, row).alias("ocr_text"), pii.alias("pii"))
+
+
+def first_batches(samples: DataFrame, size: int = 10, most: int = 5) -> DataFrame:
+    """The first rows in batches of `size`, `most` batches at most: samples and `batch` (from 0)."""
+    return samples.where(F.col("row") < size * most).withColumn("batch", F.floor(F.col("row") / size).cast("int"))

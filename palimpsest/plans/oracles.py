@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.labels import AUDITED_TYPES, CATEGORIES, CUSTOM_ALIASES, IDENTIFIER_TYPES, LABEL_CATEGORY
+from ..operators import synth
 from ..operators.spans import PATTERNS
 from . import fixtures as fx
 from .fixtures import quoted, values
@@ -166,7 +167,52 @@ LEASES = f"""asked_ AS (SELECT account, ts, seq, pages, CASE WHEN kind = 'grant'
 known_ AS (SELECT *, last_value(CASE WHEN kind = 'balance' THEN ts END IGNORE NULLS) OVER (PARTITION BY account ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ FROM asked_),
 events_ AS (SELECT account, ts, seq, kind, pages, CASE WHEN seq % 5 < 4 AND kind <> 'grant' THEN last_ END AS issued, CASE WHEN seq % 5 < 4 AND kind <> 'grant' AND last_ IS NOT NULL THEN seq % 12 END AS used FROM known_)"""
 
+
+
+def _synthetic(n: int, seed: int = 1337) -> str:
+    """The synthetic notes: the same draws, values and sentences."""
+
+    def u(*what: str) -> str:
+        return f"(('0x' || substr(md5('{seed}|' || \"row\" || {' || '.join(f"'|' || {w}" for w in what)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+    def number(kind: str, part: str, low: int, high: int) -> str:
+        return f"(floor({u(quoted(kind), quoted(part))} * {high - low}) + {low})::BIGINT"
+
+    def pick(options: list[str], draw: str) -> str:
+        return f"([{', '.join(map(quoted, options))}])[(floor({draw} * {len(options)}) + 1)::INTEGER]"
+
+    first, last = pick(synth.FIRST, u("'first'")), pick(synth.LAST, u("'last'"))
+    made = {
+        "full_name": f"{first} || ' ' || {last}",
+        "email_address": f"lower({first}) || '.' || lower({last}) || {number('email_address', 'n', 1, 99)} || '@example.com'",
+        "phone_number": f"printf('(%d) 555-%04d', {number('phone_number', 'a', 201, 989)}, {number('phone_number', 'n', 100, 200)})",
+        "social_security_number": f"printf('%d-%02d-%04d', {number('social_security_number', 'a', 900, 1000)}, {number('social_security_number', 'b', 1, 70)}, {number('social_security_number', 'c', 0, 10000)})",
+        "credit_card_number": f"printf('411111111111%04d', {number('credit_card_number', 'n', 0, 10000)})",
+        "address": f"{number('address', 'n', 1, 200)} || ' ' || {pick(synth.STREETS, u("'address'", "'s'"))} || ' Street ' || {pick(synth.TOWNS, u("'address'", "'t'"))} || ' ' || printf('%05d', {number('address', 'z', 1, 99999)})",
+        "date": f"printf('%02d/%02d/%d', {number('date', 'm', 1, 13)}, {number('date', 'd', 1, 29)}, {number('date', 'y', 1940, 2006)})",
+        "account_id": f"printf('%010d', {number('account_id', 'n', 0, 10**10)})",
+        "government_id": f"printf('X%08d', {number('government_id', 'n', 0, 10**8)})",
+        "other_pii": f"printf('192.0.2.%d', {number('other_pii', 'n', 1, 255)})",
+    }
+    running, kinds = 0, []
+    for name, (w, _) in synth.KINDS.items():
+        running += w
+        kinds.append(f"WHEN {u("'kind'")} * {sum(w for w, _ in synth.KINDS.values())} < {running} THEN {quoted(name)}")
+    fields = " ".join(f"WHEN {quoted(k)} THEN [{', '.join(map(quoted, f))}]::VARCHAR[]" for k, (_, f) in synth.KINDS.items())
+    return f"""WITH drawn AS (SELECT i AS "row", CASE {" ".join(kinds)} END AS kind FROM range({n}) t(i)),
+valued AS (SELECT "row", kind, CASE kind {fields} END AS fields, MAP {{{", ".join(f"{quoted(f)}: {v}" for f, v in made.items())}}} AS vals,
+           MAP {{{", ".join(f"{quoted(f)}: {pick(s, u(quoted(f), "'said'"))}" for f, s in synth.SENTENCES.items())}}} AS said FROM drawn),
+notes AS (SELECT "row", kind, {pick(synth.PLAIN, u("'opening'"))} || array_to_string(list_transform(fields, lambda f, i:
+          CASE WHEN {u("'break'", "(i - 1)")} < {synth.BREAK_SHARE} THEN chr(10) ELSE ' ' END || replace(said[f], '#', vals[f])
+          || CASE WHEN {u("'plain'", "(i - 1)")} < {synth.PLAIN_SHARE} THEN ' ' || {pick(synth.PLAIN, u("'which'", "(i - 1)"))} ELSE '' END), '') AS ocr_text,
+          '[' || array_to_string(list_transform(fields, lambda f: '{{"type":"' || f || '","value":"' || vals[f] || '"}}'), ',') || ']' AS pii FROM valued)
+"""
+
+
 SQL = {
+    "sample_corpus": _synthetic(5000) + ' SELECT "row", kind, ocr_text, pii FROM notes',
+    "sample_kinds": _synthetic(5000) + " SELECT kind, count(*) AS n FROM notes GROUP BY kind",
+    "sample_batches": _synthetic(5000) + ' SELECT "row", ("row" // 10)::INTEGER AS batch, kind FROM notes WHERE "row" < 50',
     "ledger_replay": _replay(LEDGER),
     "lease_replay": _replay(LEASES),
     "deny_list": "SELECT doc_id, length(regexp_replace(text, '\\b(the|Of|and)\\b', '<X>', 'g'))::INTEGER AS n FROM documents",

@@ -577,8 +577,12 @@ def sample_kinds(spark, sf_dir):
     return synth.corpus(spark, 5000).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sample_batches(spark, sf_dir):
+    return synth.first_batches(synth.corpus(spark, 5000)).select("row", "batch", "kind")
+
+
 QUERIES = [
-    acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
+    sample_batches, acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
     chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, index_word_rows, indexed_text, layout_text, resolve_entity_boxes, pixel_boxes,
     custom_pii_parse, custom_pii_match, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
     star_text, hash_text, deny_list, cluster_lines, ocr_words, ui_groups, selected_by_type, page_span, keep_checked, selected_values, union_identifiers, detection_json,

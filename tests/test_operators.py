@@ -319,12 +319,14 @@ def test_synthetic_corpus(spark):
 
     df = synth.corpus(spark, 3000).cache()
     assert sorted(map(repr, df.collect())) == sorted(map(repr, synth.corpus(spark, 3000).repartition(5).collect()))
-    total = sum(w for w, _ in synth.TEMPLATES.values())
-    assert total == 155 and len(synth.TEMPLATES) == 43
+    total = sum(w for w, _ in synth.KINDS.values())
     n = {r.kind: r["count"] for r in df.groupBy("kind").count().collect()}
-    assert all(abs(n[k] / 3000 - w / total) < 0.02 for k, (w, _) in synth.TEMPLATES.items())
+    assert all(abs(n[k] / 3000 - w / total) < 0.03 for k, (w, _) in synth.KINDS.items())
     missing = df.select(F.explode("pii").alias("p"), "ocr_text").where(F.size(corpus.missing_tokens(F.col("p.value"), F.col("ocr_text"))) > 0)
     assert missing.isEmpty()
+    found = spans.items(spans.entities(df.select(F.col("row").alias("doc_id"), F.col("ocr_text").alias("text"))))
+    told = {(r.doc_id, r.value) for r in found.select("doc_id", "value").collect()}
+    assert {(r.row, p.value) for r in df.collect() for p in r.pii if p.type in ("email_address", "phone_number", "credit_card_number", "social_security_number", "other_pii")} == told
 
 
 def test_formats(spark):
