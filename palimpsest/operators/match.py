@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import blank_trim, custom_type
@@ -39,55 +42,87 @@ def runs_of(boxes: list[tuple[float, float, float, float]]) -> list[tuple[int, .
     return list(out)
 
 
-def find_on_page(lines: list[list[tuple[str, float, float, float, float]]], values: list[tuple[str, str]]) -> Iterator[tuple[str, float, float, float, float]]:
-    """(value, x0, y0, x1, y1) for values (value, normalised) on a page of lines of (normalised word, box)."""
+def finder(values: list[str]) -> ahocorasick.Automaton:
+    """An automaton of normalised values: one walk along a text meets all of them, however many there are."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
+    for v in values:
+        if v:
+            found.add_word(v, v)
+    found.make_automaton()
+    return found
+
+
+def find_on_page(lines: list[list[tuple[str, float, float, float, float]]], values: ahocorasick.Automaton) -> Iterator[tuple[str, float, float, float, float]]:
+    """(normalised value, x0, y0, x1, y1) for the values of finder() on a page of lines of (normalised word, box).
+
+    A value's finds in one run don't overlap, the first comes first; equal boxes (to a tenth of a point, unpadded) of one value count once.
+    """
     boxes = [(min(w[1] for w in ln), min(w[2] for w in ln), max(w[3] for w in ln), max(w[4] for w in ln)) if ln else (0.0, 0.0, 0.0, 0.0) for ln in lines]
     letters = ["".join(w[0] for w in ln) for ln in lines]
     places = [[(i, j, k) for j, w in enumerate(ln) for k in range(len(w[0]))] for i, ln in enumerate(lines)]
-    runs = [(r, "".join(letters[i] for i in r)) for r in runs_of(boxes)]
-    for value, target in values:
-        seen: set[tuple[float, ...]] = set()
-        if not target:
-            continue
-        for run, text in runs:
-            where: list[tuple[int, int, int]] | None = None
-            at = text.find(target)
-            while at >= 0:
-                where = where or [p for i in run for p in places[i]]
-                edge: dict[int, list[float]] = {}
-                words: dict[tuple[int, int], list[int]] = {}
-                for i, j, k in where[at : at + len(target)]:
-                    words.setdefault((i, j), [k, k])[1] = k
-                for (i, j), (low, high) in words.items():
-                    name, x0, y0, x1, y1 = lines[i][j]
-                    part = (x0, y0, x1, y1) if (low, high + 1) == (0, len(name)) else (x0 + low / len(name) * (x1 - x0), y0, x0 + (high + 1) / len(name) * (x1 - x0), y1)
-                    e = edge.setdefault(i, list(part))
-                    edge[i] = [min(e[0], part[0]), min(e[1], part[1]), max(e[2], part[2]), max(e[3], part[3])]
-                for e in edge.values():
-                    if (key := tuple(round(v, 1) for v in e)) not in seen:
-                        seen.add(key)
-                        yield value, e[0] - PAD, e[1] - PAD, e[2] + PAD, e[3] + PAD
-                at = text.find(target, at + len(target))
+    seen: set[tuple] = set()
+    for run in runs_of(boxes) if len(values) else ():
+        where: list[tuple[int, int, int]] | None = None
+        behind: dict[str, int] = {}  # the end of a value's last find in this run
+        for last, target in values.iter("".join(letters[i] for i in run)):
+            at = last + 1 - len(target)
+            if at < behind.get(target, 0):
+                continue
+            behind[target] = last + 1
+            where = where or [p for i in run for p in places[i]]
+            edge: dict[int, list[float]] = {}
+            words: dict[tuple[int, int], list[int]] = {}
+            for i, j, k in where[at : last + 1]:
+                words.setdefault((i, j), [k, k])[1] = k
+            for (i, j), (low, high) in words.items():
+                name, x0, y0, x1, y1 = lines[i][j]
+                part = (x0, y0, x1, y1) if (low, high + 1) == (0, len(name)) else (x0 + low / len(name) * (x1 - x0), y0, x0 + (high + 1) / len(name) * (x1 - x0), y1)
+                e = edge.setdefault(i, list(part))
+                edge[i] = [min(e[0], part[0]), min(e[1], part[1]), max(e[2], part[2]), max(e[3], part[3])]
+            for e in edge.values():
+                if (key := (target, *(math.floor(v * 10 + 0.5) for v in e))) not in seen:
+                    seen.add(key)
+                    yield target, e[0] - PAD, e[1] - PAD, e[2] + PAD, e[3] + PAD
 
 
 def match_custom(words: DataFrame, custom: DataFrame, most: int = 100_000) -> DataFrame:
     """(doc_id, page_num, value, type, x0, y0, x1, y1) of custom values on pages of words (with line_idx, word_idx).
 
-    The dictionary (value, type) is a user's list: at most `most` values, which is checked. Values with letters that
-    a page lacks are skipped there.
+    The dictionary (value, type) goes to the tasks as an automaton, so a page costs its letters and its finds and not its letters times
+    the values. A dictionary of more than `most` values is cut by a hash into parts of about that many, and the pages meet part after part.
     """
-    given = sorted((r.value, r.type, r.n) for r in custom.select("value", "type", norm(F.col("value")).alias("n")).limit(most + 1).collect())
-    if len(given) > most:
-        raise ValueError(f"more than {most} custom values")
-    kinds, targets = {v: t for v, t, _ in given}, [(v, n) for v, _, n in given]
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["line_idx", "word_idx"])
-        lines = [[(w.n, w.x0, w.y0, w.x1, w.y1) for w in ln.itertuples()] for _, ln in page.groupby("line_idx", sort=True)]
-        letters = {c for ln in lines for w in ln for c in w[0]}
-        near = [(v, n) for v, n in targets if letters.issuperset(n)]
-        found = [(page.doc_id.iloc[0], page.page_num.iloc[0], v, kinds[v], *b) for v, *b in find_on_page(lines, near)]
-        return pd.DataFrame(found, columns=["doc_id", "page_num", "value", "type", "x0", "y0", "x1", "y1"])
-
+    given = custom.select("value", "type", norm(F.col("value")).alias("n")).where("n <> ''")
+    parts = max(1, math.ceil(given.count() / most))
+    sc = words.sparkSession.sparkContext
     kept = words.select("doc_id", "page_num", "line_idx", "word_idx", norm(F.col("text")).alias("n"), "x0", "y0", "x1", "y1")
-    return kept.groupBy("doc_id", "page_num").applyInPandas(run, "doc_id long, page_num int, value string, type string, x0 double, y0 double, x1 double, y1 double")
+
+    def search(part: int) -> DataFrame:
+        rows = given.where(F.pmod(F.xxhash64("value"), F.lit(parts)) == part).collect()
+        named: dict[str, list[tuple[str, str]]] = {}
+        for r in rows:
+            named.setdefault(r.n, []).append((r.value, r.type))
+        shared = sc.broadcast((finder(sorted(named)), named))
+
+        def run(page: pd.DataFrame) -> pd.DataFrame:
+            values, names = shared.value
+            page = page.sort_values(["line_idx", "word_idx"])
+            lines = [[(w.n, w.x0, w.y0, w.x1, w.y1) for w in ln.itertuples()] for _, ln in page.groupby("line_idx", sort=True)]
+            found = [(page.doc_id.iloc[0], page.page_num.iloc[0], v, kind, *b) for n, *b in find_on_page(lines, values) for v, kind in names[n]]
+            return pd.DataFrame(found, columns=["doc_id", "page_num", "value", "type", "x0", "y0", "x1", "y1"])
+
+        return kept.groupBy("doc_id", "page_num").applyInPandas(run, "doc_id long, page_num int, value string, type string, x0 double, y0 double, x1 double, y1 double")
+
+    return reduce(DataFrame.unionByName, map(search, range(parts)))
+
+
+def emitted(found: DataFrame) -> DataFrame:
+    """(doc_id, value, type, page_num): each custom value of a document once, with the first page it is found on."""
+    return found.groupBy("doc_id", "value", "type").agg(F.min("page_num").alias("page_num"))
+
+
+def all_items(custom: DataFrame, model: DataFrame) -> DataFrame:
+    """(doc_id, place, source, type, value): a document's emitted custom values by page and value, then its model items by offset and label."""
+    first = custom.select("doc_id", F.lit(0).alias("s"), F.col("page_num").alias("a"), F.col("value").alias("b"), F.lit("custom").alias("source"), "type", "value")
+    then = model.select("doc_id", F.lit(1).alias("s"), F.col("g_start").alias("a"), F.col("label").alias("b"), F.lit("model").alias("source"), "type", "value")
+    order = Window.partitionBy("doc_id").orderBy("s", "a", "b")
+    return first.unionByName(then).withColumn("place", F.row_number().over(order)).select("doc_id", "place", "source", "type", "value")

@@ -120,6 +120,33 @@ parts AS (SELECT seq, 0 AS part_no, value, type FROM raw WHERE line IS NULL UNIO
 named AS (SELECT seq, part_no, trim(value) AS value, {_case("lower(trim(coalesce(type, '')))", CUSTOM_ALIASES, "lower(trim(coalesce(type, '')))")} AS t FROM parts),
 entries AS (SELECT seq, part_no, value, CASE WHEN t IN {IN_CATEGORIES} THEN t ELSE 'other' END AS type FROM named WHERE value <> '')"""
 
+_CUSTOM = CUSTOM.removeprefix("WITH ") + """,
+given AS (SELECT value, coalesce(arg_min(type, seq * 1000 + part_no) FILTER (type <> 'other'), 'other') AS type, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS target FROM entries GROUP BY value),
+lettered AS (SELECT doc_id, page_num, line_no, word_idx, x0, y0, x1, y1, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS n FROM words),
+page_lines AS (SELECT doc_id, page_num, line_no, min(x0) AS lx0, max(x1) AS lx1, string_agg(n, '' ORDER BY word_idx) AS letters FROM lettered GROUP BY ALL),
+runs AS (SELECT doc_id, page_num, members, any_value(letters) AS run_text, any_value(starts) AS starts FROM (
+  SELECT doc_id, page_num, anchor, list(line_no ORDER BY line_no) AS members, string_agg(letters, '' ORDER BY line_no) AS letters, list(begins ORDER BY line_no) AS starts FROM (
+    SELECT a.doc_id, a.page_num, a.line_no AS anchor, b.line_no, b.letters, sum(length(b.letters)) OVER (PARTITION BY a.doc_id, a.page_num, a.line_no ORDER BY b.line_no) - length(b.letters) AS begins
+    FROM page_lines a JOIN page_lines b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND (a.line_no = b.line_no OR b.line_no > a.line_no AND least(a.lx1, b.lx1) > greatest(a.lx0, b.lx0)))
+  GROUP BY doc_id, page_num, anchor) GROUP BY doc_id, page_num, members),
+finds AS (SELECT doc_id, page_num, members, starts, value, type, target, coalesce(list_sum(list_transform(pieces[1:k], lambda x: length(x))), 0) + (k - 1) * length(target) AS lo
+  FROM (SELECT *, string_split(run_text, target) AS pieces FROM runs JOIN given ON contains(run_text, target) AND target <> ''), generate_series(1, len(pieces) - 1) g(k)),
+placed_words AS (SELECT *, sum(length(n)) OVER (PARTITION BY doc_id, page_num, line_no ORDER BY word_idx) - length(n) AS w_lo FROM lettered),
+touched AS (SELECT f.doc_id, f.page_num, f.value, f.type, f.members, f.lo, f.line_no, w.x0, w.y0, w.x1, w.y1, length(w.n) AS n,
+                   greatest(f.lo - f.line_lo, w.w_lo) - w.w_lo AS a, least(f.lo + length(f.target) - f.line_lo, w.w_lo + length(w.n)) - w.w_lo AS z
+  FROM (SELECT *, unnest(members) AS line_no, unnest(starts) AS line_lo FROM finds) f JOIN placed_words w
+    ON w.doc_id = f.doc_id AND w.page_num = f.page_num AND w.line_no = f.line_no AND w.w_lo < f.lo + length(f.target) - f.line_lo AND w.w_lo + length(w.n) > f.lo - f.line_lo),
+lined AS (SELECT doc_id, page_num, value, type, min(CASE WHEN a = 0 AND z = n THEN x0 ELSE x0 + a / n * (x1 - x0) END) AS x0, min(y0) AS y0, max(CASE WHEN a = 0 AND z = n THEN x1 ELSE x0 + z / n * (x1 - x0) END) AS x1, max(y1) AS y1
+  FROM touched GROUP BY doc_id, page_num, value, type, members, lo, line_no),
+custom_boxes AS (SELECT doc_id, page_num, value, type, any_value(x0) - 2 AS x0, any_value(y0) - 2 AS y0, any_value(x1) + 2 AS x1, any_value(y1) + 2 AS y1
+  FROM lined GROUP BY doc_id, page_num, value, type, floor(x0 * 10 + 0.5), floor(y0 * 10 + 0.5), floor(x1 * 10 + 0.5), floor(y1 * 10 + 0.5)),
+custom_first AS (SELECT doc_id, value, type, min(page_num) AS page_num FROM custom_boxes GROUP BY ALL)"""
+FOUND_CUSTOM = "WITH " + LAYOUT + ", " + _CUSTOM
+BESIDE = PLACED + ", " + _CUSTOM + """,
+beside AS (SELECT * FROM placed h WHERE NOT EXISTS (SELECT 1 FROM custom_boxes s WHERE s.doc_id = h.doc_id AND s.page_num = h.page_num
+  AND least(h.x1, s.x1) > greatest(h.x0, s.x0) AND least(h.y1, s.y1) > greatest(h.y0, s.y0)
+  AND (least(h.x1, s.x1) - greatest(h.x0, s.x0)) * (least(h.y1, s.y1) - greatest(h.y0, s.y0)) >= 0.5 * (h.x1 - h.x0) * (h.y1 - h.y0)))"""
+
 
 _ORDERS = "WITH " + values("e", ["seq", "body"], fx.ORDER_EVENTS) + ", " + values("products", ["product_id", "tier", "pages", "price_cents"], fx.PRODUCTS) + """,
 j AS (SELECT seq, body::JSON AS b FROM e),
@@ -219,7 +246,7 @@ SQL = {
     "cluster_lines": "WITH " + LAYOUT + """, gaps AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id, page_num, line_no ORDER BY word_idx) > 20, TRUE) AS cut FROM words),
 lines AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY doc_id, page_num ORDER BY line_no, word_idx) - 1 AS line_idx FROM gaps)
 SELECT doc_id, page_num, (line_no * 100000 + word_idx)::BIGINT AS word_seq, line_idx::INTEGER AS line_idx, (row_number() OVER (PARTITION BY doc_id, page_num, line_idx ORDER BY word_idx) - 1)::INTEGER AS word_idx FROM lines""",
-    "detection_json": FOUND + f""", each AS (SELECT 'doc-' || doc_id AS file, type, value, count(*) AS n FROM items WHERE doc_id % 2 = 0 GROUP BY ALL)
+    "detection_json": FOUND + f""", each AS (SELECT 'doc-' || doc_id AS file, type, value, count(*) AS n FROM items GROUP BY ALL)
 SELECT file, '{{"file":"' || file || '","model":"rules","total_pii_detected":' || count(*) || ',"pii":[' || string_agg('{{"value":"' || value || '","type":"' || type || '","occurrences":' || n || '}}', ',' ORDER BY list_position([{', '.join(map(quoted, CATEGORIES))}], type), value) || ']}}' AS json FROM each GROUP BY file""",
     "request_lines": "WITH " + values("r", ["line_no", "raw"], fx.REQUEST_LINES) + """, j AS (SELECT line_no, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM r WHERE trim(raw) <> '')
 SELECT line_no::BIGINT AS line_no, j->>'cmd' AS cmd, j->>'path' AS path, CASE WHEN j IS NULL THEN 'invalid JSON' WHEN coalesce(j->>'cmd', '') NOT IN ('detect', 'scrub', 'close') THEN 'unknown cmd' END AS error FROM j""",
@@ -247,10 +274,11 @@ SELECT client, seq::BIGINT AS seq, reason IS NULL AS allow, reason, used_before:
     "resolve_entity_boxes": PLACED + " SELECT doc_id, g_start, label, value, page_num, line_idx, x0, y0, x1, y1 FROM placed",
     "pixel_boxes": PLACED + f" SELECT doc_id, g_start, value, line_idx, {PX} FROM placed",
     "custom_pii_parse": CUSTOM + " SELECT value, coalesce(arg_min(type, seq * 1000 + part_no) FILTER (type <> 'other'), 'other') AS type FROM entries GROUP BY value",
-    "suppress_hits": PLACED + ", area AS (SELECT DISTINCT doc_id, page_num, 0.0 AS x0, y0, 300.0 AS x1, y1 FROM placed WHERE line_idx % 2 = 1)"
-    " SELECT doc_id, g_start, value, page_num, line_idx FROM placed h WHERE NOT EXISTS (SELECT 1 FROM area s WHERE s.doc_id = h.doc_id AND s.page_num = h.page_num"
-    " AND least(h.x1, s.x1) > greatest(h.x0, s.x0) AND least(h.y1, s.y1) > greatest(h.y0, s.y0)"
-    " AND (least(h.x1, s.x1) - greatest(h.x0, s.x0)) * (least(h.y1, s.y1) - greatest(h.y0, s.y0)) >= 0.5 * (h.x1 - h.x0) * (h.y1 - h.y0))",
+    "custom_pii_match": FOUND_CUSTOM + " SELECT * FROM custom_boxes",
+    "custom_emitted": FOUND_CUSTOM + " SELECT * FROM custom_first",
+    "suppress_hits": BESIDE + " SELECT doc_id, g_start, value, page_num, line_idx FROM beside",
+    "all_items": BESIDE + """, each AS (SELECT doc_id, 0 AS s, page_num AS a, value AS b, 'custom' AS source, type, value FROM custom_first UNION ALL SELECT DISTINCT doc_id, 1, g_start, label, 'model', type, value FROM beside)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, a, b)::INTEGER AS place, source, type, value FROM each""",
     "dedupe_boxes": PLACED + " SELECT doc_id, value, page_num, min(g_start * 2)::INTEGER AS seq, arg_min(label, g_start) AS label FROM placed GROUP BY doc_id, value, page_num, floor(x0 * 10 + 0.5), floor(y0 * 10 + 0.5), floor(x1 * 10 + 0.5), floor(y1 * 10 + 0.5)",
     "attach_boxes": PLACED + f" SELECT type, value, occurrences, n_boxes::INTEGER AS n_boxes FROM (SELECT {SHOWN} AS type, value, count(*) AS occurrences FROM placed GROUP BY ALL) JOIN (SELECT value, count(*) AS n_boxes FROM placed GROUP BY ALL) USING (value)",
     "redaction_rects": RECTS + " SELECT * FROM rects",

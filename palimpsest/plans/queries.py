@@ -107,15 +107,22 @@ def custom_pii_match(spark, sf_dir):
     return match.match_custom(spans.layout_words(_docs(spark, sf_dir)), _custom(spark))
 
 
-def _custom_area(found):
-    """Stand-in custom boxes: the left 300 points of every page's odd lines."""
-    pages = found.select("doc_id", "page_num", "line_idx", "y0", "y1").distinct().where("line_idx % 2 = 1")
-    return pages.select("doc_id", "page_num", F.lit(0.0).alias("x0"), "y0", F.lit(300.0).alias("x1"), "y1")
+def custom_emitted(spark, sf_dir):
+    return match.emitted(custom_pii_match(spark, sf_dir))
+
+
+def _beside_custom(spark, sf_dir):
+    """The detector's boxes that do not lie in the custom values' boxes, which are found first."""
+    return boxes.suppress(_boxes(spark, sf_dir), custom_pii_match(spark, sf_dir))
 
 
 def suppress_hits(spark, sf_dir):
-    found = _boxes(spark, sf_dir)
-    return boxes.suppress(found, _custom_area(found)).select("doc_id", "g_start", "value", "page_num", "line_idx")
+    return _beside_custom(spark, sf_dir).select("doc_id", "g_start", "value", "page_num", "line_idx")
+
+
+def all_items(spark, sf_dir):
+    model = _beside_custom(spark, sf_dir).select("doc_id", "g_start", "label", "type", "value").distinct()
+    return match.all_items(custom_emitted(spark, sf_dir), model)
 
 
 def dedupe_boxes(spark, sf_dir):
@@ -231,7 +238,7 @@ def union_identifiers(spark, sf_dir):
 
 
 def detection_json(spark, sf_dir):
-    found = spans.items(spans.entities(_docs(spark, sf_dir).where("doc_id % 2 = 0")))
+    found = spans.items(spans.entities(_docs(spark, sf_dir)))
     each = found.groupBy(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), "type", "value").agg(F.count(F.lit(1)).alias("occurrences"))
     return sinks.detection_json(each, "rules")
 
@@ -584,7 +591,7 @@ def sample_batches(spark, sf_dir):
 QUERIES = [
     sample_batches, acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
     chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, index_word_rows, indexed_text, layout_text, resolve_entity_boxes, pixel_boxes,
-    custom_pii_parse, custom_pii_match, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
+    custom_pii_parse, custom_pii_match, custom_emitted, all_items, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
     star_text, hash_text, deny_list, cluster_lines, ocr_words, ui_groups, selected_by_type, page_span, keep_checked, selected_values, union_identifiers, detection_json,
     chunk_dump, format_identifier, ui_formats, output_paths, redeem_status, tier_dimension, label_categories, device_id, validate_ids, request_lines, identifier_lists, clean_custom,
     hourly_rollup, hourly_runs, additive_upsert, summary_totals, history_window, recent_purchases, purchased_total, waterfall_split, balance_pivot, resolve_accounts,

@@ -158,10 +158,11 @@ def test_find_on_page(spark, value):
     assert sorted(tuple(r) for r in got.select("x0", "y0", "x1", "y1").collect()) == brute_find(lines, value)
 
 
-def test_dictionary_size_is_checked(spark):
-    words = spark.createDataFrame([(1, 1, 0, 0, "a", 0.0, 0.0, 1.0, 1.0)], "doc_id long, page_num int, line_idx int, word_idx int, text string, x0 double, y0 double, x1 double, y1 double")
-    with pytest.raises(ValueError):
-        match.match_custom(words, spark.createDataFrame([("a", "x"), ("b", "x")], "value string, type string"), most=1)
+def test_dictionary_in_parts(spark):
+    words = spark.createDataFrame([(1, 1, 0, i, w, 10.0 * i, 0.0, 10.0 * i + 8, 1.0) for i, w in enumerate("the quay of the stone quay".split())], "doc_id long, page_num int, line_idx int, word_idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    given = spark.createDataFrame([(v, "other") for v in ("the", "Quay!", "quay", "of the", "eq", "", "!!", "absent")], "value string, type string")
+    whole = sorted(map(repr, match.match_custom(words, given).collect()))
+    assert len(whole) == 9 and whole == sorted(map(repr, match.match_custom(words, given, most=2).collect()))
 
 
 def test_parse_custom(spark):
