@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,13 @@ def pixels(scale: float, height: Column) -> list[Column]:
     return [(c("x0") * scale).alias("x"), ((height - c("y1")) * scale).alias("y"), ((c("x1") - c("x0")) * scale).alias("w"), ((c("y1") - c("y0")) * scale).alias("h")]
 
 
+def page_pixels(boxes: DataFrame, pages: DataFrame, scale: float) -> DataFrame:
+    """boxes with x, y, w, h in pixels by the height of their own page; pages: (doc_id, page_num, height). Boxes of unknown pages go."""
+    own = pages.select(F.col("doc_id").alias("p_doc"), F.col("page_num").alias("p_page"), F.col("height").alias("p_height"))
+    both = boxes.join(own, (F.col("doc_id") == F.col("p_doc")) & (F.col("page_num") == F.col("p_page")))
+    return both.select(*[F.col(c) for c in boxes.columns], *pixels(scale, F.col("p_height")))
+
+
 def polygon_box(xs: Column, ys: Column, height: Column, scale: float) -> Column:
     """A word polygon's box: widened by a fifth of its height or 4 px each side, flipped, in points."""
     low, high = F.array_min(xs), F.array_max(xs)

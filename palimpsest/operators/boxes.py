@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import mostly_inside, pixels
@@ -31,10 +31,10 @@ def dedupe(boxes: DataFrame, order: list[str]) -> DataFrame:
     return first.select("doc_id", "value", "page_num", "f.*").select(*boxes.columns)
 
 
-def aggregate(items: DataFrame) -> DataFrame:
-    """(type, value, occurrences) of items (type, value): blank values go, unknown types are `other`."""
-    rows = items.select(display_type(F.col("type")).alias("type"), blank_trim(F.coalesce("value", F.lit(""))).alias("value"))
-    return rows.where("value <> ''").groupBy("type", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+def aggregate(items: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(type, value, occurrences) of items (type, value): blank values go, unknown types are `other`. `within`: columns to count apart, such as the document."""
+    rows = items.select(*within, display_type(F.col("type")).alias("type"), blank_trim(F.coalesce("value", F.lit(""))).alias("value"))
+    return rows.where("value <> ''").groupBy(*within, "type", "value").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def in_display_order(found: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def in_display_order(found: DataFrame) -> DataFrame:
 
 
 def attach_boxes(found: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each (type, value) with all boxes of the value, whatever their type, in reading order."""
-    per_value = boxes.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("doc_id", "page_num", *BOX))).alias("bboxes"))
-    return found.join(per_value, "value", "left").withColumn("bboxes", F.coalesce("bboxes", F.expr("filter(array(struct(0L AS doc_id, 0 AS page_num, 0D AS x0, 0D AS y0, 0D AS x1, 0D AS y1)), b -> false)")))
+    """Each (doc_id, type, value) with all boxes of the value in its document, whatever their type, in reading order: a list bounded by the document."""
+    per_value = boxes.groupBy("doc_id", "value").agg(F.array_sort(F.collect_list(F.struct("page_num", *BOX))).alias("bboxes"))
+    return found.join(per_value, ["doc_id", "value"], "left").withColumn("bboxes", F.coalesce("bboxes", F.expr("filter(array(struct(0 AS page_num, 0D AS x0, 0D AS y0, 0D AS x1, 0D AS y1)), b -> false)")))
 
 
 def rectangles(selected: DataFrame, boxes: DataFrame, scale: float, height: float) -> DataFrame:
@@ -86,12 +86,16 @@ def deny_list(text: Column, words: list[str], token: str = "") -> Column:
 
 
 def ui_groups(items: DataFrame) -> DataFrame:
-    """(type, n_items, total, items): items by count then first seen; of items (type, value, count, seq)."""
-    key = F.struct((-F.col("count")).alias("c"), "seq", "value", "count")
-    return items.groupBy("type").agg(F.count(F.lit(1)).alias("n_items"), F.sum("count").alias("total"), F.transform(F.array_sort(F.collect_list(key)), lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))).alias("items"))
+    """(doc_id, type, place, value, count, n_items, total): each document's items by count then first seen within their type, one row each.
 
+    items: (doc_id, type, value, count, seq). Nothing is gathered beyond one document's items of a type.
+    """
+    group = Window.partitionBy("doc_id", "type")
+    place = F.row_number().over(group.orderBy(F.desc("count"), "seq", "value"))
+    return items.select("doc_id", "type", place.alias("place"), "value", "count", F.count(F.lit(1)).over(group).alias("n_items"), F.sum("count").over(group).alias("total"))
 
-def reading_order(boxes: Column) -> Column:
-    """array<struct<page_num, x, y, w, h>> from page to page, top to bottom, left to right."""
-    keyed = F.transform(boxes, lambda b: F.struct(b["page_num"].alias("p"), b["y"].alias("y"), b["x"].alias("x"), b.alias("b")))
-    return F.transform(F.array_sort(keyed), lambda k: k["b"])
+
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """Boxes (doc_id, type, value, page_num, x, y, ...) with `place`: from page to page, top to bottom, left to right, within a document's value."""
+    order = Window.partitionBy("doc_id", "type", "value").orderBy("page_num", "y", "x")
+    return boxes.withColumn("place", F.row_number().over(order))

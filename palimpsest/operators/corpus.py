@@ -65,7 +65,7 @@ def apply_audit(old: DataFrame, new: DataFrame) -> DataFrame:
 def length_profile(texts: DataFrame, text_col: str) -> DataFrame:
     """One row: n, least, p25 ... p99, most, where p is the value at place floor(n * p) - 1 (place -1 is the last).
 
-    Lengths are counted first, so the sort is over distinct lengths with running counts, not over rows.
+    Lengths are counted first, so the one task that sorts and sums has a row for each distinct length, not for each text.
     """
     from pyspark.sql import Window
 
@@ -96,6 +96,7 @@ def label_census(rows: DataFrame) -> DataFrame:
     return parse_spans(rows).select(F.explode("span_list").alias("s")).where("s.label <> ''").groupBy(F.col("s.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# The pattern of a post box.
 PO_BOX = r"(?i)\b(P\.?\s*O\.?\s*Box|PO\s*Box|Post Office Box)\b"
 
 

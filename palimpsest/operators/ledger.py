@@ -1,14 +1,14 @@
 """The usage ledger: per account a fold over its events in time order.
 
 Whether a request is allowed depends on all before it, so there is no closed form. Events are shuffled by account, sorted
-within partitions and folded as a stream: memory holds one account's state, however many events it has. Event times are data; no
-clock is read.
+within partitions and folded as a stream: memory holds one account's few numbers, however many events it has, since which grant is
+an order's first is worked out before. An account's own events stay one task's work. Event times are data; no clock is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -54,7 +54,6 @@ class Account:
     prepaid_used: int = 0
     prepaid_granted: int | None = None
     lease: tuple[datetime, datetime, int] | None = None
-    orders: set = field(default_factory=set)
 
     @staticmethod
     def opened(now: datetime) -> "Account":
@@ -101,12 +100,11 @@ class Account:
         if self.lease is None or now > self.lease[1] or now - self.lease[0] >= LEASE / 2:
             self.lease = (now, now + LEASE, max(0, min(sum(self.left(now)), OFFLINE_CAP)))
 
-    def step(self, kind: str, now: datetime, pages: int | None, order: str | None, issued: datetime | None, used: int | None) -> dict:
+    def step(self, kind: str, now: datetime, pages: int | None, new: bool, issued: datetime | None, used: int | None) -> dict:
         out = {"allow": None, "reason": None, "from_daily": 0, "from_week1": 0, "from_prepaid": 0, "charged": 0, "reconciled": 0}
         if kind == "grant":
-            out["allow"] = bool(order) and bool(pages) and order not in self.orders
+            out["allow"] = new
             if out["allow"]:
-                self.orders.add(order)
                 self.prepaid_granted = (self.prepaid_granted or 0) + pages
             else:
                 out["reason"] = "duplicate_order"
@@ -159,7 +157,7 @@ def replay(events: DataFrame) -> DataFrame:
                 if e.account != name or state is None:
                     name, state = e.account, Account.opened(now)
                 pages, used, issued = _none(e.pages), _none(e.lease_used), _none(e.lease_issued_at)
-                got = state.step(e.kind, now, None if pages is None else int(pages), _none(e.order_id), issued.to_pydatetime() if issued is not None else None, None if used is None else int(used))
+                got = state.step(e.kind, now, None if pages is None else int(pages), bool(e.new), issued.to_pydatetime() if issued is not None else None, None if used is None else int(used))
                 rows.append({"account": e.account, "ts": e.ts, "seq": e.seq, "kind": e.kind} | got)
             if rows:
                 out = pd.DataFrame(rows, columns=names)
@@ -168,7 +166,11 @@ def replay(events: DataFrame) -> DataFrame:
                 yield out
 
     fields = [f.strip().split(" ")[0] for f in EVENT.split(",")]
-    ordered = events.select(*fields).where("account is not null").repartition(F.col("account")).sortWithinPartitions("account", "ts", "seq")
+    rows = events.select(*fields).where("account is not null")
+    granting = F.expr("kind = 'grant' and order_id <> '' and pages <> 0")
+    first = F.row_number().over(Window.partitionBy("account", "order_id").orderBy("ts", "seq")) == 1
+    rows = rows.where(granting).withColumn("new", first).unionByName(rows.where(~F.coalesce(granting, F.lit(False))).withColumn("new", F.lit(False)))
+    ordered = rows.repartition(F.col("account")).sortWithinPartitions("account", "ts", "seq")
     return ordered.mapInPandas(run, RESULT)
 
 
@@ -176,23 +178,28 @@ def replay(events: DataFrame) -> DataFrame:
 
 
 def offline_consume(requests: DataFrame) -> DataFrame:
-    """requests with allow, reason and used_before for a client that spends its lease while offline.
+    """(client, seq, allow, reason, used_before) for clients that spend their leases while offline.
 
-    requests: client, seq, now, pages, expires_at, ceiling, used (offline use so far). Once a lease is over all is refused; a
-    request that does not fit is refused and later ones may fit, so it is a fold, here over one client's short list.
+    requests: client, seq, now, pages, expires_at, ceiling, used (offline use before a client's first request). Once a lease is over all is
+    refused; a request that does not fit is refused and later ones may fit, so it is a fold, streamed over the requests in order:
+    memory holds one client's number.
     """
-    order = F.array_sort(F.collect_list(F.struct("seq", "now", "pages")))
-    zero = F.struct(F.col("used").cast("long").alias("used"), F.expr("cast(array() as array<struct<seq: long, allow: boolean, reason: string, used_before: long>>)").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        over = F.col("expires_at").isNull() | (r["now"] >= F.col("expires_at"))
-        full = r["pages"] > F.col("ceiling") - acc["used"]
-        reason = F.when(F.col("ceiling").isNull(), "offline_state_missing").when(over, "offline_lease_expired").when(full, "offline_ceiling_reached")
-        entry = F.struct(r["seq"].cast("long").alias("seq"), reason.isNull().alias("allow"), reason.alias("reason"), acc["used"].alias("used_before"))
-        return F.struct(F.when(reason.isNull(), acc["used"] + r["pages"]).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(entry)).alias("out"))
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, used = None, 0
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                if r.client != client:
+                    client, used = r.client, int(r.used)
+                over, ceiling = _none(r.expires_at), _none(r.ceiling)
+                reason = "offline_state_missing" if ceiling is None else "offline_lease_expired" if over is None or r.now >= over else "offline_ceiling_reached" if r.pages > ceiling - used else None
+                rows.append((r.client, r.seq, reason is None, reason, used))
+                used += 0 if reason else int(r.pages)
+            yield pd.DataFrame(rows, columns=["client", "seq", "allow", "reason", "used_before"])
 
-    one = requests.groupBy("client").agg(order.alias("r"), F.first("expires_at").alias("expires_at"), F.first("ceiling").cast("long").alias("ceiling"), F.first("used").alias("used"))
-    return one.select("client", F.explode(F.aggregate("r", zero, step, lambda a: a["out"])).alias("o")).select("client", "o.*")
+    kept = requests.where("client is not null").select("client", F.col("seq").cast("long").alias("seq"), "now", "pages", "expires_at", "ceiling", "used")
+    return kept.repartition(F.col("client")).sortWithinPartitions("client", "seq").mapInPandas(run, "client string, seq long, allow boolean, reason string, used_before long")
 
 
 def overlay(states: DataFrame) -> DataFrame:
@@ -219,6 +226,29 @@ def resolve_accounts(requests: DataFrame, accounts: DataFrame, device) -> DataFr
     return found.withColumns({"account_id": F.coalesce("by_machine", "by_device"), "outcome": outcome}).drop("by_machine", "by_device")
 
 
+def opened_accounts(resolved: DataFrame, now: Column) -> DataFrame:
+    """(machine_id, kept_in, sku, usage, pages, period_start, period_end): what new accounts start with, two balances and two purchases each.
+
+    resolved: resolve_accounts() rows. A machine that asks more than once opens one account. Week one runs for seven days from now,
+    the daily page for the day of now; purchases have no period.
+    """
+    day = F.date_trunc("day", now)
+    week = F.struct(F.lit("free_week1").alias("sku"), F.lit(WEEK_ONE_PAGES).cast("long").alias("pages"), now.alias("a"), F.timestamp_add("DAY", F.lit(7), now).alias("z"))
+    daily = F.struct(F.lit("free_daily").alias("sku"), F.lit(DAILY_PAGES).cast("long").alias("pages"), day.alias("a"), F.timestamp_add("DAY", F.lit(1), day).alias("z"))
+    seeds = resolved.where("outcome = 'created'").select("machine_id").distinct().select("machine_id", F.explode(F.array(week, daily)).alias("s"))
+    seeds = seeds.select("machine_id", F.explode(F.array(F.lit("balances"), F.lit("purchases"))).alias("kept_in"), "s")
+    held = F.col("kept_in") == "balances"
+    return seeds.select("machine_id", "kept_in", "s.sku", F.when(held, F.lit(0).cast("long")).alias("usage"), "s.pages", F.when(held, F.col("s.a")).alias("period_start"), F.when(held, F.col("s.z")).alias("period_end"))
+
+
+def relinked(resolved: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(account_id, machine_id, device_id) of accounts found under another id than before: they take the request's ids (of several, the least)."""
+    was = accounts.select(F.col("id").alias("account_id"), F.col("machine_id").alias("was_machine"), F.col("device_id").alias("was_device"))
+    asked = resolved.where("account_id is not null").groupBy("account_id").agg(F.min(F.struct("machine_id", "device_id")).alias("now"))
+    both = asked.join(was, "account_id").where("now.machine_id <> was_machine or now.device_id <> was_device")
+    return both.select("account_id", "now.machine_id", "now.device_id")
+
+
 def paid_orders(events: DataFrame, products: DataFrame) -> DataFrame:
     """(order_id, account_id, tier, pages, amount_cents) of webhook events that grant: paid, with an account and a known product.
 

@@ -39,16 +39,23 @@ def chunks(df: DataFrame, size: int = CHUNK, id_col: str = "doc_id", text_col: s
     return at.select(id_col, "chunk_idx", "chunk_offset", F.col("t").substr(F.col("chunk_offset") + 1, F.lit(size)).alias("chunk"))
 
 
+#: A character that each match of a pattern holds: texts without it skip the pattern.
+NEEDS = {PATTERNS["email"]: "@", PATTERNS["phone_number"]: "(", PATTERNS["ssn"]: "-", PATTERNS["ip_address"]: "."}
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text>> of a pattern's matches: each starts behind all pieces and matches before it."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"))
+    found = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
-    def place(m: Column, k: Column) -> Column:
-        start = total(F.slice(pieces, 1, k + 1)) + total(F.slice(hits, 1, k))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"))
+    def step(acc: Column, x: Column) -> Column:  # carries the end of the last match
+        start = acc["at"] + F.length(x["piece"])
+        end = start + F.length(x["hit"])
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("found"))
 
-    return F.when(text.rlike(pattern), F.transform(hits, place)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    placed = F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), found.alias("found")), step, lambda acc: acc["found"])
+    there = text.rlike(pattern)
+    return F.when(F.contains(text, F.lit(NEEDS[pattern])) & there if pattern in NEEDS else there, placed).otherwise(found)
 
 
 def detect_rules(chunked: DataFrame, patterns: dict[str, str] = PATTERNS, id_col: str = "doc_id") -> DataFrame:
@@ -212,14 +219,21 @@ def indexed_text(words: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return whole.select(id_col, F.array_join(F.transform("p", lambda p: p["body"]), "\n\n").alias("text"))
 
 
+REACH = 4096
+
+
 def resolve(found: DataFrame, indexed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """found ⋈ words on overlapping ranges: one box for each entity and line.
 
     Partly covered words are cut in proportion to their characters; boxes are padded by PAD at the left and the right. Entities
-    that touch no word are dropped. The document is the equality key; a range within it is the join's residual.
+    that touch no word are dropped. The keys are the document and a stretch of REACH characters; what overlaps in more stretches than one
+    counts in that of the overlap's first character. So a long document's words meet the entities near them only.
     """
-    e = found.where("g_end > g_start").select(F.col(id_col).alias("e_id"), *[F.col(c) for c in ("g_start", "g_end", "label")], F.col("text").alias("value"))
-    near = e.join(indexed, (F.col("e_id") == F.col(id_col)) & (F.col("char_start") < F.col("g_end")) & (F.col("char_end") > F.col("g_start")))
+    stretches = lambda a, z: F.sequence(F.floor(F.col(a) / REACH), F.floor((F.col(z) - 1) / REACH))
+    e = found.where("g_end > g_start").select(F.col(id_col).alias("e_id"), *[F.col(c) for c in ("g_start", "g_end", "label")], F.col("text").alias("value"), F.explode(stretches("g_start", "g_end")).alias("e_part"))
+    words = indexed.where("char_end > char_start").withColumn("w_part", F.explode(stretches("char_start", "char_end")))
+    near = e.join(words, (F.col("e_id") == F.col(id_col)) & (F.col("e_part") == F.col("w_part")) & (F.col("char_start") < F.col("g_end")) & (F.col("char_end") > F.col("g_start")))
+    near = near.where(F.floor(F.greatest("g_start", "char_start") / REACH) == F.col("e_part"))
     n = F.col("char_end") - F.col("char_start")
     low = F.greatest("g_start", "char_start") - F.col("char_start")
     high = F.least("g_end", "char_end") - F.col("char_start")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import json
 
 FILLER = "Invoice for the works at the quay, sent by post and paid in parts. "
@@ -147,3 +149,13 @@ OFFLINE = [
     ("b", 1, "2024-01-01 10:00:00", 1, "2024-01-02 00:00:00", 10, 10),
     ("c", 1, "2024-01-01 10:00:00", 1, None, None, 0),
 ]
+
+
+def load_capitals():
+    """A stand-in model: words of three capitals or more, scored by their length; the shortest score too low, and one kind has no place."""
+    word = re.compile(r"[A-Z]{3,}")
+
+    def find(texts: list[str]) -> list[list[dict]]:
+        return [[{"start": None if len(m.group()) == 5 else m.start(), "end": m.end(), "label": " Full_Name ", "text": m.group(), "score": min(1.0, len(m.group()) / 16)} for m in word.finditer(t)] for t in texts]
+
+    return find

@@ -236,6 +236,10 @@ notes AS (SELECT "row", kind, {pick(synth.PLAIN, u("'opening'"))} || array_to_st
 """
 
 
+_DEVICES = """WITH b AS (SELECT c_custkey, md5(c_custkey::VARCHAR) AS machine_id FROM customer),
+x AS (SELECT c_custkey, machine_id, list_transform(generate_series(0, 31), lambda i: lpad(hex(xor(ascii(substr(machine_id, (i + 1)::INTEGER, 1)), [90, 60, 167, 225, 24, 159, 66, 182][(i % 8 + 1)::INTEGER])), 2, '0')) AS h FROM b)
+SELECT c_custkey, machine_id, sha256(unhex(right(array_to_string(list_transform(h, lambda v: right('0' || v, 2)), ''), 32) || left(array_to_string(list_transform(h, lambda v: right('0' || v, 2)), ''), 32))) AS device_id FROM x"""
+
 SQL = {
     "sample_corpus": _synthetic(5000) + ' SELECT "row", kind, ocr_text, pii FROM notes',
     "sample_kinds": _synthetic(5000) + " SELECT kind, count(*) AS n FROM notes GROUP BY kind",
@@ -280,7 +284,10 @@ SELECT client, seq::BIGINT AS seq, reason IS NULL AS allow, reason, used_before:
     "all_items": BESIDE + """, each AS (SELECT doc_id, 0 AS s, page_num AS a, value AS b, 'custom' AS source, type, value FROM custom_first UNION ALL SELECT DISTINCT doc_id, 1, g_start, label, 'model', type, value FROM beside)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, a, b)::INTEGER AS place, source, type, value FROM each""",
     "dedupe_boxes": PLACED + " SELECT doc_id, value, page_num, min(g_start * 2)::INTEGER AS seq, arg_min(label, g_start) AS label FROM placed GROUP BY doc_id, value, page_num, floor(x0 * 10 + 0.5), floor(y0 * 10 + 0.5), floor(x1 * 10 + 0.5), floor(y1 * 10 + 0.5)",
-    "attach_boxes": PLACED + f" SELECT type, value, occurrences, n_boxes::INTEGER AS n_boxes FROM (SELECT {SHOWN} AS type, value, count(*) AS occurrences FROM placed GROUP BY ALL) JOIN (SELECT value, count(*) AS n_boxes FROM placed GROUP BY ALL) USING (value)",
+    "attach_boxes": PLACED + f""" SELECT doc_id, type, value, occurrences, n_boxes::INTEGER AS n_boxes, b[1] AS page_num, floor(b[2] * 1000 + 0.5)::BIGINT AS x0, floor(b[3] * 1000 + 0.5)::BIGINT AS y0
+FROM (SELECT doc_id, {SHOWN} AS type, value, count(*) AS occurrences FROM placed GROUP BY ALL)
+JOIN (SELECT doc_id, value, count(*) AS n_boxes, list_min(list(ROW(page_num, x0, y0, x1, y1))) AS b FROM placed GROUP BY ALL) USING (doc_id, value)""",
+    "page_pixel_boxes": PLACED + f" SELECT doc_id, g_start, value, page_num, line_idx, {PX.replace('792', 'CASE WHEN page_num % 2 = 0 THEN 1008 ELSE 792 END')} FROM placed",
     "redaction_rects": RECTS + " SELECT * FROM rects",
     "unredacted_docs": RECTS + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM rects)",
     "redaction_totals": RECTS + " SELECT count(*) AS rects, count(DISTINCT (doc_id, page_num)) AS pages FROM rects",
@@ -289,7 +296,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, a, b)::INTEGER
     "redact_text": _mask(lambda s, p: f"regexp_replace({s}, {p}, '', 'g')"),
     "star_text": _mask(_joined("left(hs[i], greatest(length(hs[i]) - 12, 0)::INTEGER) || repeat('*', least(length(hs[i]), 12)::INTEGER)")),
     "hash_text": _mask(_joined("sha256(hs[i])")),
-    "ui_groups": UI + " SELECT type, count(*) AS n_items, sum(count)::BIGINT AS total, string_agg(value || '=' || count, '|' ORDER BY count DESC, seq, value) AS items FROM ui GROUP BY type",
+    "ui_groups": FOUND + """, ui AS (SELECT doc_id, type, value, count(*) AS count, min(g_start) AS seq FROM items GROUP BY ALL)
+SELECT doc_id, type, row_number() OVER (PARTITION BY doc_id, type ORDER BY count DESC, seq, value)::INTEGER AS place, value, count,
+       count(*) OVER (PARTITION BY doc_id, type) AS n_items, (sum(count) OVER (PARTITION BY doc_id, type))::BIGINT AS total FROM ui""",
     "selected_by_type": UI + " SELECT type, count(*) AS n FROM ui WHERE length(value) % 2 = 0 GROUP BY type",
     "page_span": PLACED + " SELECT type, value, count(DISTINCT (doc_id, page_num)) AS n_pages, count(*) AS n_boxes FROM placed GROUP BY ALL",
     "keep_checked": UI + " SELECT type, value, count, CASE WHEN seq % 2 = 0 THEN seq % 4 = 0 ELSE TRUE END AS checked FROM ui",
@@ -318,9 +327,7 @@ UNION ALL SELECT 'color', t, CASE WHEN regexp_full_match(t, '#[0-9A-Fa-f]{6}') T
  WHEN status = 409 AND contains(coalesce(message, ''), 'already_applied') THEN 'already_applied' WHEN status = 429 THEN 'rate_limited' WHEN status = 503 THEN 'validate_unavailable' ELSE 'network_error' END AS outcome FROM r""",
     "tier_dimension": "WITH " + values("p", ["product_id", "tier", "pages", "price_cents"], fx.PRODUCTS) + " SELECT product_id, tier, pages::BIGINT AS pages, price_cents::BIGINT AS price_cents FROM p",
     "label_categories": "WITH " + values("m", ["vocab", "raw", "category"], [("model", k, v) for k, v in LABEL_CATEGORY.items()] + [("display", c, c) for c in CATEGORIES] + [("identifier", t, CUSTOM_ALIASES.get(t, t)) for t in IDENTIFIER_TYPES]) + " SELECT * FROM m",
-    "device_id": """WITH b AS (SELECT c_custkey, md5(c_custkey::VARCHAR) AS machine_id FROM customer),
-x AS (SELECT c_custkey, machine_id, list_transform(generate_series(0, 31), lambda i: lpad(hex(xor(ascii(substr(machine_id, (i + 1)::INTEGER, 1)), [90, 60, 167, 225, 24, 159, 66, 182][(i % 8 + 1)::INTEGER])), 2, '0')) AS h FROM b)
-SELECT c_custkey, machine_id, sha256(unhex(right(array_to_string(list_transform(h, lambda v: right('0' || v, 2)), ''), 32) || left(array_to_string(list_transform(h, lambda v: right('0' || v, 2)), ''), 32))) AS device_id FROM x""",
+    "device_id": _DEVICES,
     "validate_ids": """SELECT c_custkey, c_custkey % 3 <> 0 AS machine_ok, c_custkey % 3 <> 0 AS device_ok, c_custkey % 5 <> 0 AND c_custkey * 7 % 12000 - 100 BETWEEN 1 AND 10000 AS pages_ok FROM customer""",
     "hourly_rollup": f"WITH {EVENTS}, {HOURLY} SELECT hour::TIMESTAMP AS hour, pii_type, count FROM hourly",
     "hourly_runs": f"SELECT {TRUNC}::TIMESTAMP AS hour, count(*) AS runs FROM events GROUP BY ALL",
@@ -356,7 +363,24 @@ coalesce((SELECT string_agg(type || '=' || value, ';' ORDER BY type, value) FROM
     "quality_census": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
     "acquired_stamps": """WITH t AS (SELECT o_orderkey, o_orderdate + to_minutes(o_orderkey * 37) AS ts FROM orders), f AS (SELECT o_orderkey, strftime(ts, '%b %-d') AS d, strftime(ts, '%-I:%M %p') AS t, ts FROM t)
 SELECT o_orderkey, d || repeat(' ', greatest(1, 15 - length(d) - length(t))) || t AS stamp, strftime(ts, '%-m/%-d/%Y, %-I:%M %p') AS shown, CASE WHEN o_orderkey = 0 THEN '' ELSE printf('%.1f MB', o_orderkey * 104858 / 1048576) END AS size FROM f""",
-    "reading_order": PLACED + " SELECT type, value, string_agg(page_num || ':' || floor((792 - y1) * 300 / 72 * 10 + 0.5)::BIGINT || ':' || floor(x0 * 300 / 72 * 10 + 0.5)::BIGINT, ' ' ORDER BY page_num, (792 - y1), x0) AS places FROM placed GROUP BY type, value",
+    "reading_order": PLACED + """ SELECT doc_id, type, value, row_number() OVER (PARTITION BY doc_id, type, value ORDER BY page_num, 792 - y1, x0)::INTEGER AS place, page_num,
+floor((792 - y1) * 300 / 72 * 10 + 0.5)::BIGINT AS y, floor(x0 * 300 / 72 * 10 + 0.5)::BIGINT AS x FROM placed""",
+    "sampled_documents": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 10000",
+    "model_entities": f"""WITH {DOCS}, """ + _chunks("docs") + """, hits AS (
+  SELECT doc_id, chunk_idx, chunk_offset, h[k] AS text, coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0) AS start
+  FROM (SELECT doc_id, chunk_idx, chunk_offset, regexp_extract_all(chunk, '[A-Z]{3,}') AS h, regexp_split_to_array(chunk, '[A-Z]{3,}') AS p FROM chunks WHERE regexp_matches(chunk, '[A-Z]{3,}')), generate_series(1, len(h)) g(k)),
+rebased AS (SELECT doc_id, chunk_idx, (chunk_offset + start)::INTEGER AS g_start, (chunk_offset + start + length(text))::INTEGER AS g_end, text FROM hits WHERE length(text) >= 6)
+SELECT doc_id, g_start, g_end, 'full_name' AS label, text, least(1.0, length(text) / 16)::DOUBLE AS score FROM rebased QUALIFY row_number() OVER (PARTITION BY doc_id, g_start, g_end ORDER BY chunk_idx) = 1""",
+    "jsonl_lines": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS raw FROM nation WHERE n_nationkey % 5 <> 3""",
+    "stream_json_lines": """SELECT '{"cmd":"detect","kind":"pii","item":{"type":"' || event_type || '","value":"' || event_id || '"}}' AS raw FROM events""",
+    "opened_accounts": """WITH made AS (SELECT md5(c_custkey::VARCHAR) AS machine_id FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0)
+SELECT machine_id, kept_in, sku, CASE WHEN kept_in = 'balances' THEN 0::BIGINT END AS usage, pages, CASE WHEN kept_in = 'balances' THEN a END AS period_start, CASE WHEN kept_in = 'balances' THEN z END AS period_end
+FROM made, (VALUES ('balances'), ('purchases')) k(kept_in),
+     (VALUES ('free_week1', 20::BIGINT, TIMESTAMP '2024-03-05 14:30:00', TIMESTAMP '2024-03-12 14:30:00'), ('free_daily', 1, TIMESTAMP '2024-03-05 00:00:00', TIMESTAMP '2024-03-06 00:00:00')) s(sku, pages, a, z)""",
+    "relinked_accounts": "WITH d AS (" + _DEVICES + """) SELECT c_custkey AS account_id, machine_id, CASE WHEN c_custkey % 7 = 0 THEN reverse(device_id) ELSE device_id END AS device_id
+FROM d WHERE c_custkey % 3 = 0 AND (c_custkey % 6 = 0) <> (c_custkey % 7 = 0)""",
+    "audit_applied": AUDIT + " SELECT sample_id::BIGINT AS sample_id, string_agg(type || '=' || value, ';' ORDER BY seq) AS items FROM now GROUP BY sample_id",
+    "concat_samples": _synthetic(60) + """ SELECT 0 AS part, "row", kind FROM notes WHERE "row" < 51 UNION ALL SELECT 1, "row", kind FROM notes WHERE "row" < 9 UNION ALL SELECT 2, "row", kind FROM notes""",
     "download_totals": "SELECT count(*) AS files, sum(size)::BIGINT AS total FROM (SELECT l_orderkey % 5 AS file, max(l_partkey) AS size FROM lineitem GROUP BY ALL)",
     "command_outcomes": """WITH e AS (SELECT event_id, event_id % 2 = 0 AS detect, event_id % 3 AS phase, event_id % 7 % 4 AS status FROM events)
 SELECT event_id, status = 3 OR (status = 2 AND ((detect AND phase = 1) OR (NOT detect AND phase = 2))) AS ends FROM e""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import geometry, identity, labels, text
 from ..operators import boxes, corpus, layout, ledger, match, metrics, spans, synth
 from ..sources import readers, sinks
@@ -133,8 +134,16 @@ def dedupe_boxes(spark, sf_dir):
 
 def attach_boxes(spark, sf_dir):
     found = _boxes(spark, sf_dir)
-    whole = boxes.attach_boxes(boxes.aggregate(found.select("type", "value")), found)
-    return whole.select("type", "value", "occurrences", F.size("bboxes").alias("n_boxes"))
+    whole = boxes.attach_boxes(boxes.aggregate(found.select("doc_id", "type", "value"), ("doc_id",)), found)
+    first = lambda c: F.floor(F.col("bboxes")[0][c] * 1000 + 0.5).cast("long")
+    return whole.select("doc_id", "type", "value", "occurrences", F.size("bboxes").alias("n_boxes"), F.col("bboxes")[0]["page_num"].alias("page_num"), first("x0").alias("x0"), first("y0").alias("y0"))
+
+
+def page_pixel_boxes(spark, sf_dir):
+    """Pixel boxes by each page's own height: even pages are longer."""
+    pages = spans.layout_words(_docs(spark, sf_dir)).select("doc_id", "page_num").distinct().withColumn("height", F.when(F.col("page_num") % 2 == 0, 1008.0).otherwise(spans.PAGE_HEIGHT))
+    rounded = [F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in "xywh"]
+    return geometry.page_pixels(_boxes(spark, sf_dir), pages, SCALE).select("doc_id", "g_start", "value", "page_num", "line_idx", *rounded)
 
 
 def _selected(found):
@@ -210,8 +219,8 @@ def _ui_items(spark, sf_dir):
 
 
 def ui_groups(spark, sf_dir):
-    groups = boxes.ui_groups(_ui_items(spark, sf_dir))
-    return groups.select("type", "n_items", "total", F.array_join("items", "|").alias("items"))
+    found = spans.items(spans.entities(_docs(spark, sf_dir)))
+    return boxes.ui_groups(found.groupBy("doc_id", "type", "value").agg(F.count(F.lit(1)).alias("count"), F.min("g_start").alias("seq")))
 
 
 def selected_by_type(spark, sf_dir):
@@ -362,12 +371,24 @@ def balance_pivot(spark, sf_dir):
     return wide.select("account_id", *[v.alias(c) for v, c in zip(left, ("daily_left", "week1_left", "prepaid_left"))], (left[0] + left[1] + left[2]).alias("available"))
 
 
-def resolve_accounts(spark, sf_dir):
+def _resolved(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("machine_id"))
     c = c.withColumn("device_id", identity.device_id(F.col("machine_id")))
     known = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 6 == 0, F.reverse("machine_id")).otherwise(F.col("machine_id")).alias("machine_id"), "device_id")
     asked = c.withColumn("device_id", F.when(F.col("c_custkey") % 7 == 0, F.reverse("device_id")).otherwise(F.col("device_id")))
-    return ledger.resolve_accounts(asked, known, identity.device_id).select("c_custkey", "account_id", "outcome")
+    return ledger.resolve_accounts(asked, known, identity.device_id), known
+
+
+def resolve_accounts(spark, sf_dir):
+    return _resolved(spark, sf_dir)[0].select("c_custkey", "account_id", "outcome")
+
+
+def opened_accounts(spark, sf_dir):
+    return ledger.opened_accounts(_resolved(spark, sf_dir)[0], F.to_timestamp(F.lit("2024-03-05 14:30:00")))
+
+
+def relinked_accounts(spark, sf_dir):
+    return ledger.relinked(*_resolved(spark, sf_dir))
 
 
 def grant_idempotent(spark, sf_dir):
@@ -449,6 +470,17 @@ def audit_diff(spark, sf_dir):
     return diff.select("sample_id", shown("added").alias("added"), shown("removed").alias("removed"))
 
 
+def audit_applied(spark, sf_dir):
+    fixed = corpus.apply_audit(_audit(spark, fx.AUDIT_OLD), _audit(spark, fx.AUDIT_NEW))
+    return fixed.select("sample_id", F.array_join(F.transform(F.col("pii"), lambda p: F.concat(p["type"], F.lit("="), p["value"])), ";").alias("items"))
+
+
+def concat_samples(spark, sf_dir):
+    """Three lists one after another: 51, 9 and 60 samples."""
+    parts = [synth.corpus(spark, n).select(F.lit(i).alias("part"), "row", "kind") for i, n in enumerate((51, 9, 60))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def audit_totals(spark, sf_dir):
     return corpus.audit_diff(_audit(spark, fx.AUDIT_OLD), _audit(spark, fx.AUDIT_NEW)).agg(F.count(F.lit(1)).alias("changed"), F.sum(F.size("added")).alias("added"))
 
@@ -486,16 +518,9 @@ def quality_census(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name, make, mode):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-stream-")
     from ..streaming import jobs
 
-    return jobs.run_once(make(jobs), name, f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}", mode)
+    return jobs.run_once(make(jobs), name, shared.new_path(spark, "stream"), mode)
 
 
 def _event_stream(spark, sf_dir, jobs):
@@ -538,10 +563,8 @@ def acquired_stamps(spark, sf_dir):
 
 
 def reading_order(spark, sf_dir):
-    px = _boxes(spark, sf_dir).select("type", "value", "page_num", *geometry.pixels(SCALE, F.lit(spans.PAGE_HEIGHT)))
-    lists = px.groupBy("type", "value").agg(F.collect_list(F.struct("page_num", "x", "y", "w", "h")).alias("b"))
-    ordered = F.transform(boxes.reading_order(F.col("b")), lambda b: F.concat_ws(":", b["page_num"], F.floor(b["y"] * 10 + 0.5), F.floor(b["x"] * 10 + 0.5)))
-    return lists.select("type", "value", F.array_join(ordered, " ").alias("places"))
+    px = _boxes(spark, sf_dir).select("doc_id", "type", "value", "page_num", *geometry.pixels(SCALE, F.lit(spans.PAGE_HEIGHT)))
+    return boxes.reading_order(px).select("doc_id", "type", "value", "place", "page_num", *[F.floor(F.col(c) * 10 + 0.5).cast("long").alias(c) for c in "xy"])
 
 
 def download_totals(spark, sf_dir):
@@ -584,12 +607,42 @@ def sample_kinds(spark, sf_dir):
     return synth.corpus(spark, 5000).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sampled_documents(spark, sf_dir):
+    return readers.sampled(table(spark, sf_dir, "documents").select("doc_id", "lang"), 10_000, "doc_id")
+
+
+def model_entities(spark, sf_dir):
+    """The model slot with a stand-in model; low scores and incomplete finds go."""
+    found = spans.detect_model(spans.chunks(_docs(spark, sf_dir)), fx.load_capitals)
+    return spans.first_seen(spans.rebase(found)).select("doc_id", "g_start", "g_end", "label", "text", "score")
+
+
+def jsonl_lines(spark, sf_dir):
+    """Rows appended to a file of JSON lines twice, rewritten in place without some, and read again without blank lines."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    path = shared.new_path(spark, "lines")
+    sinks.write_json_lines(rows.where("n_nationkey < 12"), path)
+    sinks.write_json_lines(rows.where("n_nationkey >= 12"), path)
+    sinks.rewrite(spark.read.schema("n_nationkey long, n_name string").json(path).where("n_nationkey % 5 <> 3"), path)
+    return readers.without_blank(readers.jsonl(spark, path)).select("raw")
+
+
+def stream_json_lines(spark, sf_dir):
+    """Events as a stream of JSON lines, one object a line."""
+    from ..streaming import jobs
+
+    path = shared.new_path(spark, "emitted")
+    shaped = _event_stream(spark, sf_dir, jobs).select(F.lit("detect").alias("cmd"), F.lit("pii").alias("kind"), F.struct(F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("value")).alias("item"))
+    jobs.emit(shaped, path, shared.new_path(spark, "stream"))
+    return spark.read.text(path).select(F.col("value").alias("raw"))
+
+
 def sample_batches(spark, sf_dir):
     return synth.first_batches(synth.corpus(spark, 5000)).select("row", "batch", "kind")
 
 
 QUERIES = [
-    sample_batches, acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
+    sampled_documents, model_entities, jsonl_lines, stream_json_lines, page_pixel_boxes, opened_accounts, relinked_accounts, audit_applied, concat_samples, sample_batches, acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
     chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, index_word_rows, indexed_text, layout_text, resolve_entity_boxes, pixel_boxes,
     custom_pii_parse, custom_pii_match, custom_emitted, all_items, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
     star_text, hash_text, deny_list, cluster_lines, ocr_words, ui_groups, selected_by_type, page_span, keep_checked, selected_values, union_identifiers, detection_json,

@@ -66,9 +66,9 @@ def clean_custom(rows: DataFrame) -> DataFrame:
     return rows.select(blank_trim(F.col("value")).alias("value"), custom_type(F.col("type")).alias("type")).where("value <> ''")
 
 
-def sampled(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n rows in a shuffled order: a bounded draw for inspection."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sampled(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows in a shuffled order, which is that of a hash of their key: the same rows on each run. Each task keeps its own first n; nothing is sorted as a whole."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 #: The phase whose `done` ends each command.

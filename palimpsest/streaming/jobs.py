@@ -75,3 +75,8 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
         write = stream.writeStream.outputMode(mode).format("parquet").option("path", out)
     write.option("checkpointLocation", f"{checkpoint}/{name}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def emit(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """A stream's rows as JSON lines under `path`, until its input is read."""
+    rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
