@@ -1,31 +1,13 @@
-"""Shared helpers: tables written in the cluster's shared folder, and connected components."""
+"""Connected components; tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import discard, materialise, shared_dir
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests) one is made, for this process."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
-    if not path:
-        path = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "discard", "materialise", "shared_dir"]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,27 +18,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a count and a checksum reaches the driver. No edges: no rows. Loops (u = u) are ignored.
     """
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("c"), "m")
         low = materialise(low, "low")  # a table on either side: a hub's rows can then be split in the join
-        return both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), low
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         low = materialise(low, "low")
         rest = down.join(low, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return rest.unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
+        return rest.unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))), low
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
+    def step(e: DataFrame, make) -> DataFrame:
+        """The next edges, written; those that they came of go."""
+        made, low = make(e)
+        out = materialise(made.where("u <> v").distinct(), "stars")
+        discard(e, low)
+        return out
+
     now = materialise(edges.select("u", "v").where("u <> v").distinct(), "edges")
     seen = state(now)
     while seen[0]:
-        stars = materialise(large(now).where("u <> v").distinct(), "stars")
-        now = materialise(small(stars).where("u <> v").distinct(), "stars")
+        now = step(step(now, large), small)
         if seen == (seen := state(now)):
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

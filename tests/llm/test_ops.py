@@ -110,6 +110,38 @@ def test_large_integers_are_exact():
     assert ids.tolist() == [1] and scores.tolist() == [2**60 + 2]
 
 
+def test_topk_of_huge_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    search = lambda rows: topk.top_k(spark.createDataFrame(rows, schema), "vec_id", "embedding", F.lit(True)).orderBy("query_id", "rank").collect()
+    with pytest.raises(Exception, match="range of a long"):
+        search([(0, [1e30, 1.0]), (1, [1.0, 1.0])])
+    with pytest.raises(Exception, match="range of a long"):  # each term fits, their product doesn't
+        search([(0, [1e12, 1.0]), (1, [1e12, 1.0])])
+    got = search([(0, [2.0**40, 1.0]), (1, [2.0**-4, 0.5]), (2, [2.0**-4, 1.0])])
+    assert [(r.query_id, r["id"], r.score) for r in got if r.query_id == 0] == [(0, 2, 2**52 + 2**16), (0, 1, 2**52 + 2**15)]
+
+
+@pytest.mark.parametrize("size,slab", [(64, 7), (500, 10**6)])
+def test_topk_over_superblocks(spark, monkeypatch, size, slab):
+    """Superblocks, slabs and bounds rule out nothing that counts."""
+    monkeypatch.setattr(topk, "SUPER", size)
+    monkeypatch.setattr(topk, "LEAST_SUPER", size)
+    monkeypatch.setattr(topk, "SLAB", slab)
+    monkeypatch.setattr(topk, "TOPS_BYTES", 2000)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(30, 8)), 30, axis=0) * 3 + rng.normal(size=(900, 8)) * 0.1
+    x[:300] = x[0]  # a third of the rows are one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r["id"], r.score))
+    t = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 900, 20):
+        s = t @ t[q]
+        order = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:5]
+        assert sorted(got[q]) == [(n + 1, int(i), int(s[i])) for n, i in enumerate(order)]
+
+
 def test_ann_recall_and_scores(spark):
     x, df = vectors(spark, 3000)
     got = {}
@@ -131,8 +163,10 @@ def test_search_small_and_empty(spark, search):
     schema = "vec_id long, embedding array<float>"
     assert search(spark.createDataFrame([], schema)).count() == 0
     assert search(spark.createDataFrame([(0, [1.0, 2.0])], schema)).count() == 0
-    two = search(spark.createDataFrame([(0, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0])], schema)).collect()
-    assert sorted((r.query_id, r["rank"], r["id"]) for r in two) == [(0, 1, 50), (50, 1, 0)]
+    rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (None, [1.0, 2.0])]  # every row but the query's own is a candidate
+    got = search(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    want = {0: [50, 50, None], 50: [0, 50, None], None: [0, 50, 50]}
+    assert sorted(map(repr, ((r.query_id, r["rank"], r["id"]) for r in got))) == sorted(map(repr, ((q, i + 1, x) for q in (0, 50, 50, None) for i, x in enumerate(want[q]))))
 
 
 def test_graph_finds_nearest_centroids():
