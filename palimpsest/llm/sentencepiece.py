@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 200_000
-SLICE = 4_000_000
+CACHE = 100_000
+SLICE = 2_000_000
 LONG = 512
 UNKNOWN_PENALTY = 10.0
 

@@ -281,7 +281,7 @@ class _Finder:
                         for i in np.flatnonzero(mixed[first]):
                             j = first[i]
                             if (key := (int(h[j]), int(s[j]))) not in seen:
-                                if len(seen) > 1_000_000:
+                                if len(seen) > 200_000:
                                     seen.clear()
                                 seen.add(key)
                                 parts[i] = text[lo[j] : lo[j] + n[j]]
