@@ -751,3 +751,36 @@ def test_linked_sets():
     sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12))).astype(np.uint64) for _ in range(60)]
     want = [[len(set(x) & set(y)) >= 0.6 * len(set(x) | set(y)) for y in sets] for x in sets]
     assert (simhash.linked_sets(sets, 0.6) == np.array(want)).all()
+
+
+@pytest.mark.parametrize("size", [3, 20, 500])
+def test_crowds_of_near_copies(spark, size):
+    """Copies of one text, its id in the middle, edited or cut short to about 0.8 and up: 0.9 of the links of brute force at least, and no other."""
+    rng = random.Random(size)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    groups = []
+    for _ in range(max(1, 120 // size)):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(80, 200))]
+        made = []
+        for i in range(size - 1):
+            words = list(base)
+            if i % 3 == 0:
+                words = words[: rng.randrange(int(0.82 * len(words)), len(words))]
+            for _ in range(rng.randrange(1, 4) if i % 3 else 0):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            made.append(" ".join(words))
+        made.insert(size // 2, " ".join(base))
+        groups.append(made)
+    texts = [t for g in groups for t in g]
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    want, start = {}, 0
+    for g in groups:
+        root = list(range(len(g)))
+        for a, b in simhash._spanning(simhash.linked_sets(sets[start : start + len(g)], 0.8)):
+            root = [root[a] if r == root[b] else r for r in root]
+        want |= {start + i: start + min(j for j, r in enumerate(root) if r == root[i]) for i in range(len(g))}
+        start += len(g)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts).repartition(5)).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert np.mean([got[i] == want[i] for i in linked]) >= 0.9
+    assert all(want[i] == want[got[i]] for i in got)
