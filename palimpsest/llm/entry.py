@@ -66,7 +66,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """The contract's columns; then, from the same index at 200 bytes, how many passages of over 50 words stand elsewhere too, and the text without them."""
+    return suffix_dedup.digest(suffix_dedup.nested_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
-LENGTH = 400
-GRAM = 300
+LENGTH, GRAM = 400, 300
+PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 150, 50
 BLOCK = 1 << 19
 HOT = 192
 SHARD_BYTES = 1 << 19
 BROADCAST_GRAMS = 4_000_000
 ODD = 0x9E3779B97F4A7C15
+SPANS = "array<struct<a: int, z: int>>"
 OCCURRENCE = "h long, s long, c1 long, c2 long, lo int, n int, cnt int, part binary"
 
 
@@ -191,11 +192,35 @@ def _long(x) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False)
 
 
+def stretches(text: bytes, spans, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """segments() of the whole text (spans None), or of the stretches that ranges cover."""
+    if spans is None:
+        return segments(text, length, gram)
+    parts = []
+    for a, z in _spans(spans):
+        h, s, lo, n = segments(text[a:z], length, gram)
+        parts.append((h, s, lo + a, n))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else segments(b"", length, gram)
+
+
 class _Finder:
-    def __init__(self, df: DataFrame, text_col: str, length: int, gram: int, hot: int, broadcast_grams: int):
+    """within: (c1, c2, spans) of shorter repeats of the same texts; a longer one lies in one of their stretches, so no more is read."""
+
+    def __init__(self, df: DataFrame, text_col: str, length: int, gram: int, hot: int, broadcast_grams: int, within: DataFrame | None = None):
         self.spark, self.length, self.gram, self.hot, self.most = df.sparkSession, length, gram, hot, broadcast_grams
         raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-        self.texts = df.select(raw.alias("raw"), *identity(text_col)).where(F.octet_length("raw") >= length)
+        self.texts, self.written = df.select(raw.alias("raw"), *identity(text_col)).where(F.octet_length("raw") >= length), []
+        if within is None:
+            self.texts = self.texts.withColumn("spans", F.lit(None).cast(SPANS))
+        else:
+            near = within.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "spans")
+            rows = self.texts.join(near, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))).select("raw", "c1", "c2", "spans")
+            self.texts = self.keep(rows, "dup-texts")
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """materialise(), for a table that goes once the spans are written."""
+        self.written.append(materialise(df, label))
+        return self.written[-1]
 
     def counts(self) -> DataFrame:
         """(h, mixed) of the grams that anchor more than one segment; mixed: the segments differ."""
@@ -204,8 +229,8 @@ class _Finder:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 held, size = [], 0
-                for t in b.column(0):
-                    h, s, _, _ = segments(t.as_py(), length, gram)
+                for t, v in zip(b.column(0), b.column(1)):
+                    h, s, _, _ = stretches(t.as_py(), v.as_py(), length, gram)
                     held.append((h, s))
                     size += len(h)
                     if size > 200_000:
@@ -217,9 +242,9 @@ class _Finder:
         def pack(held) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*held)], names=["h", "s"])
 
-        rows = self.texts.select("raw").mapInArrow(run, "h long, s long")
+        rows = self.texts.select("raw", "spans").mapInArrow(run, "h long, s long")
         grams = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("z")).where("n > 1")
-        return materialise(grams.select("h", (F.col("a") != F.col("z")).alias("mixed")), "dup-grams")
+        return self.keep(grams.select("h", (F.col("a") != F.col("z")).alias("mixed")), "dup-grams")
 
     def occurrences(self, grams: DataFrame) -> DataFrame:
         """The segments of repeated grams (one row for each kind of segment in a text, `cnt` times there), with the text
@@ -227,16 +252,16 @@ class _Finder:
         if grams.count() <= self.most:  # a checked size; beyond it the grams are joined
             told = grams.toArrow().sort_by("h")
             known = self.spark.sparkContext.broadcast((_long(told["h"]), _long(told["mixed"])))
-            return materialise(self.texts.mapInArrow(self._scan(known, True), OCCURRENCE), "dup-segments")
+            return self.keep(self.texts.mapInArrow(self._scan(known, True), OCCURRENCE), "dup-segments")
         every = self.texts.mapInArrow(self._scan(None, False), OCCURRENCE)
-        rows = materialise(every.drop("part").join(grams, "h", "left").where("cnt = 0 or mixed is not null"), "dup-segments")
+        rows = self.keep(every.drop("part").join(grams, "h", "left").where("cnt = 0 or mixed is not null"), "dup-segments")
         wanted = rows.where("cnt > 0 and mixed").groupBy("h", "s").agg(F.min(F.struct("c1", "c2", "lo", "n")).alias("w")).select("h", "s", "w.*")
         wanted = wanted.groupBy("c1", "c2").agg(F.collect_list(F.struct("h", "s", "lo", "n")).alias("w")).select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "w")
         at = self.texts.join(wanted, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select("raw", F.explode("w").alias("w"))
         parts = at.select("w.h", "w.s", F.expr("substring(raw, w.lo + 1, w.n)").alias("part"))
         none = [F.lit(0).cast(t).alias(c) for c, t in (("c1", "long"), ("c2", "long"), ("lo", "int"), ("n", "int"))]
         parts = parts.select("h", "s", *none, F.lit(-1).alias("cnt"), "part")
-        return materialise(rows.select("h", "s", "c1", "c2", "lo", "n", "cnt", F.lit(None).cast("binary").alias("part")).unionByName(parts), "dup-parts")
+        return self.keep(rows.select("h", "s", "c1", "c2", "lo", "n", "cnt", F.lit(None).cast("binary").alias("part")).unionByName(parts), "dup-parts")
 
     def _scan(self, known, with_parts: bool):
         length, gram = self.length, self.gram
@@ -260,9 +285,9 @@ class _Finder:
 
             for b in batches:
                 c1s, c2s = _long(b.column(1)).tolist(), _long(b.column(2)).tolist()
-                for t, c1, c2 in zip(b.column(0), c1s, c2s):
+                for t, c1, c2, v in zip(b.column(0), c1s, c2s, b.column(3)):
                     text = t.as_py()
-                    h, s, lo, n = segments(text, length, gram)
+                    h, s, lo, n = stretches(text, v.as_py(), length, gram)
                     mixed = np.zeros(len(h), bool)
                     if known is not None:
                         grams, mix = known.value
@@ -346,27 +371,29 @@ class _Finder:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(np.full(k, s)), pa.array(np.arange(k, dtype=np.int32)), pa.array(w.view(np.int64))], names=["h", "s", "a", "w"])
 
         one = parts.groupBy("h", "s").agg(F.first("part").alias("part"))
-        windows = materialise(one.mapInArrow(run, "h long, s long, a int, w long"), "dup-windows")
-        again = materialise(windows.groupBy("h", "w").count().where("count > 1").select(F.col("h").alias("h2"), F.col("w").alias("w2")), "dup-again")
+        windows = self.keep(one.mapInArrow(run, "h long, s long, a int, w long"), "dup-windows")
+        again = self.keep(windows.groupBy("h", "w").count().where("count > 1").select(F.col("h").alias("h2"), F.col("w").alias("w2")), "dup-again")
         return windows.join(again, (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2"))).select("h", "s", "a", (F.col("a") + length).alias("z"))
 
     def spans(self) -> DataFrame:
         """(c1, c2, spans): the ranges to remove from each text that has some, in any order, overlaps left."""
         rows = self.occurrences(self.counts())
-        kinds = materialise(rows.where("cnt > 0").groupBy("h", "s").agg(F.sum("cnt").alias("total"), F.first("n").alias("n")), "dup-kinds")
-        hot = materialise(kinds.groupBy("h").count().where(F.col("count") > self.hot).select("h"), "dup-hot")
+        kinds = self.keep(rows.where("cnt > 0").groupBy("h", "s").agg(F.sum("cnt").alias("total"), F.first("n").alias("n")), "dup-kinds")
+        hot = self.keep(kinds.groupBy("h").count().where(F.col("count") > self.hot).select("h"), "dup-hot")
         parts = rows.where("part is not null").select("h", "s", "part")
         whole = kinds.where("total > 1").select("h", "s", F.lit(0).alias("a"), F.col("n").alias("z"))
         found = whole.unionByName(self.indexed(parts.join(hot, "h", "left_anti")))
         if not hot.isEmpty():
             found = found.unionByName(self.counted(parts.join(hot, "h", "left_semi")))
         found = found.groupBy("h", "s").agg(F.collect_list(F.struct("a", "z")).alias("r"))
-        found = materialise(found.select(F.col("h").alias("h2"), F.col("s").alias("s2"), "r"), "dup-ranges")
+        found = self.keep(found.select(F.col("h").alias("h2"), F.col("s").alias("s2"), "r"), "dup-ranges")
         placed = rows.where("cnt > 0").select("h", "s", "c1", "c2", "lo").join(found, (F.col("h") == F.col("h2")) & (F.col("s") == F.col("s2")))
         spread = placed.select("c1", "c2", "lo", F.explode("r").alias("r")).select("c1", "c2", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.z")).alias("z"))
         inner = rows.where("cnt = 0").select("c1", "c2", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("z"))
         every = spread.unionByName(inner).distinct().groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-        return materialise(every, "dup-spans")
+        out = materialise(every, "dup-spans")
+        discard(*self.written)
+        return out
 
 
 def identity(text_col: str):
@@ -402,34 +429,65 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     rows. Ranges come in any order and may overlap: merged() puts them right. A column dup_spans that is already
     there is replaced.
     """
-    if not 0 < gram < length:
-        raise ValueError("gram must be shorter than length")
-    df = df.drop("dup_spans")
-    found = _Finder(df, text_col, length, gram, hot, broadcast_grams).spans().select(F.col("c1").alias("__dup_c1"), F.col("c2").alias("__dup_c2"), F.col("spans").alias("dup_spans"))
+    return _attached(df, text_col, {"dup_spans": (length, gram)}, hot, broadcast_grams)
+
+
+def nested_spans(df: DataFrame, text_col: str = "text", sizes: dict[str, tuple[int, int]] | None = None, hot: int = HOT, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """repeated_spans() at several sizes, column: (length, gram), from the shortest length to the longest; by default passage_spans and dup_spans.
+
+    What repeats at a longer length repeats at a shorter one, so each run reads only the stretches that the one before covered.
+    """
+    return _attached(df, text_col, sizes or {"passage_spans": (PASSAGE, PASSAGE_GRAM), "dup_spans": (LENGTH, GRAM)}, hot, broadcast_grams)
+
+
+def _attached(df: DataFrame, text_col: str, sizes: dict[str, tuple[int, int]], hot: int, broadcast_grams: int) -> DataFrame:
+    df, near, columns = df.drop(*sizes), None, []
     c1, c2 = identity(text_col)
-    keyed = df.withColumn("__dup_k1", c1).withColumn("__dup_k2", c2)
-    joined = keyed.join(found, (F.col("__dup_k1") == F.col("__dup_c1")) & (F.col("__dup_k2") == F.col("__dup_c2")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "dup_spans")
+    joined = df.withColumn("__dup_k1", c1).withColumn("__dup_k2", c2)
+    tables = None
+    for name, (length, gram) in sizes.items():
+        if not 0 < gram < length or columns and length < sizes[columns[-1]][0]:
+            raise ValueError("gram must be shorter than length, and lengths must grow")
+        near = _Finder(df, text_col, length, gram, hot, broadcast_grams, near).spans()
+        found = near.select(F.col("c1").alias(f"__c1_{length}"), F.col("c2").alias(f"__c2_{length}"), F.col("spans").alias(name))
+        if tables is None:
+            tables, k1, k2 = found, f"__c1_{length}", f"__c2_{length}"
+        else:
+            tables = tables.join(found, (F.col(k1) == F.col(f"__c1_{length}")) & (F.col(k2) == F.col(f"__c2_{length}")), "left")
+        columns.append(name)
+    joined = joined.join(tables.select(k1, k2, *columns), (F.col("__dup_k1") == F.col(k1)) & (F.col("__dup_k2") == F.col(k2)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *columns)
 
 
 def _spans(value) -> list[tuple[int, int]]:
     return merged([(x["a"], x["z"]) for x in value]) if value else []
 
 
-def digest(spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of repeated_spans()."""
-    rows = spans.select(id_col, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"), "dup_spans")
+def digest(spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = PASSAGE_WORDS) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of repeated_spans(): what stays when dup_spans go.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, v in zip(b.column(1), b.column(2)):
-                text, found = t.as_py(), _spans(v.as_py())
-                out.append((len(text), sum(z - a for a, z in found), len(found), hashlib.sha256(remainder(text, found)).hexdigest()))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    Of nested_spans() also n_passages and `text`: the text without those of its passage_spans in which more than `over` whole words lie (null stays null).
+    """
+    cut = "passage_spans" in spans.columns
+    rows = spans.select(id_col, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"), "dup_spans", *([F.col(text_col).isNull(), "passage_spans"] if cut else []))
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                out = []
+                for i, (t, v) in enumerate(zip(b.column(1), b.column(2))):
+                    text, found = t.as_py(), _spans(v.as_py())
+                    row = (len(text), sum(z - a for a, z in found), len(found), hashlib.sha256(remainder(text, found)).hexdigest())
+                    if cut:
+                        gone = passages(text, b.column(4)[i].as_py(), over)
+                        row += (len(gone), None if b.column(3)[i].as_py() else remainder(text, gone).decode("utf-8", "ignore"))
+                    out.append(row)
+                cols = list(zip(*out)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds.values()))], names=[id_col, *kinds])
+
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"n_passages": pa.int64(), "text": pa.string()} if cut else {})
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in kinds.items()))
 
 
 def whole_words(text: bytes, a: int, z: int) -> int:
@@ -439,6 +497,11 @@ def whole_words(text: bytes, a: int, z: int) -> int:
     return max(0, len(words) - cut)
 
 
+def passages(text: bytes, spans, over: int) -> list[tuple[int, int]]:
+    """The merged ranges in which more than `over` whole words lie; with 0 all of them."""
+    return [x for x in _spans(spans) if not over or whole_words(text, *x) > over]
+
+
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, over: int = 0) -> DataFrame:
     """df with the repeated strings cut out of its texts; characters of which only some bytes are left go too. Every row stays.
 
@@ -454,7 +517,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
             for i, v in enumerate(b.column(b.num_columns - 1)):
                 if texts[i] is not None and v.is_valid:
                     raw = texts[i].encode("utf-8", "surrogatepass")
-                    texts[i] = remainder(raw, [x for x in _spans(v.as_py()) if not over or whole_words(raw, *x) > over]).decode("utf-8", "ignore")
+                    texts[i] = remainder(raw, passages(raw, v.as_py(), over)).decode("utf-8", "ignore")
             cols = b.columns[:-1]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)

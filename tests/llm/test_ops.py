@@ -784,3 +784,26 @@ def test_crowds_of_near_copies(spark, size):
     linked = [i for i in want if want[i] != i]
     assert np.mean([got[i] == want[i] for i in linked]) >= 0.9
     assert all(want[i] == want[got[i]] for i in got)
+
+
+@pytest.mark.parametrize("hot,most", [(4096, 10**6), (2, 10**6), (4096, 0)])
+def test_nested_repeats(spark, repetitive, hot, most):
+    """The longer repeats are found in the stretches of the shorter ones as in whole texts; passages of over so many words go from the text."""
+    df = clashing(docs(spark, repetitive)).repartition(3)
+    found = suffix_dedup.nested_spans(df, "text", {"passage_spans": (30, 20), "dup_spans": (60, 40)}, hot, most)
+    rows = {r.doc_id: r for r in suffix_dedup.digest(found, over=8).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows.items()} == dict(enumerate(brute_repeats(repetitive, 60)))
+    count = {}
+    for t in repetitive:
+        b = (t or "").encode()
+        for i in range(len(b) - 29):
+            count[b[i : i + 30]] = count.get(b[i : i + 30], 0) + 1
+    for i, t in enumerate(repetitive):
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - 29):
+            if count[b[k : k + 30]] > 1:
+                gone[k : k + 30] = [True] * 30
+        runs = suffix_dedup.merged([(k, k + 1) for k in range(len(b)) if gone[k]])
+        runs = [x for x in runs if suffix_dedup.whole_words(b, *x) > 8]
+        assert rows[i].n_passages == len(runs) and rows[i].text == (None if t is None else suffix_dedup.remainder(b, runs).decode("utf-8", "ignore"))
