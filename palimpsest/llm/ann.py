@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from hierarchical, balanced k-means on a bounded sample (SAMPLE distinct vectors, MAX_LISTS centroids).
-They are searched through an in-memory graph (each centroid's nearest centroids, both ways) with a batched beam. Every
-vector goes to its nearest list, and a boundary vector also to other lists whose centroid is almost as near (at most
-REPLICAS). A query reads the LEAST_PROBES nearest lists and those within a ratio of the nearest one's distance (at most PROBES). Long lists are cut
-into blocks and many queries of one list into query blocks, so a hot list or vector spreads over tasks, whole.
+They are searched through an in-memory graph (each centroid's nearest centroids, both ways) with a batched beam; where an eighth of
+all centroids or more are wanted, by products with all. Every vector goes to its nearest list, and a boundary vector also to other lists
+whose centroid is almost as near (at most REPLICAS). A query reads the lists within a ratio of the nearest one's distance, at most so many.
+
+Both limits are set when the index is fitted: TRIALS queries are answered exactly, by brute force over all rows in blocks, and the
+ratio and the number of lists are those that find the share `recall` of their neighbours. So probing grows where the data ask for it.
+Long lists are cut into blocks and many queries of one list into query blocks, so a hot list or vector spreads over tasks, whole.
 Scores are exact cosines in double precision on the original vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .vectors import matrix, usable
 
 SAMPLE = 65_536
@@ -25,8 +29,8 @@ MAX_LISTS = 16_384
 LIST_ROWS = 160
 REPLICAS = 8
 CLOSURE = 1.15
-PROBE_RATIO = 1.15
-PROBES, LEAST_PROBES = 96, 16
+RECALL, TRIALS = 0.98, 256
+LEAST_WIDTH = 16
 DEGREE = 16
 BLOCK = 128
 QUERY_BLOCK = 1024
@@ -115,88 +119,150 @@ def beam(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, width: int) -> t
         ids[live], sims[live], done[live] = ids2[i, order], sims2[i, order], done2[i, order]
 
 
-def _chosen(vectors: np.ndarray, model, width: int, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list): the lists within `ratio` of the nearest, or of the usual distance if a centroid is nearer than that; the `least` nearest anyway."""
-    centres, graph, usual = model
+def nearest(x: np.ndarray, model, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `width` nearest centroids of unit rows, nearest first: ids, distances."""
+    centres, graph, _ = model
+    if 8 * width < len(centres):
+        return beam(x, centres, graph, width)
+    sims = x @ centres.T
+    ids = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+    return ids, np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, axis=1)))
+
+
+def _chosen(vectors: np.ndarray, model, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): of the `width` nearest lists those within `ratio` of the nearest, or of the usual distance if a centroid is nearer than that."""
+    centres, _, usual = model
     rows, lists = [], []
     x = unit(vectors).astype(np.float32)
     step = max(16, min(512, (1 << 23) // max(1, len(centres))))
     for at in range(0, len(x), step):
-        ids, far = beam(x[at : at + step], centres, graph, width)
-        r, c = np.nonzero((far <= ratio * np.maximum(far[:, :1], usual)) | (np.arange(far.shape[1]) < least))
+        ids, far = nearest(x[at : at + step], model, width)
+        r, c = np.nonzero(far <= ratio * np.maximum(far[:, :1], usual))
         rows.append(r + at)
         lists.append(ids[r, c])
     return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, np.int64),) * 2
 
 
+def limits(model, queries: np.ndarray, asker: np.ndarray, neighbours: np.ndarray, recall: float) -> tuple[int, float]:
+    """(lists, ratio) that find the share `recall` of the neighbours (vectors) of queries, each given by its place in `asker`."""
+    centres, _, usual = model
+    if not len(neighbours):
+        return LEAST_WIDTH, CLOSURE
+    row, of = _chosen(neighbours, model, REPLICAS, CLOSURE)
+    x, width = unit(queries).astype(np.float32), LEAST_WIDTH
+    most = min(1.0, recall + (1 - recall) / 4)  # each limit alone finds a little more than both together
+    while True:
+        ids, far = nearest(x, model, width)
+        place = np.full((len(x), len(centres)), len(centres), np.int32)
+        np.put_along_axis(place, ids, np.arange(ids.shape[1], dtype=np.int32)[None], axis=1)
+        rank = np.full(len(neighbours), len(centres))
+        np.minimum.at(rank, row, place[asker[row], of])
+        if (rank < len(centres)).mean() >= most or width >= len(centres):
+            break
+        width *= 2
+    rank = np.minimum(rank, ids.shape[1] - 1)
+    need = far[asker, rank] / np.maximum(far[asker, 0], usual)
+    take = lambda v: float(np.sort(v)[min(len(v) - 1, math.ceil(most * len(v)) - 1)])
+    return int(take(rank)) + 1, max(1.0, take(need)) * (1 + 1e-6)
+
+
 def _take(column: pa.Array, rows: np.ndarray) -> pa.Array:
     return column.take(pa.array(rows))
 
 
-def search(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, list_rows: int = LIST_ROWS) -> DataFrame:
+def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest values and what ties with them within rounding; -9 marks what is no candidate."""
+    kth = np.partition(near, -k, axis=1)[:, -k][:, None] if near.shape[1] > k else np.full((len(near), 1), -8.0)
+    return np.nonzero((near >= kth - 1e-9) & (near > -8))
+
+
+def search(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, list_rows: int = LIST_ROWS, recall: float = RECALL, sample_rows: int = SAMPLE, max_lists: int = MAX_LISTS) -> DataFrame:
     """(query_id, rank, id, score): for each row for which the column `is_query` holds, the k nearest other rows found.
 
     Score: cosine in double precision on the original vectors; ties go to the smaller id. Vectors that are null, zero or
-    hold null or non-finite components take no part; shorter ones are filled with zeros. Rows that repeat an id count once
-    (the largest vector). No rows: no results. Other columns are ignored. Ids are integers; null ids take no part.
+    hold null or non-finite components take no part; shorter ones are filled with zeros. Every other row is a candidate: rows that repeat an
+    id stand for themselves, also as queries, and a null id is one like any other that loses all ties. No rows: no results. Other
+    columns are ignored. Ids are integers. Bounds: sample_rows vectors are clustered on the driver into max_lists lists at most; beyond
+    max_lists * list_rows rows lists grow with the table, so a table of billions asks for larger bounds.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.where(F.col("id").isNotNull() & usable("vec") & F.exists("vec", lambda x: x != 0))
-    rows = materialise(rows.groupBy("id").agg(F.max("vec").alias("vec"), F.max("q").alias("q")), "ann-rows")
-    total, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    rows = materialise(rows.where(usable("vec") & F.exists("vec", lambda x: x != 0)).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
+    total, asked, width = rows.agg(F.count(F.lit(1)), F.sum(F.col("q").cast("long")), F.max(F.size("vec"))).first()
     width = width or 0
-    share = min(1.0, SAMPLE / max(1, total))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(SAMPLE).toArrow()
-    lists = max(1, min(MAX_LISTS, total // list_rows, SAMPLE // 4))
+    drawn = lambda some, share: some.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)) + 1)
+    sample = drawn(rows, sample_rows / max(1, total)).select("vec").limit(sample_rows).toArrow()
+    lists = max(1, min(max_lists, total // list_rows, sample_rows // 4))
     centres = fit(unit(matrix(sample["vec"], width)), lists) if total else np.zeros((0, 1), np.float32)
     graph = link(centres) if len(centres) else None
     usual = float(np.median(beam(unit(matrix(sample["vec"].slice(0, 2048), width)).astype(np.float32), centres, graph, 4)[1][:, 0])) if len(centres) else 0.0
-    model = spark.sparkContext.broadcast((centres, graph, usual))
+    model = (centres, graph, usual)
+    trial = drawn(rows.where("q"), TRIALS / max(1, asked or 0)).select("row", "vec").limit(2 * TRIALS).toArrow()
+    tried = spark.sparkContext.broadcast((np.asarray(trial["row"], np.int64), matrix(trial["vec"], width)))
     vec_type = rows.schema["vec"].dataType.simpleString()
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, lists = _chosen(matrix(b.column(1), width), model.value, REPLICAS, CLOSURE)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), _take(b.column(0), row), _take(b.column(1), row)], names=["list", "id", "vec"])
+    def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The trial queries against a batch of rows, whole."""
+        own, y = tried.value
+        for b in batches if len(own) else ():
+            x, me = unit(matrix(b.column(1), width)), b.column(0).to_numpy(zero_copy_only=False)
+            near = unit(y) @ x.T
+            near[own[:, None] == me[None]] = -9
+            q, r = np.nonzero(near > -8) if near.shape[1] <= k else (np.repeat(np.arange(len(near)), k), np.argpartition(-near, k - 1, axis=1)[:, :k].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(q), _take(b.column(1), r), pa.array(near[q, r])], names=["asker", "vec", "score"])
+
+    exact = rows.select("row", "vec").mapInArrow(truth, f"asker long, vec {vec_type}, score double").where("score > -8")
+    exact = exact.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score")))).where(F.col("r") <= k).select("asker", "vec").toArrow()
+    probes_most, ratio = limits(model, tried.value[1], np.asarray(exact["asker"], np.int64), matrix(exact["vec"], width), recall) if len(centres) else (1, 1.0)
+    shared = spark.sparkContext.broadcast(model)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, lists = _chosen(matrix(b.column(1), width), model.value, PROBES, PROBE_RATIO, LEAST_PROBES)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), _take(b.column(0), row), _take(b.column(1), row)], names=["list", "id", "vec"])
+    def spread(most: int, within: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    row, lists = _chosen(matrix(part.column(2), width), shared.value, most, within)
+                    yield pa.RecordBatch.from_arrays([pa.array(lists), *(_take(c, row) for c in part.columns)], names=["list", "row", "id", "vec"])
 
-    shape = f"list long, id long, vec {vec_type}"
-    postings = materialise(rows.select("id", "vec").mapInArrow(assign, shape), "ann-postings")
-    probes = materialise(rows.where("q").select("id", "vec").mapInArrow(probe, shape), "ann-probes")
+        return run
+
+    shape = f"list long, row long, id long, vec {vec_type}"
+    postings = materialise(rows.select("row", "id", "vec").mapInArrow(spread(REPLICAS, CLOSURE), shape), "ann-postings")
+    probes = materialise(rows.where("q").select("row", "id", "vec").mapInArrow(spread(probes_most, ratio), shape), "ann-probes")
     sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    asked = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("asked"))
-    plan = F.broadcast(sizes.join(asked, "list"))  # a row for each list: at most MAX_LISTS
+    wanted = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("asked"))
+    plan = F.broadcast(sizes.join(wanted, "list"))  # a row for each list: at most max_lists
 
     def cut(part: DataFrame, own: str, other: str) -> DataFrame:
-        return part.join(plan, "list").select("list", "id", "vec", F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        return part.join(plan, "list").select("list", "row", "id", "vec", F.pmod(F.xxhash64("row"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], [], []]
         if left.num_rows and right.num_rows:
             x, y = matrix(left["vec"], width), matrix(right["vec"], width)
-            xi, yi = left["id"].to_numpy(), right["id"].to_numpy()
+            xi, yi = left["row"].to_numpy(), right["row"].to_numpy()
+            xd, yd = (t["id"].combine_chunks() for t in (left, right))
+            order_by = xd.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
             xn, yn = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
             for at in range(0, len(y), 256):
                 near = (y[at : at + 256] / yn[at : at + 256, None]) @ (x / xn[:, None]).T
                 near[yi[at : at + 256, None] == xi[None]] = -9
-                kth = np.partition(near, -k, axis=1)[:, -k][:, None] if len(x) > k else np.full((len(near), 1), -8.0)
-                q, r = np.nonzero((near >= kth - 1e-9) & (near > -8))  # then the same sum for every pair, so that copies tie
+                q, r = _best(near, k)  # then the same sum for every pair, so that copies tie
                 s = (x[r] * y[at + q]).sum(axis=1) / (xn[r] * yn[at + q])
-                order = np.lexsort((xi[r], -s, q))
+                order = np.lexsort((order_by[r], -s, q))
                 q, r, s = q[order], r[order], s[order]
-                first = np.searchsorted(q, np.arange(len(near)))
-                keep = np.arange(len(q)) - first[q] < k
-                for a, v in zip(out, (yi[at + q[keep]], xi[r[keep]], s[keep])):
+                keep = np.arange(len(q)) - np.searchsorted(q, np.arange(len(near)))[q] < k
+                q, r = q[keep], r[keep]
+                for a, v in zip(out, (pa.array(yi[at + q]), _take(yd, at + q), pa.array(xi[r]), _take(xd, r), pa.array(s[keep]))):
                     a.append(v)
-        return pa.table({n: pa.array(np.concatenate(a) if a else [], t) for n, a, t in zip(("query_id", "id", "score"), out, (pa.int64(), pa.int64(), pa.float64()))})
+        kinds = {"asker": pa.int64(), "query_id": pa.int64(), "row": pa.int64(), "id": pa.int64(), "score": pa.float64()}
+        return pa.table({n: pa.chunked_array(a, t) for (n, t), a in zip(kinds.items(), out)})
 
     keys = ["list", "blocks", "asked"]
-    found = cut(postings, "blocks", "asked").groupBy(*keys).cogroup(cut(probes, "asked", "blocks").groupBy(*keys)).applyInArrow(score, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k * REPLICAS)  # each id at most REPLICAS times
-    return top.dropDuplicates(["query_id", "id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    found = cut(postings, "blocks", "asked").groupBy(*keys).cogroup(cut(probes, "asked", "blocks").groupBy(*keys)).applyInArrow(score, "asker long, query_id long, row long, id long, score double")
+    best = Window.partitionBy("asker").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
+    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k * REPLICAS)  # each row at most REPLICAS times
+    top = top.dropDuplicates(["asker", "row"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    out = materialise(top, "ann")
+    discard(rows, postings, probes)
+    return out
