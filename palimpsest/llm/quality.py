@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
 SAMPLE = 16_000
 BUCKETS = 1 << 14
+STRETCH = 1000
 #: Frequent short words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in is that it as for was with be by on not he his but at are this have from or had an they which one we all "
@@ -44,28 +43,48 @@ def _same(words: list[bytes]) -> float:
     return sum(a == b for a, b in zip(words, words[1:])) / len(words)
 
 
-def votes(words: list[bytes], raw: bytes) -> int:
-    """The labellers' votes as base-3 digits. A text without words has no votes but that it is empty."""
+def _again(words: list[bytes], counts: Counter) -> float:
+    """The share of words that stand earlier in the same stretch of STRETCH words, so that a long text is judged like a short one."""
     n = len(words)
+    distinct = len(counts) if n <= STRETCH else sum(len(set(words[at : at + STRETCH])) for at in range(0, n, STRETCH))
+    return 1 - distinct / n
+
+
+class Read:
+    """What votes and features both need of a text, worked out once."""
+
+    def __init__(self, text: str | None):
+        self.raw = (text or "").encode("utf-8", "surrogatepass")
+        self.words = self.raw.split()
+        n = max(1, len(self.words))
+        self.shape = self.raw.translate(SHAPES)
+        self.up, self.low = self.shape.count(b"A"), self.shape.count(b"a")
+        self.counts = Counter(self.words)
+        self.symbols, self.bangs = len(SYMBOLS.findall(self.raw)) / n, self.raw.count(b"!") / n
+        self.top = max(self.counts.values(), default=0) / n
+        self.again, self.same = (_again(self.words, self.counts), _same(self.words)) if self.words else (0.0, 0.0)
+
+
+def votes(t: Read) -> int:
+    """The labellers' votes as base-3 digits. A text without words has no votes but that it is empty."""
+    n = len(t.words)
     if not n:
         return 1
-    shape = raw.translate(SHAPES)
-    up, low = shape.count(b"A"), shape.count(b"a")
+    raw, up, low, counts = t.raw, t.up, t.low, t.counts
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    counts = Counter(words)
     stops = sum(c for w, c in counts.items() if w.lower().strip(b".,;:!?").decode("utf-8", "replace") in STOP_WORDS) / n
     repeats = Counter(lines)
     cast = [
         2,  # not empty
         _vote(up / max(1, up + low), 0.15, 0.4),
-        _vote(len(SYMBOLS.findall(raw)) / n, 0.05, 0.15),
-        _vote(raw.count(b"!") / n, 0.05, 0.15),
+        _vote(t.symbols, 0.05, 0.15),
+        _vote(t.bangs, 0.05, 0.15),
         _vote(-stops, -0.08, -0.02) if n >= 20 else 0,
-        _vote(counts.most_common(1)[0][1] / n, 0.15, 0.25) if n >= 20 else 0,
-        _vote(1 - len(counts) / n, 0.5, 0.7) if n <= 2000 else 0,
+        _vote(t.top, 0.15, 0.25) if n >= 20 else 0,
+        _vote(t.again, 0.5, 0.7),
         _vote(1 - len(repeats) / len(lines), 0.1, 0.4) if len(lines) >= 5 else 0,
         _vote(abs(len(raw) / n - 6.5), 3.0, 8.0) if n >= 20 else 0,
-        _vote(_same(words), 0.04, 0.12) if n >= 8 else 0,
+        _vote(t.same, 0.04, 0.12) if n >= 8 else 0,
     ]
     return sum(v * 3**i for i, v in enumerate(cast))
 
@@ -73,30 +92,22 @@ def votes(words: list[bytes], raw: bytes) -> int:
 LABELLERS = 10
 
 
-def features(words: list[bytes], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def features(t: Read) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: each word shape's share of the words, and buckets of repetition."""
-    n = len(words)
+    n = len(t.words)
     if not n:
         return np.array([zlib.crc32(b"empty") % BUCKETS], np.int64), np.ones(1)
-    shape = raw.translate(SHAPES)
-    shapes = Counter(RUNS.sub(lambda m: m[0][:2], shape).split())
+    shapes = Counter(RUNS.sub(lambda m: m[0][:2], t.shape).split())
     out = Counter()
     for w, c in shapes.items():
         out[zlib.crc32(b"shape " + w[:24]) % BUCKETS] += c / n
-    up, low = shape.count(b"A"), shape.count(b"a")
-    counts = Counter(words)
-    rates = {"same": _same(words) * 4, "up": up / max(1, up + low), "symbol": len(SYMBOLS.findall(raw)) / n, "bang": raw.count(b"!") / n, "top": counts.most_common(1)[0][1] / n if n >= 20 else 0, "again": 1 - len(counts) / n if n >= 20 else 0}
+    rates = {"same": t.same * 4, "up": t.up / max(1, t.up + t.low), "symbol": t.symbols, "bang": t.bangs, "top": t.top if n >= 20 else 0, "again": t.again if n >= 20 else 0}
     for name, rate in rates.items():
         out[zlib.crc32(f"{name} {min(9, int(rate * 10))}".encode()) % BUCKETS] += 1
     out[zlib.crc32(b"one") % BUCKETS] += 1
     return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
 
 
-def _words(text: str | None) -> tuple[list[bytes], bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return raw.split(), raw
-
-
 def posteriors(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     """P(good) of each vote pattern, by expectation-maximisation. Starts from the majority; labellers start better than chance."""
     codes = sorted(counts)
@@ -143,54 +154,80 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip((self.weight[index] * value).sum(), -50, 50))))
 
 
-def label(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, pattern): the labellers' votes on every whole text."""
+def _numbers(index: np.ndarray, value: np.ndarray) -> tuple[bytes, bytes]:
+    return index.astype(np.int16).tobytes(), value.astype(np.float32).tobytes()
+
+
+def _read_numbers(index: bytes, value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(index, np.int16).astype(np.int64), np.frombuffer(value, np.float32).astype(np.float64)
+
+
+def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_features: bool = True) -> DataFrame:
+    """(id_col, pattern, index, value): the labellers' votes on every whole text, and its hashed features as packed numbers."""
     kept = df.select(id_col, F.col(text_col).cast("string"))
+    names = [id_col, "pattern"] + ["index", "value"] * with_features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(*_words(t.as_py())) for t in b.column(1)], pa.int32())], names=[id_col, "pattern"])
+            patterns, found = [], ([], [])
+            for t in b.column(1):
+                r = Read(t.as_py())
+                patterns.append(votes(r))
+                for cells, cell in zip(found, _numbers(*features(r)) if with_features else ()):
+                    cells.append(cell)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(patterns, pa.int32()), *(pa.array(c, pa.binary()) for c in found if with_features)], names=names)
 
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, pattern int")
+    more = ", index binary, value binary" if with_features else ""
+    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, pattern int{more}")
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[int, float], Scorer]:
-    """The patterns' posteriors over all rows, and the scorer learnt from about `sample` rows, drawn by a hash of the id."""
-    counts = {r["pattern"]: r["count"] for r in label(df, id_col, text_col).groupBy("pattern").count().collect()}  # at most 3^10 rows
-    known = posteriors(counts)
-    share = min(1.0, sample / max(1, sum(counts.values())))
-    drawn = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) <= int(share * (1 << 30))).select(F.col(text_col).cast("string"))
+def _drawn(df: DataFrame, id_col: str, sample: int, total: int) -> DataFrame:
+    """About `sample` rows, drawn by a hash of the id."""
+    return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) <= int(min(1.0, sample / max(1, total)) * (1 << 30))).limit(2 * sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(votes(*w), *features(*w)) for w in (_words(t.as_py()) for t in b.column(0))]
-            cols = [pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["pattern", "index", "value"])
 
-    told = drawn.mapInArrow(run, "pattern int, index array<long>, value array<double>").limit(2 * sample).toArrow().to_pydict()
-    rows = [(np.array(i, np.int64), np.array(v)) for i, v in zip(told["index"], told["value"])]
+def _counts(described: DataFrame) -> dict[int, int]:
+    return {r["pattern"]: r["count"] for r in described.groupBy("pattern").count().collect()}  # at most 3^10 rows
+
+
+def _learnt(counts: dict[int, int], described: DataFrame) -> tuple[dict[int, float], Scorer]:
+    known, told = posteriors(counts), described.select("pattern", "index", "value").toArrow().to_pydict()
+    rows = [_read_numbers(*x) for x in zip(told["index"], told["value"])]
     return known, Scorer(rows, np.array([known.get(p, 0.5) for p in told["pattern"]]))
 
 
-def classify(df: DataFrame, model: tuple[dict[int, float], Scorer], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id_col, posterior, score, keep) for every row: P(good) of its votes, the scorer's P(good), and score >= threshold.
+def learn(described: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[dict[int, float], Scorer]:
+    """The patterns' posteriors over all rows of a written describe(), and the scorer learnt from about `sample` of them."""
+    counts = _counts(described)
+    return _learnt(counts, _drawn(described, id_col, sample, sum(counts.values())))
 
-    Null and empty texts are rated as empty (never kept); repeated rows get the same answer; other columns are ignored.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.select(id_col, F.col(text_col).cast("string"))
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[int, float], Scorer]:
+    """The same from texts, where features of the sample alone are wanted."""
+    counts = _counts(describe(df, id_col, text_col, False))
+    return _learnt(counts, describe(_drawn(df, id_col, sample, sum(counts.values())), id_col, text_col))
+
+
+def rate(described: DataFrame, model: tuple[dict[int, float], Scorer], id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """(id_col, posterior, score, keep) for every row of describe(): P(good) of its votes, the scorer's P(good), and score >= threshold. Texts without words have 0."""
+    shared = described.sparkSession.sparkContext.broadcast(model)
+    rows = described.select(id_col, "pattern", "index", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, scorer = shared.value
         for b in batches:
-            post, score = np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for i, t in enumerate(b.column(1)):
-                words, raw = _words(t.as_py())
-                if words:
-                    post[i], score[i] = known.get(votes(words, raw), 0.5), scorer.score(*features(words, raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(post), pa.array(score), pa.array((score >= threshold) & (score > 0))], names=[id_col, "posterior", "score", "keep"])
+            pattern = b.column(1).to_numpy(zero_copy_only=False)
+            there = pattern != 1
+            post = np.array([known.get(int(p), 0.5) for p in pattern]) * there
+            score = np.array([scorer.score(*_read_numbers(i.as_py(), v.as_py())) for i, v in zip(b.column(2), b.column(3))]) * there
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(there & (score >= threshold), pa.bool_())], names=[id_col, "posterior", "score", "keep"])
 
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, posterior double, score double, keep boolean")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, posterior double, score double, keep boolean")
+
+
+def classify(df: DataFrame, model: tuple[dict[int, float], Scorer], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """rate() of texts. Null and empty texts are rated as empty (never kept); repeated rows get the same answer; other columns are ignored."""
+    return rate(describe(df, id_col, text_col), model, id_col, threshold)
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -200,7 +237,7 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = (_words(t.as_py()) for t in b.column(at))
-            yield b.filter(pa.array([bool(w) and shared.value.score(*features(w, raw)) >= threshold for w, raw in texts], pa.bool_()))
+            texts = (Read(t.as_py()) for t in b.column(at))
+            yield b.filter(pa.array([bool(t.words) and shared.value.score(*features(t)) >= threshold for t in texts], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
