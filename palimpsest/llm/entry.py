@@ -78,7 +78,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-#: The contract's rules, and the host words by which URLs are labelled for training.
+#: The contract's rules, and weak labels, since `pages` has none: host words by which URLs are labelled for training.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 BAD_HOST_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
 

@@ -1,13 +1,15 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for the URLs that no rule fits.
 
 The trees are grown in numpy on histograms of a bounded sample of labelled URLs (PER_LABEL of each label). Features are
-lengths, depth, digit ratio, entropy, parameter counts and suffix statistics: the smoothed block rate of the URL's top
-level, of its last two host labels and of its host, learnt out of fold so that a rare suffix does not tell its own label.
+lengths, depth, digit ratio, entropy, parameter counts and suffix statistics: the smoothed block rate of the host's last
+label and of its last two, learnt out of fold. A fold holds whole hosts and a host has no rate of its own, so nothing tells a
+training row's label but how such URLs look: the trees judge hosts that they have not seen, which a list of hosts or words can't.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -20,6 +22,7 @@ from .sample import by_label
 
 PER_LABEL = 10_000
 TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.3
+FEATURE_SHARE = 0.7
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 MAX_RULES = 1_000_000
 
@@ -55,10 +58,9 @@ class Rules:
         return (best[1], best[2]) if best else (None, None)
 
 
-def suffixes(url: str | None) -> tuple[str, str, str]:
-    host = split(url)[0]
-    parts = host.split(".")
-    return parts[-1], ".".join(parts[-2:]), host
+def suffixes(url: str | None) -> tuple[str, str]:
+    parts = split(url)[0].split(".")
+    return parts[-1], ".".join(parts[-2:])
 
 
 def lexical(url: str | None) -> list[float]:
@@ -86,11 +88,14 @@ class Trees:
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
 
-    def train(self, x: np.ndarray, y: np.ndarray) -> "Trees":
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)  # both labels weigh the same
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, share: float = 1.0) -> "Trees":
+        """share: how many of the features each tree may cut at, drawn anew for each."""
+        weight = np.ones(len(y)) if weight is None else weight
+        weight = weight * np.where(y == 1, 0.5 / max(1e-9, weight[y == 1].sum()), 0.5 / max(1e-9, weight[y == 0].sum())) * len(y)  # both labels weigh the same
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        b, score = self.bins(x), np.zeros(len(y))
+        b, score, rng = self.bins(x), np.zeros(len(y)), np.random.default_rng(3)
         for _ in range(TREES):
+            open_to = np.sort(rng.permutation(b.shape[1])[: max(1, round(share * b.shape[1]))])
             p = 1 / (1 + np.exp(-score))
             g, h = weight * (y - p), weight * p * (1 - p)
             node, plan = np.zeros(len(y), np.int64), []
@@ -98,7 +103,7 @@ class Trees:
                 width = 1 << level
                 feature, cut = np.zeros(width, np.int64), np.full(width, BINS)
                 best = np.full(width, 1e-9)
-                for j in range(b.shape[1]):
+                for j in open_to:
                     cell = node * (BINS + 1) + b[:, j]
                     gs, hs = (np.bincount(cell, v, width * (BINS + 1)).reshape(width, -1).cumsum(1) for v in (g, h))
                     gt, ht = gs[:, -1:], hs[:, -1:]
@@ -135,16 +140,17 @@ class UrlModel:
         if len(set(blocked)) < 2:
             return
         keys = [suffixes(u) for u in urls]
-        fold = np.arange(len(y)) % 2
+        fold = np.array([zlib.crc32(split(u)[0].encode("utf-8", "surrogatepass")) % 2 for u in urls])
         x = np.array([lexical(u) for u in urls], np.float64)
-        told = np.zeros((len(y), 3))
+        told = np.zeros((len(y), 2))
         for f in (0, 1):
             rates = self._rates([k for k, g in zip(keys, fold) if g != f], y[fold != f])
-            told[fold == f] = [[rates.get((i, s), self.prior) for i, s in enumerate(k)] for k, g in zip(keys, fold) if g == f]
+            told[fold == f] = np.array([[rates.get((i, s), self.prior) for i, s in enumerate(k)] for k, g in zip(keys, fold) if g == f]).reshape(-1, 2)
         self.rates = self._rates(keys, y)
-        self.trees = Trees().train(np.concatenate([x, told], axis=1), y)
+        rows = Counter(split(u)[0] for u in urls)  # a large host weighs more than a small one, but not by all its rows
+        self.trees = Trees().train(np.concatenate([x, told], axis=1), y, np.array([rows[split(u)[0]] ** -0.5 for u in urls]), FEATURE_SHARE)
 
-    def _rates(self, keys: list[tuple[str, str, str]], y: np.ndarray) -> dict[tuple[int, str], float]:
+    def _rates(self, keys: list[tuple[str, str]], y: np.ndarray) -> dict[tuple[int, str], float]:
         total, bad = Counter(), Counter()
         for k, v in zip(keys, y):
             for at in enumerate(k):

@@ -436,6 +436,33 @@ def test_language_query(spark):
     assert all(0 <= g.score <= 1 for g in got.values())
 
 
+def test_language_is_brute_force(spark, sf):
+    """The query against each window's filters, maxima and softmax worked out one by one, with the model that it learns."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    df = spark.createDataFrame([tuple(r) for r in rows if not held[r.doc_id]], "doc_id long, text string, lang string")
+    net = langid.fit(df, "doc_id", "text", "lang")
+    got = {r.doc_id: r for r in entry.queries()["op5_langid"](spark, sf).collect()}
+    wide = max(langid.WIDTHS)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:60]:
+        g, raw = got[r.doc_id], (r.text or "").encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        total, weight, at = np.zeros(len(net.labels)), 0, 0
+        while True:
+            piece = raw[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            top = [max(0.0, max(float(sum(net.embed[piece[i + j]] @ net.conv[j * langid.DIM : (j + 1) * langid.DIM, f] for j in range(wide))) for i in range(langid.STRIDE)) + net.bias[f]) for f in range(len(net.bias))] if at < 2 * langid.STRIDE else np.maximum((net.pooled(np.frombuffer(piece, np.uint8)[None])[1]).max(axis=1)[0] + net.bias, 0)
+            z = np.array(top) @ net.out + net.last
+            z = np.exp(z - z.max())
+            last = at + langid.WINDOW >= len(raw)
+            new = max(1, len(raw) - at) if last else langid.STRIDE
+            total, weight, at = total + new * z / z.sum(), weight + new, at + langid.STRIDE
+            if last:
+                break
+        assert g.held_out == held[r.doc_id] and g.lang_pred == net.labels[int(total.argmax())] and abs(g.score - total.max() / weight) < 1e-3
+
+
 def test_language_odd_rows(spark):
     texts = ["the ship and the harbour of the wind"] * 20 + ["das schiff und der hafen für den wind"] * 20
     df = docs(spark, texts, lang=["en"] * 20 + ["de"] * 20)
@@ -541,6 +568,47 @@ def test_url_odd_rows(spark):
     assert urls.fit(spark.createDataFrame([], "url string, bad int"), "url", "bad").probability(["http://x/"]).tolist() == [0.0]
 
 
+def test_urls_of_hosts_never_seen():
+    """Trained without a third of the hosts, the trees tell those hosts' URLs apart by their looks; a list of the hosts seen would tell none."""
+    import pyarrow.parquet as pq
+
+    rows = [u for u in pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url"])["url"].to_pylist() if u]
+    hosts = [urls.split(u)[0] for u in rows]
+    bad = np.array([any(w in h.replace("-", ".").split(".") for w in BAD_HOST_WORDS) for h in hosts])
+    found = []
+    for salt in range(4):
+        seen = np.array([zlib.crc32(f"{salt}{h}".encode()) % 3 != 0 for h in hosts])
+        if bad[seen].any() and bad[~seen].any():
+            model = urls.UrlModel([u for u, s in zip(rows, seen) if s], bad[seen].astype(int).tolist())
+            got = model.probability([u for u, s in zip(rows, seen) if not s]) >= 0.5
+            found.append((got[bad[~seen]].mean(), (~got[~bad[~seen]]).mean()))
+    blocked, allowed = np.mean(found, axis=0)
+    assert len(found) > 1 and blocked > 0.85 and allowed > 0.98
+
+
+def test_trees_are_the_plain_ones():
+    """The first tree's root is the best split of all, and a row's score is the sum of the leaves that it falls to."""
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.integers(0, 6, 300), rng.integers(0, 9, 300), rng.integers(0, 3, 300)], axis=1).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(300) < 0.1)).astype(int)
+    t = urls.Trees().train(x, y)
+    w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * 300
+    g, h = w * (y - 0.5), w * 0.25
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+    best = max(((gain(x[:, j] < e), j) for j in range(3) for e in t.edges[j]))
+    feature, cut = t.trees[0][0][0]
+    assert feature[0] == best[1] and abs(gain(x[:, feature[0]] < t.edges[feature[0]][cut[0]]) - best[0]) < 1e-9
+    for row, p in zip(x, t.probability(x)):
+        z = 0.0
+        for plan, leaf in t.trees:
+            node = 0
+            for feature, cut in plan:
+                j = feature[node]
+                node = 2 * node + int(sum(row[j] >= e for e in t.edges[j]) > cut[node])
+            z += leaf[node]
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 # 9: quality
 
 
@@ -552,6 +620,37 @@ def test_quality_query(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
 
 
+def test_quality_is_brute_force(spark, sf):
+    """The query against patterns, expectation-maximisation and scores worked out one by one."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    read = {r.doc_id: quality.Read(r.text) for r in rows}
+    pattern = {i: quality.votes(t) for i, t in read.items()}
+    digits = lambda c: [c // 3**j % 3 for j in range(quality.LABELLERS)]
+    p = {c: 0.9 if digits(c).count(2) > 4 * digits(c).count(1) else 0.1 for c in set(pattern.values())}
+    for _ in range(100):
+        good = min(0.98, max(0.02, sum(p[c] for c in pattern.values()) / len(pattern)))
+        told = [[[0.5, 0.5] for _ in range(quality.LABELLERS)] for _ in range(2)]
+        for c in pattern.values():
+            for j, v in enumerate(digits(c)):
+                if v:
+                    told[1][j][v - 1] += p[c]
+                    told[0][j][v - 1] += 1 - p[c]
+        odds = {c: math.log(good / (1 - good)) + sum(math.log(told[1][j][v - 1] / sum(told[1][j])) - math.log(told[0][j][v - 1] / sum(told[0][j])) for j, v in enumerate(digits(c)) if v) for c in p}
+        new = {c: 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) for c, z in odds.items()}
+        done = max(abs(new[c] - p[c]) for c in p) < 1e-6
+        if done:
+            break
+        p = new
+    kept = [quality._read_numbers(*quality._numbers(*quality.features(read[r.doc_id]))) for r in rows]
+    scorer = quality.Scorer(kept, np.array([p[pattern[r.doc_id]] for r in rows]))
+    got = {r.doc_id: r for r in entry.queries()["op9_quality"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r, (index, value) in zip(rows, kept):
+        g, there = got[r.doc_id], bool(read[r.doc_id].words)
+        score = 1 / (1 + math.exp(-sum(scorer.weight[i] * v for i, v in zip(index, value)))) if there else 0.0
+        assert abs(g.posterior - p[pattern[r.doc_id]] * there) < 1e-3 and abs(g.score - score) < 1e-3 and g.keep == (g.score >= 0.5)
+
+
 def test_quality_odd_rows(spark, prose):
     texts = [prose(60) for _ in range(80)] + ["BUY!! NOW!! CHEAP!! " * 20] * 10 + ["$$$ %%% &&& ### " * 20] * 10 + [None, "", "  \n"]
     df = docs(spark, texts)
