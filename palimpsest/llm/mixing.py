@@ -41,7 +41,7 @@ def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, floa
     """(source, bytes, rate, parts, cdf) for each source, null included; cdf is that of one of the rate's equal parts.
 
     Target weights are given (sources left out have 0) or the source's bytes to the power alpha. A source without bytes has
-    rate 0 if its weight is 0, otherwise `epochs`. A rate above MAX_RATE is an error where weights are given: such a target asks for that many copies of each document.
+    rate 0 if its weight is 0, otherwise `epochs`. No rate is too large: a target that asks for very many copies of each document gets them.
     """
     sizes = df.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0))).cast("double").alias("bytes"))
     if weights is None:
@@ -52,8 +52,6 @@ def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, floa
     sizes = materialise(sizes.withColumn("weight", weight), "mix-sizes")
     total, weigh = sizes.agg(F.sum("bytes"), F.sum("weight")).first()
     rate = F.when(F.col("bytes") > 0, F.lit(epochs * float(total or 0)) * F.col("weight") / F.lit(float(weigh or 1) or 1.0) / F.col("bytes")).when(F.col("weight") > 0, F.lit(epochs)).otherwise(0.0)
-    if weights is not None:
-        rate = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.lit(f"a source's repetition rate is above {MAX_RATE}")).cast("double"))
     parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     return materialise(sizes.withColumn("rate", rate).withColumn("parts", parts).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts"))), "mix-rates")
 

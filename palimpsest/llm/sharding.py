@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 BITS = 60
 ROUND = 4
@@ -36,8 +36,8 @@ def _directory(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return found.groupBy("outer", "c").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows", "fits")).alias("s")).select("outer", "c", "s.*")
 
 
-def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, depth, prefix, shard_bytes, shard_rows) for every row; (depth, prefix) names its shard.
+def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id_col, n_bytes, depth, prefix, shard_bytes, shard_rows) for every row; (depth, prefix) names its shard. With row_col that column too, which tells rows apart.
 
     n_bytes: the text's UTF-8 bytes, null as 0. Depths above 60 count bits of the row number's hash; `prefix` then holds
     both parts, joined by a dot, otherwise the hash's first bits as a number. Repeated rows and rows whose id is null (one key)
@@ -46,31 +46,33 @@ def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "t
     if limit < 1:
         raise ValueError("limit must be positive")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    slim = materialise(df.select(F.col(id_col).alias("id"), size.alias("bytes"), hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("h")), "shard-rows")
+    slim = materialise(df.select(F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"), size.alias("bytes"), hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("h")), "shard-rows")
     total = slim.agg(F.sum("bytes")).first()[0] or 0
     low, high, out = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 3), []
     open_rows, word = slim.withColumn("outer", F.lit("")), 0
     while True:
         found = materialise(_directory(open_rows, low, high, limit), "shard-directory")
         placed = open_rows.withColumn("cell", F.expr(f"shiftright(h, {BITS - high})")).join(found.withColumnRenamed("outer", "o"), (F.col("cell") == F.col("c")) & (F.col("outer") == F.col("o")))
-        out.append(placed.where("fits").select("id", "bytes", (F.col("depth") + word * BITS).alias("depth"), F.concat("outer", F.col("prefix").cast("string")).alias("prefix"), "shard_bytes", "shard_rows"))
+        out.append(placed.where("fits").select("id", "row", "bytes", (F.col("depth") + word * BITS).alias("depth"), F.concat("outer", F.col("prefix").cast("string")).alias("prefix"), "shard_bytes", "shard_rows"))
         if found.where("not fits").isEmpty():
             break
         rest = placed.where("not fits")
         if high == BITS:
-            rest = rest.select("id", "bytes", hash_bits(F.monotonically_increasing_id().cast("string")).alias("h"), F.concat("outer", F.col("prefix").cast("string"), F.lit(".")).alias("outer"))
+            rest = rest.select("id", "row", "bytes", hash_bits(F.monotonically_increasing_id().cast("string")).alias("h"), F.concat("outer", F.col("prefix").cast("string"), F.lit(".")).alias("outer"))
             low, high, word = 1, ROUND, word + 1
         else:
-            rest = rest.select("id", "bytes", "h", "outer")
+            rest = rest.select("id", "row", "bytes", "h", "outer")
             low, high = high + 1, min(BITS, high + ROUND)
         open_rows = materialise(rest, "shard-open")
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
-    return result.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "prefix", "shard_bytes", "shard_rows")
+    return result.select(F.col("id").alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "prefix", "shard_bytes", "shard_rows")
 
 
 def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write df as Parquet with a folder for each shard; a column shard is replaced. Ids must be there and distinct."""
-    names = shards(df, limit, id_col, text_col).select(F.col(id_col).alias("__shard_id"), F.concat_ws("-", "depth", "prefix").alias("shard"))
-    df.drop("shard").join(names, F.col(id_col) == F.col("__shard_id")).drop("__shard_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write every row of df as Parquet with a folder for each shard, rows with null and repeated ids too; a column shard is replaced."""
+    rows = materialise(df.drop("shard").withColumn("__row", F.monotonically_increasing_id()), "shard-texts")
+    names = shards(rows, limit, id_col, text_col, "__row").select(F.col("__row").alias("__named"), F.concat_ws("-", "depth", "prefix").alias("shard"))
+    rows.join(names, F.col("__row") == F.col("__named")).drop("__row", "__named").repartition("shard").write.partitionBy("shard").parquet(path)
+    discard(rows)
