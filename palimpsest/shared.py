@@ -42,3 +42,10 @@ def discard(*tables: DataFrame) -> None:
         spark = t.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def prefix(df: DataFrame, base: str) -> str:
+    """`base`, longer by underscores until no column of df begins with it, in any case: names made of it clash with none."""
+    while any(c.lower().startswith(base.lower()) for c in df.columns):
+        base += "_"
+    return base
