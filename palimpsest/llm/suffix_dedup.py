@@ -10,15 +10,16 @@ a whole segment repeats, so do its windows. 3. Segments that share a gram but di
 kind. A shard's text is suffix-sorted in numpy; its Burrows-Wheeler transform is reduced to runs; common prefix lengths are
 computed at run ends only (the sampled run ends) and streamed through the text in order, since away from run ends a
 position's length is that of the position before, less one. These matching statistics mark the windows that stand elsewhere too.
-4. Grams with more than `hot` different segments skip the index: their windows are hashed and counted with partial sums.
+4. Grams whose different segments hold more than `hot` bytes skip the index: their windows are hashed and counted with partial sums.
 
 Texts are told apart by 128 bits of hashes, and equal texts are found by them; so ids may be null or repeat.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, prefix
 
-LENGTH, GRAM = 400, 300
-PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 150, 50
-BLOCK = 1 << 19
-HOT = 192
+LENGTH, GRAM = 400, 200
+PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 100, 50
+BLOCK = 1 << 16
+HOT_BYTES = 1 << 20
 SHARD_BYTES = 1 << 19
 BROADCAST_GRAMS = 4_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -53,36 +54,61 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least value of every `width` neighbours, from running minima of blocks in both directions."""
-    whole = np.full(-(-len(x) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    whole[: len(x)] = x
-    whole = whole.reshape(-1, width)
-    ahead = np.minimum.accumulate(whole, axis=1).ravel()
-    behind = np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(x) - width + 1
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    """The least value of every `width` neighbours, by doubling."""
+    reach = 1
+    while 2 * reach <= width:
+        x = np.minimum(x[:-reach], x[reach:])
+        reach *= 2
+    more = width - reach
+    return np.minimum(x[: len(x) - more], x[more:]) if more else x
+
+
+def pieces(texts: Iterable[tuple[bytes, list | None]], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of (text's place, offset, bytes) of about BLOCK bytes: whole texts (spans None), or the stretches that ranges cover, cut where they are longer than BLOCK."""
+    held, size = [], 0
+    for i, (text, spans) in enumerate(texts):
+        for a, z in [(0, len(text))] if spans is None else _spans(spans):
+            for base in range(a, z - length + 1, BLOCK):
+                part = text[base : min(z, base + BLOCK + length - 1)]
+                if held and size + len(part) > BLOCK:
+                    yield held
+                    held, size = [], 0
+                held.append((i, base, part))
+                size += len(part)
+    if held:
+        yield held
+
+
+def cut(group: list[tuple[int, int, bytes]], length: int, gram: int, salt: int = 0) -> tuple[np.ndarray, ...]:
+    """Of a group's segments: the text's place, gram hash, content hash, start, bytes. All of a group is cut at once."""
+    width = length - gram + 1
+    up, down = _powers(BLOCK + 2 * length + 2)
+    sizes = np.array([len(p) for _, _, p in group])
+    begins = np.cumsum(np.r_[0, sizes[:-1]])
+    a = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
+    prefix = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(salt + 1)) * up[: len(a)], out=prefix[1:])
+    grams = _mix((prefix[gram:] - prefix[:-gram]) * down[: len(a) - gram + 1])
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = (_least((grams & ~np.uint64(0xFFFFF)) | place, width) & np.uint64(0xFFFFF)).astype(np.int64)
+    inside = np.zeros(len(least) + 1, np.int8)  # windows that lie in one piece
+    inside[begins] = 1
+    inside[begins + sizes - length + 1] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    new = np.flatnonzero(np.r_[True, (least[at[1:]] != least[at[:-1]]) | (at[1:] != at[:-1] + 1)])
+    first = at[new]
+    n = np.diff(np.r_[new, len(at)]) + length - 1
+    whole = (prefix[first + n] - prefix[first]) * down[first]
+    content = _mix(_mix(whole) + n.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+    mine = np.searchsorted(begins, first, side="right") - 1
+    numbers, bases = np.array([i for i, _, _ in group]), np.array([base for _, base, _ in group])
+    return numbers[mine], grams[least[first]], content, first - begins[mine] + bases[mine], n
 
 
 def segments(text: bytes, length: int, gram: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a text's segments: gram hash, content hash, start, bytes."""
-    parts = []
-    width = length - gram + 1
-    up, down = _powers(BLOCK + 2 * length + 2)
-    for base in range(0, len(text) - length + 1, BLOCK):
-        a = np.frombuffer(text[base : base + BLOCK + length - 1], np.uint8)
-        prefix = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum((a.astype(np.uint64) + np.uint64(salt + 1)) * up[: len(a)], out=prefix[1:])
-        grams = _mix((prefix[gram:] - prefix[:-gram]) * down[: len(a) - gram + 1])
-        place = np.arange(len(grams), dtype=np.uint64)
-        least = _least((grams & ~np.uint64(0xFFFFF)) | place, width) & np.uint64(0xFFFFF)
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        n = np.diff(np.r_[first, len(least)]) + length - 1
-        whole = (prefix[first + n] - prefix[first]) * down[first]
-        content = _mix(_mix(whole) + n.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-        parts.append((grams[least[first].astype(np.int64)], content, first + base, n))
-    if not parts:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    parts = [cut(g, length, gram, salt)[1:] for g in pieces([(text, None)], length)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
 
 
 def suffix_ranks(text: np.ndarray, depth: int | None = None) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
@@ -192,17 +218,6 @@ def _long(x) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False)
 
 
-def stretches(text: bytes, spans, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """segments() of the whole text (spans None), or of the stretches that ranges cover."""
-    if spans is None:
-        return segments(text, length, gram)
-    parts = []
-    for a, z in _spans(spans):
-        h, s, lo, n = segments(text[a:z], length, gram)
-        parts.append((h, s, lo + a, n))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else segments(b"", length, gram)
-
-
 class _Finder:
     """within: (c1, c2, spans) of shorter repeats of the same texts; a longer one lies in one of their stretches, so no more is read."""
 
@@ -228,19 +243,9 @@ class _Finder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                held, size = [], 0
-                for t, v in zip(b.column(0), b.column(1)):
-                    h, s, _, _ = stretches(t.as_py(), v.as_py(), length, gram)
-                    held.append((h, s))
-                    size += len(h)
-                    if size > 200_000:
-                        yield pack(held)
-                        held, size = [], 0
-                if held:
-                    yield pack(held)
-
-        def pack(held) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*held)], names=["h", "s"])
+                for group in pieces(((t.as_py(), v.as_py()) for t, v in zip(b.column(0), b.column(1))), length):
+                    _, h, s, _, _ = cut(group, length, gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64))], names=["h", "s"])
 
         rows = self.texts.select("raw", "spans").mapInArrow(run, "h long, s long")
         grams = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("z")).where("n > 1")
@@ -271,8 +276,7 @@ class _Finder:
             cols: list[list] = [[] for _ in range(8)]
 
             def put(h, s, c1, c2, lo, n, cnt, parts) -> None:
-                k = len(h)
-                for c, v in zip(cols, (h.view(np.int64), s.view(np.int64), np.full(k, c1), np.full(k, c2), lo, n, cnt)):
+                for c, v in zip(cols, (h.view(np.int64), s.view(np.int64), c1, c2, lo, n, cnt)):
                     c.append(v)
                 cols[7].extend(parts)
 
@@ -284,42 +288,42 @@ class _Finder:
                 return pa.RecordBatch.from_arrays(arrays, names=["h", "s", "c1", "c2", "lo", "n", "cnt", "part"])
 
             for b in batches:
-                c1s, c2s = _long(b.column(1)).tolist(), _long(b.column(2)).tolist()
-                for t, c1, c2, v in zip(b.column(0), c1s, c2s, b.column(3)):
-                    text = t.as_py()
-                    h, s, lo, n = stretches(text, v.as_py(), length, gram)
+                c1, c2 = _long(b.column(1)), _long(b.column(2))
+                for group in pieces(((t.as_py(), v.as_py()) for t, v in zip(b.column(0), b.column(3))), length):
+                    no, h, s, lo, n = cut(group, length, gram)
                     mixed = np.zeros(len(h), bool)
                     if known is not None:
                         grams, mix = known.value
                         at = np.minimum(np.searchsorted(grams, h.view(np.int64)), max(0, len(grams) - 1))
                         keep = grams[at] == h.view(np.int64) if len(grams) else np.zeros(len(h), bool)
-                        h, s, lo, n, mixed = h[keep], s[keep], lo[keep], n[keep], (mix[at] if len(grams) else mixed)[keep]
+                        no, h, s, lo, n, mixed = no[keep], h[keep], s[keep], lo[keep], n[keep], (mix[at] if len(grams) else mixed)[keep]
                     if not len(h):
                         continue
-                    order = np.lexsort((lo, s, h))
-                    h, s, lo, n, mixed = h[order], s[order], lo[order], n[order], mixed[order]
-                    new = np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])]
-                    first = np.flatnonzero(new)
+                    order = np.lexsort((lo, s, h, no))
+                    no, h, s, lo, n, mixed = no[order], h[order], s[order], lo[order], n[order], mixed[order]
+                    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (no[1:] != no[:-1])])
                     cnt = np.diff(np.r_[first, len(h)])
                     parts = [None] * len(first)
-                    if with_parts:
+                    if with_parts and mixed.any():
+                        of = [(i, base) for i, base, _ in group]
                         for i in np.flatnonzero(mixed[first]):
                             j = first[i]
                             if (key := (int(h[j]), int(s[j]))) not in seen:
                                 if len(seen) > 200_000:
                                     seen.clear()
                                 seen.add(key)
-                                parts[i] = text[lo[j] : lo[j] + n[j]]
-                    put(h[first], s[first], c1, c2, lo[first], n[first], cnt, parts)
+                                _, base, part = group[bisect.bisect_right(of, (int(no[j]), int(lo[j]))) - 1]
+                                parts[i] = part[lo[j] - base : lo[j] - base + n[j]]
+                    put(h[first], s[first], c1[no[first]], c2[no[first]], lo[first], n[first], cnt, parts)
                     if (cnt > 1).any():  # segments that repeat within the text: their union is known now
                         again = np.repeat(cnt > 1, cnt)
-                        a, z = lo[again], (lo + n)[again]
+                        a, z = lo[again] + (no[again] << 33), (lo + n)[again] + (no[again] << 33)
                         order = np.argsort(a)
                         a, z = a[order], np.maximum.accumulate(z[order])
-                        cut = np.flatnonzero(np.r_[True, a[1:] > z[:-1]])
-                        ends = z[np.r_[cut[1:] - 1, len(z) - 1]]
-                        zero = np.zeros(len(cut), np.uint64)
-                        put(zero, zero, c1, c2, a[cut], ends - a[cut], np.zeros(len(cut), np.int64), [None] * len(cut))
+                        start = np.flatnonzero(np.r_[True, a[1:] > z[:-1]])
+                        ends, a = z[np.r_[start[1:] - 1, len(z) - 1]], a[start]
+                        zero, mine = np.zeros(len(a), np.uint64), a >> 33
+                        put(zero, zero, c1[mine], c2[mine], a & ((1 << 33) - 1), ends - a, np.zeros(len(a), np.int64), [None] * len(a))
                     if len(cols[7]) > 20_000:
                         yield flush()
             if cols[7]:
@@ -333,7 +337,7 @@ class _Finder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[int, int, bytes]] = []
-            size = begin = 0  # bytes held; where the last gram's segments begin
+            size = begin = before = 0  # bytes held; where the last gram's segments begin, and the bytes before it
 
             def emit(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
                 out = [(h, s, a, z) for (h, s, _), found in zip(rows, index_matches([p for _, _, p in rows], length)) for a, z in found]
@@ -345,11 +349,12 @@ class _Finder:
                     if held and held[-1][:2] == (h, s):
                         continue
                     if held and held[-1][0] != h:
-                        if size >= SHARD_BYTES:
-                            yield emit(held)
-                            held, size = [], 0
+                        begin, before = len(held), size
                     held.append((h, s, p.as_py()))
                     size += len(held[-1][2]) + 1
+                    if size >= SHARD_BYTES and begin:  # the grams before the last one are whole
+                        yield emit(held[:begin])
+                        held, size, begin, before = held[begin:], size - before, 0, 0
             if held:
                 yield emit(held)
 
@@ -379,7 +384,7 @@ class _Finder:
         """(c1, c2, spans): the ranges to remove from each text that has some, in any order, overlaps left."""
         rows = self.occurrences(self.counts())
         kinds = self.keep(rows.where("cnt > 0").groupBy("h", "s").agg(F.sum("cnt").alias("total"), F.first("n").alias("n")), "dup-kinds")
-        hot = self.keep(kinds.groupBy("h").count().where(F.col("count") > self.hot).select("h"), "dup-hot")
+        hot = self.keep(kinds.groupBy("h").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) & (F.col("held") > self.hot)).select("h"), "dup-hot")
         parts = rows.where("part is not null").select("h", "s", "part")
         whole = kinds.where("total > 1").select("h", "s", F.lit(0).alias("a"), F.col("n").alias("z"))
         found = whole.unionByName(self.indexed(parts.join(hot, "h", "left_anti")))
@@ -421,7 +426,7 @@ def remainder(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BYTES, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """df's columns and `dup_spans`: the byte ranges covered by `length`-byte strings that also start anywhere else.
 
     Matches lie within single texts and may lie within the same text. Null and short texts have no spans (null); rows with
@@ -432,7 +437,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     return _attached(df, text_col, {"dup_spans": (length, gram)}, hot, broadcast_grams)
 
 
-def nested_spans(df: DataFrame, text_col: str = "text", sizes: dict[str, tuple[int, int]] | None = None, hot: int = HOT, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def nested_spans(df: DataFrame, text_col: str = "text", sizes: dict[str, tuple[int, int]] | None = None, hot: int = HOT_BYTES, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """repeated_spans() at several sizes, column: (length, gram), from the shortest length to the longest; by default passage_spans and dup_spans.
 
     What repeats at a longer length repeats at a shorter one, so each run reads only the stretches that the one before covered.
@@ -442,20 +447,19 @@ def nested_spans(df: DataFrame, text_col: str = "text", sizes: dict[str, tuple[i
 
 def _attached(df: DataFrame, text_col: str, sizes: dict[str, tuple[int, int]], hot: int, broadcast_grams: int) -> DataFrame:
     df, near, columns = df.drop(*sizes), None, []
-    c1, c2 = identity(text_col)
-    joined = df.withColumn("__dup_k1", c1).withColumn("__dup_k2", c2)
-    tables = None
+    own, tables = prefix(df, "__dup"), None
+    joined = df.withColumns({f"{own}_k{i}": c for i, c in enumerate(identity(text_col), 1)})
     for name, (length, gram) in sizes.items():
         if not 0 < gram < length or columns and length < sizes[columns[-1]][0]:
             raise ValueError("gram must be shorter than length, and lengths must grow")
         near = _Finder(df, text_col, length, gram, hot, broadcast_grams, near).spans()
-        found = near.select(F.col("c1").alias(f"__c1_{length}"), F.col("c2").alias(f"__c2_{length}"), F.col("spans").alias(name))
+        found = near.select(F.col("c1").alias(f"{own}_c1_{length}"), F.col("c2").alias(f"{own}_c2_{length}"), F.col("spans").alias(name))
         if tables is None:
-            tables, k1, k2 = found, f"__c1_{length}", f"__c2_{length}"
+            tables, k1, k2 = found, f"{own}_c1_{length}", f"{own}_c2_{length}"
         else:
-            tables = tables.join(found, (F.col(k1) == F.col(f"__c1_{length}")) & (F.col(k2) == F.col(f"__c2_{length}")), "left")
+            tables = tables.join(found, (F.col(k1) == F.col(f"{own}_c1_{length}")) & (F.col(k2) == F.col(f"{own}_c2_{length}")), "left")
         columns.append(name)
-    joined = joined.join(tables.select(k1, k2, *columns), (F.col("__dup_k1") == F.col(k1)) & (F.col("__dup_k2") == F.col(k2)), "left")
+    joined = joined.join(tables.select(k1, k2, *columns), (F.col(f"{own}_k1") == F.col(k1)) & (F.col(f"{own}_k2") == F.col(k2)), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *columns)
 
 
