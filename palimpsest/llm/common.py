@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import discard, materialise, shared_dir
+from ..shared import discard, materialise, prefix, shared_dir
 
-__all__ = ["connected_components", "discard", "materialise", "shared_dir"]
+__all__ = ["connected_components", "discard", "materialise", "prefix", "shared_dir"]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, prefix
 
 BROADCAST_SOURCES = 100_000
 MAX_RATE = 10_000.0
@@ -64,15 +64,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     already there are replaced.
     """
     df = df.drop("copy", "shuffle_key")
-    found = rates(df, source_col, text_col, weights, alpha, epochs).select(F.col("source").alias("__mix_source"), F.col("parts").alias("__mix_parts"), F.col("cdf").alias("__mix_cdf"))
+    own = prefix(df, "__mix")
+    source, parts, cdf, u, n, start = (f"{own}_{x}" for x in ("source", "parts", "cdf", "u", "n", "from"))
+    found = rates(df, source_col, text_col, weights, alpha, epochs).select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     found = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found  # beyond, a plain join that AQE splits where it is skewed
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     first = F.array(uniform(F.concat(F.lit(f"{seed}:"), key)))
-    more = F.transform(F.sequence(F.lit(1), F.col("__mix_parts") - 1), lambda j: uniform(F.concat(F.lit(f"{seed}#"), j.cast("string"), F.lit(":"), key)))
-    draws = F.when(F.col("__mix_parts") > 1, F.concat(first, more)).otherwise(first)
-    drawn = df.join(found, F.col(source_col).eqNullSafe(F.col("__mix_source"))).withColumn("__mix_u", draws)
-    copies = F.aggregate("__mix_u", F.lit(0), lambda n, u: n + F.size(F.filter("__mix_cdf", lambda c: u >= c)))
-    rows = drawn.withColumn("__mix_n", copies).where(F.col("__mix_n") > 0).drop("__mix_cdf", "__mix_u", "__mix_source", "__mix_parts")
-    rows = rows.withColumn("__mix_from", F.explode(F.sequence(F.lit(1), F.col("__mix_n"), F.lit(RUN))))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("__mix_from"), F.least("__mix_n", F.col("__mix_from") + (RUN - 1))))).drop("__mix_n", "__mix_from")
+    more = F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda j: uniform(F.concat(F.lit(f"{seed}#"), j.cast("string"), F.lit(":"), key)))
+    draws = F.when(F.col(parts) > 1, F.concat(first, more)).otherwise(first)
+    drawn = df.join(found, F.col(source_col).eqNullSafe(F.col(source))).withColumn(u, draws)
+    copies = F.aggregate(u, F.lit(0), lambda n, u: n + F.size(F.filter(cdf, lambda c: u >= c)))
+    rows = drawn.withColumn(n, copies).where(F.col(n) > 0).drop(cdf, u, source, parts)
+    rows = rows.withColumn(start, F.explode(F.sequence(F.lit(1), F.col(n), F.lit(RUN))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col(start), F.least(n, F.col(start) + (RUN - 1))))).drop(n, start)
     return rows.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("copy").cast("string")).cast("binary"))).orderBy("shuffle_key")

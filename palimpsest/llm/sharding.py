@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, prefix
 
 BITS = 60
 ROUND = 4
@@ -72,7 +72,9 @@ def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "t
 
 def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write every row of df as Parquet with a folder for each shard, rows with null and repeated ids too; a column shard is replaced."""
-    rows = materialise(df.drop("shard").withColumn("__row", F.monotonically_increasing_id()), "shard-texts")
-    names = shards(rows, limit, id_col, text_col, "__row").select(F.col("__row").alias("__named"), F.concat_ws("-", "depth", "prefix").alias("shard"))
-    rows.join(names, F.col("__row") == F.col("__named")).drop("__row", "__named").repartition("shard").write.partitionBy("shard").parquet(path)
+    own = prefix(df, "__shard")
+    row, named = f"{own}_row", f"{own}_named"
+    rows = materialise(df.drop("shard").withColumn(row, F.monotonically_increasing_id()), "shard-texts")
+    names = shards(rows, limit, id_col, text_col, row).select(F.col(row).alias(named), F.concat_ws("-", "depth", "prefix").alias("shard"))
+    rows.join(names, F.col(row) == F.col(named)).drop(row, named).repartition("shard").write.partitionBy("shard").parquet(path)
     discard(rows)

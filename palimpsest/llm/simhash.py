@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, prefix
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the Golay code's generator polynomial
 MAX_BITS = 3
@@ -455,5 +455,6 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Rows that share that id all stay. So do rows without an id, if the text of one of them is in no group that has an id.
     """
     groups = similar_groups(df, id_col, text_col, words, similarity)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    own = prefix(df, "__kept")
+    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(own)).distinct()
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")

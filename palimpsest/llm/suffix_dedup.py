@@ -513,7 +513,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     """
     names = df.columns
     at = names.index(text_col)
-    found = repeated_spans(df, text_col, length, gram)
+    found = _attached(df, text_col, {prefix(df, "__cut"): (length, gram)}, HOT_BYTES, BROADCAST_GRAMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -65,3 +65,19 @@ def test_passage_of_51_words_is_cut(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "unused").collect()}
     assert all(long not in got[i] and len(got[i]) <= len(texts[i]) - len(long) for i in (0, 1))
     assert [got[2], got[3]] == texts[2:]
+
+
+def test_odd_rows(spark, table):
+    """Null and repeated ids, null, empty and very long texts, nulls in every column and columns whose names the operators use themselves."""
+    docs, texts, passage = table
+    odd = [(None, texts[3] + " and so on", None, None, None), (None, None, None, None, None), (5, texts[5], "en", "a", 1), (60, "the ship and the river of stone " * 60_000, None, "b", None), (61, "", "en", None, 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit("x") for c in ("fp", "spans", "c1", "row", "copy", "shuffle_key", "dup_spans", "pattern", "node", "__kept_id")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = materialise(stage(spark, docs, "unused"), name)
+        assert made.columns == docs.columns
+        if name == "near_dedup":
+            kept = [r.doc_id for r in made.select("doc_id").collect()]
+            assert kept.count(5) == 2 and set(range(40)) <= set(kept)  # rows of the id that stays all stay
+        docs = made
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "unused")
+    assert last.count() == docs.count() and last.where("not round_trip").isEmpty()
