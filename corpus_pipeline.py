@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words (and 200 bytes at least) that stand elsewhere too are cut out of the texts; n_chars follows. Every row stays."""
-    return suffix_dedup.remove_repeats(docs, length=200, gram=150, over=50).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return suffix_dedup.remove_repeats(docs, length=200, gram=100, over=50).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
