@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +57,32 @@ def rectangles(selected: DataFrame, boxes: DataFrame, scale: float, height: floa
     return chosen.join(boxes, "value").select("doc_id", "page_num", "value", *pixels(scale, F.lit(height)))
 
 
+def paint(pages: DataFrame, rects: DataFrame, color: str = "#000000") -> DataFrame:
+    """pages with filled rectangles on their pixels, and `painted`, how many pixels those cover.
+
+    pages: (doc_id, page_num, width, height, pixels), pixels being rows of RGB bytes; rects: (doc_id, page_num, x, y, w, h) in pixels. A
+    rectangle covers the pixels of both its corners and what lies between. Pages without rectangles stay as they are; rectangles of
+    unknown pages and parts outside the page go. One page is held at a time.
+    """
+    rgb = np.frombuffer(bytes.fromhex(color[1:]), np.uint8)
+
+    def run(page: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for p in page.itertuples(index=False):
+            image = np.frombuffer(p.pixels, np.uint8).reshape(p.height, p.width, 3).copy()
+            covered = np.zeros(image.shape[:2], bool)
+            for x, y, w, h in zip(marks.x, marks.y, marks.w, marks.h):
+                a, b, c, d = (max(0, math.floor(v)) for v in (x, y, x + w + 1, y + h + 1))
+                covered[b:d, a:c] = True
+            image[covered] = rgb
+            out.append((p.doc_id, p.page_num, p.width, p.height, image.tobytes(), int(covered.sum())))
+        return pd.DataFrame(out, columns=["doc_id", "page_num", "width", "height", "pixels", "painted"])
+
+    keys = ["doc_id", "page_num"]
+    both = pages.select(*keys, "width", "height", "pixels").groupBy(*keys).cogroup(rects.select(*keys, "x", "y", "w", "h").groupBy(*keys))
+    return both.applyInPandas(run, "doc_id long, page_num int, width int, height int, pixels binary, painted long")
+
+
 def untouched(docs: DataFrame, rects: DataFrame) -> DataFrame:
     """Documents without rectangles, which pass through as they are."""
     return docs.join(rects.select("doc_id").distinct(), "doc_id", "left_anti")

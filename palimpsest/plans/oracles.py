@@ -365,6 +365,15 @@ coalesce((SELECT string_agg(type || '=' || value, ';' ORDER BY type, value) FROM
 SELECT o_orderkey, d || repeat(' ', greatest(1, 15 - length(d) - length(t))) || t AS stamp, strftime(ts, '%-m/%-d/%Y, %-I:%M %p') AS shown, CASE WHEN o_orderkey = 0 THEN '' ELSE printf('%.1f MB', o_orderkey * 104858 / 1048576) END AS size FROM f""",
     "reading_order": PLACED + """ SELECT doc_id, type, value, row_number() OVER (PARTITION BY doc_id, type, value ORDER BY page_num, 792 - y1, x0)::INTEGER AS place, page_num,
 floor((792 - y1) * 300 / 72 * 10 + 0.5)::BIGINT AS y, floor(x0 * 300 / 72 * 10 + 0.5)::BIGINT AS x FROM placed""",
+    "scanned_pages": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS raw_line FROM documents),
+w AS (SELECT doc_id, raw_line // 40 + 1 AS page_num, raw_line % 40 AS line_no, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS i FROM l WHERE raw_line % 40 % 5 <> 0)
+SELECT doc_id, page_num::INTEGER AS page_num, count(*) AS n_words, max(floor((i * 50.0 + 51) * 72 / 300 * 1000 + 0.5)::BIGINT) AS "right", min(floor((3300 - line_no * 40.0 - 30) * 72 / 300 * 1000 + 0.5)::BIGINT) AS bottom
+FROM w WHERE trim(text) <> '' GROUP BY ALL""",
+    "painted_pages": PLACED + """, px AS (SELECT p.doc_id, p.page_num, x0 * 0.1::DOUBLE AS x, (792 - y1) * 0.1::DOUBLE AS y, (x1 - x0) * 0.1::DOUBLE AS w, (y1 - y0) * 0.1::DOUBLE AS h
+  FROM placed p WHERE value IN (SELECT value FROM placed WHERE type IN ('email', 'ip_address'))),
+dots AS (SELECT DISTINCT doc_id, page_num, a, b FROM (SELECT doc_id, page_num, y, h, unnest(generate_series(greatest(0, floor(x)::INTEGER), least(60, floor(x + w)::INTEGER))) AS a FROM px),
+         LATERAL (SELECT unnest(generate_series(greatest(0, floor(y)::INTEGER), least(78, floor(y + h)::INTEGER))) AS b))
+SELECT doc_id, page_num, count(a) AS painted, 13 + 61 * 79 * 3 AS n_bytes FROM text_pages LEFT JOIN dots USING (doc_id, page_num) GROUP BY ALL""",
     "sampled_documents": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 10000",
     "model_entities": f"""WITH {DOCS}, """ + _chunks("docs") + """, hits AS (
   SELECT doc_id, chunk_idx, chunk_offset, h[k] AS text, coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0) AS start

@@ -210,6 +210,28 @@ def ocr_words(spark, sf_dir):
     return layout.ocr_words(made).select("doc_id", "word_seq", "text", *[F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+def scanned_pages(spark, sf_dir):
+    """Pages from a stand-in renderer, through the word extraction."""
+    files = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    words = layout.ocr_words(readers.scan_pages(files, fx.load_reader))
+    whole = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
+    return words.groupBy("doc_id", "page_num").agg(F.count(F.lit(1)).alias("n_words"), F.max(whole("x1")).alias("right"), F.min(whole("y0")).alias("bottom"))
+
+
+DRAWN = 0.1
+
+
+def painted_pages(spark, sf_dir):
+    """White pages with the selected values painted over."""
+    wide, high = int(spans.PAGE_WIDTH * DRAWN), int(spans.PAGE_HEIGHT * DRAWN)
+    pages = spans.layout_words(_docs(spark, sf_dir)).select("doc_id", "page_num").distinct()
+    pages = pages.select("doc_id", "page_num", F.lit(wide).alias("width"), F.lit(high).alias("height"), F.lit(bytearray(b"\xff" * (3 * wide * high))).alias("pixels"))
+    found = _boxes(spark, sf_dir)
+    rects = boxes.rectangles(_selected(found), found.select("doc_id", "page_num", "value", "x0", "y0", "x1", "y1"), DRAWN, spans.PAGE_HEIGHT)
+    drawn = boxes.paint(pages, rects)
+    return drawn.select("doc_id", "page_num", "painted", F.length(sinks.ppm(F.col("width"), F.col("height"), F.col("pixels"))).alias("n_bytes"))
+
+
 # what the user sees
 
 
@@ -642,7 +664,7 @@ def sample_batches(spark, sf_dir):
 
 
 QUERIES = [
-    sampled_documents, model_entities, jsonl_lines, stream_json_lines, page_pixel_boxes, opened_accounts, relinked_accounts, audit_applied, concat_samples, sample_batches, acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
+    scanned_pages, painted_pages, sampled_documents, model_entities, jsonl_lines, stream_json_lines, page_pixel_boxes, opened_accounts, relinked_accounts, audit_applied, concat_samples, sample_batches, acquired_stamps, reading_order, download_totals, command_outcomes, page_progress, penalty_notices, purchases_detected, sample_corpus, sample_kinds,
     chunk_documents, normalize_text, detect_regex_entities, dedupe_entities, aggregate_pii, conversation_pii, index_words, index_word_rows, indexed_text, layout_text, resolve_entity_boxes, pixel_boxes,
     custom_pii_parse, custom_pii_match, custom_emitted, all_items, suppress_hits, dedupe_boxes, attach_boxes, redaction_rects, unredacted_docs, redaction_totals, pages_to_draw, mask_text, redact_text,
     star_text, hash_text, deny_list, cluster_lines, ocr_words, ui_groups, selected_by_type, page_span, keep_checked, selected_values, union_identifiers, detection_json,

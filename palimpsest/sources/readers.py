@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,28 @@ def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
 
 
+SCANNED = "doc_id long, page_num int, line_no int, width int, height double, words array<string>, polygons array<array<struct<x: double, y: double>>>, score string"
+
+
+def scan_pages(files: DataFrame, load: Callable[[], Callable[[bytes, float], Iterable[dict]]], dpi: float = 300.0) -> DataFrame:
+    """The recognised lines (SCANNED) of files (doc_id, content), as ocr_words() takes them, from a renderer and recogniser of the caller's.
+
+    `load` runs once in each Python worker. What it gives is called with a file's bytes and the scale dpi / 72 and yields one page after another:
+    page_num, width, height, and lines of words, polygons and score. A page is passed on before the next is rendered.
+    """
+    names = [f.split()[0] for f in ("doc_id", "page_num", "line_no", "width", "height", "words", "polygons", "score")]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = load()
+        for b in batches:
+            for doc_id, content in zip(b["doc_id"], b["content"]):
+                for page in read(bytes(content), dpi / 72.0):
+                    rows = [(doc_id, page["page_num"], i, page["width"], page["height"], ln["words"], ln["polygons"], ln["score"]) for i, ln in enumerate(page["lines"])]
+                    yield pd.DataFrame(rows, columns=names)
+
+    return files.select("doc_id", "content").mapInPandas(run, SCANNED)
+
+
 def identifiers(rows: DataFrame) -> DataFrame:
     """(row_id, seq, type, value) of saved identifier lists: `entries` holds strings or (type, value); blanks go, unknown types are `other`."""
     each = rows.select("row_id", F.posexplode("entries").alias("seq", "e"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import category_rank
@@ -38,3 +38,8 @@ def chunk_dump(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     part = F.concat(F.lit("=" * 80 + "\n"), F.format_string("chunk %d (offset %d)\n", F.col("chunk_idx") + 1, "chunk_offset"), F.lit("=" * 80 + "\n"), F.col("chunk"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_idx", part.alias("p"))))
     return chunks.groupBy(id_col).agg(F.array_join(F.transform(parts, lambda x: x["p"]), "\n").alias("dump"))
+
+
+def ppm(width: Column, height: Column, pixels: Column) -> Column:
+    """A page's RGB pixels as the bytes of a PPM file."""
+    return F.concat(F.format_string("P6\n%d %d\n255\n", width, height).cast("binary"), pixels)
