@@ -36,7 +36,15 @@ BLOCK = 128
 QUERY_BLOCK = 1024
 
 
+def tame(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles, divided by their largest component: their cosines stay what they are."""
+    most = np.abs(x).max(axis=1, initial=0)
+    odd = (most > 1e100) | (most < 1e-100) & (most > 0)
+    return np.where(odd[:, None], x / np.where(odd, most, 1)[:, None], x) if odd.any() else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = tame(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -239,7 +247,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, list_
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]
         if left.num_rows and right.num_rows:
-            x, y = matrix(left["vec"], width), matrix(right["vec"], width)
+            x, y = tame(matrix(left["vec"], width)), tame(matrix(right["vec"], width))
             xi, yi = left["row"].to_numpy(), right["row"].to_numpy()
             xd, yd = (t["id"].combine_chunks() for t in (left, right))
             order_by = xd.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)

@@ -110,6 +110,13 @@ def test_large_integers_are_exact():
     assert ids.tolist() == [1] and scores.tolist() == [2**60 + 2]
 
 
+def test_ann_of_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1.1e-200]), (2, [1.0, 0.0]), (3, [3e-310, 3e-310]), (4, [1e300, -1e300])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [3, 1, 2, 4]
+    assert all(abs(r.score - s) < 1e-9 for r, s in zip(got, (1.0, 2.1 / math.sqrt(2 * 2.21), math.sqrt(0.5), 0.0)))
+
+
 def test_topk_of_huge_components(spark):
     schema = "vec_id long, embedding array<double>"
     search = lambda rows: topk.top_k(spark.createDataFrame(rows, schema), "vec_id", "embedding", F.lit(True)).orderBy("query_id", "rank").collect()
