@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,29 +43,49 @@ def runs_of(boxes: list[tuple[float, float, float, float]]) -> list[tuple[int, .
     return list(out)
 
 
-def finder(values: list[str]) -> ahocorasick.Automaton:
-    """An automaton of normalised values: one walk along a text meets all of them, however many there are."""
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
-    for v in values:
-        if v:
+def overlaps_itself(value: str) -> bool:
+    """Whether some end of it is also a beginning of it, so that two finds can overlap."""
+    fall = [0]
+    for c in value[1:]:
+        k = fall[-1]
+        while k and c != value[k]:
+            k = fall[k - 1]
+        fall.append(k + (c == value[k]))
+    return bool(value) and fall[-1] > 0
+
+
+def finder(values: list[str]) -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """Automata of normalised values, all of them and those that overlap themselves: one walk along a text meets all, however many there are."""
+
+    def made(some: list[str]) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
+        for v in some:
             found.add_word(v, v)
-    found.make_automaton()
-    return found
+        found.make_automaton()
+        return found
+
+    values = [v for v in values if v]
+    return made(values), made([v for v in values if overlaps_itself(v)])
 
 
-def find_on_page(lines: list[list[tuple[str, float, float, float, float]]], values: ahocorasick.Automaton) -> Iterator[tuple[str, float, float, float, float]]:
+def find_on_page(lines: list[list[tuple[str, float, float, float, float]]], values: tuple[ahocorasick.Automaton, ahocorasick.Automaton]) -> Iterator[tuple[str, float, float, float, float]]:
     """(normalised value, x0, y0, x1, y1) for the values of finder() on a page of lines of (normalised word, box).
 
     A value's finds in one run don't overlap, the first comes first; equal boxes (to a tenth of a point, unpadded) of one value count once.
+    A run that is another one without its first line holds nothing new but for values that overlap themselves.
     """
     boxes = [(min(w[1] for w in ln), min(w[2] for w in ln), max(w[3] for w in ln), max(w[4] for w in ln)) if ln else (0.0, 0.0, 0.0, 0.0) for ln in lines]
     letters = ["".join(w[0] for w in ln) for ln in lines]
     places = [[(i, j, k) for j, w in enumerate(ln) for k in range(len(w[0]))] for i, ln in enumerate(lines)]
     seen: set[tuple] = set()
-    for run in runs_of(boxes) if len(values) else ():
+    before: tuple[int, ...] = ()
+    for run in runs_of(boxes):
+        which, before = values[before[1:] == run], run
+        if not len(which):
+            continue
         where: list[tuple[int, int, int]] | None = None
         behind: dict[str, int] = {}  # the end of a value's last find in this run
-        for last, target in values.iter("".join(letters[i] for i in run)):
+        for last, target in which.iter("".join(letters[i] for i in run)):
             at = last + 1 - len(target)
             if at < behind.get(target, 0):
                 continue
@@ -85,16 +106,47 @@ def find_on_page(lines: list[list[tuple[str, float, float, float, float]]], valu
                     yield target, e[0] - PAD, e[1] - PAD, e[2] + PAD, e[3] + PAD
 
 
-def match_custom(words: DataFrame, custom: DataFrame, most: int = 100_000) -> DataFrame:
+def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, list[list[tuple]]]]:
+    """(doc_id, page_num, lines) of rows (doc_id, page_num, line_idx, word_idx, n, box) that come page by page."""
+    held: list[pa.RecordBatch] = []
+
+    def lines_of(rows: list[pa.RecordBatch]) -> tuple[int, int, list[list[tuple]]]:
+        doc, page, line, word, *cells = (sum((b.column(i).to_pylist() for b in rows), []) for i in range(9))
+        lines: dict[int, list[tuple]] = {}
+        for at in sorted(range(len(line)), key=lambda i: (line[i], word[i])):
+            lines.setdefault(line[at], []).append(tuple(c[at] for c in cells))
+        return doc[0], page[0], list(lines.values())
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc, page = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1
+        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (doc[0], page[0]):
+            yield lines_of(held)
+            held = []
+        for a, z in zip([0, *cuts], [*cuts, len(doc)]):
+            held.append(b.slice(a, z - a))
+            if z < len(doc):
+                yield lines_of(held)
+                held = []
+    if held:
+        yield lines_of(held)
+
+
+def match_custom(words: DataFrame, custom: DataFrame, most: int = 100_000, in_order: bool = False) -> DataFrame:
     """(doc_id, page_num, value, type, x0, y0, x1, y1) of custom values on pages of words (with line_idx, word_idx).
 
-    The dictionary (value, type) goes to the tasks as an automaton, so a page costs its letters and its finds and not its letters times
+    The dictionary (value, type) goes to the tasks as automata, so a page costs its letters and its finds and not its letters times
     the values. A dictionary of more than `most` values is cut by a hash into parts of about that many, and the pages meet part after part.
+    in_order: the words come page by page, as layout_words() gives them, and are not shuffled.
     """
     given = custom.select("value", "type", norm(F.col("value")).alias("n")).where("n <> ''")
     parts = max(1, math.ceil(given.count() / most))
     sc = words.sparkSession.sparkContext
     kept = words.select("doc_id", "page_num", "line_idx", "word_idx", norm(F.col("text")).alias("n"), "x0", "y0", "x1", "y1")
+    if not in_order:
+        kept = kept.repartition("doc_id", "page_num").sortWithinPartitions("doc_id", "page_num")
 
     def search(part: int) -> DataFrame:
         rows = given.where(F.pmod(F.xxhash64("value"), F.lit(parts)) == part).collect()
@@ -103,15 +155,19 @@ def match_custom(words: DataFrame, custom: DataFrame, most: int = 100_000) -> Da
             named.setdefault(r.n, []).append((r.value, r.type))
         shared = sc.broadcast((finder(sorted(named)), named))
 
-        def run(page: pd.DataFrame) -> pd.DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, names = shared.value
-            page = page.sort_values(["line_idx", "word_idx"])
-            lines = [[(w.n, w.x0, w.y0, w.x1, w.y1) for w in ln.itertuples()] for _, ln in page.groupby("line_idx", sort=True)]
-            found = [(page.doc_id.iloc[0], page.page_num.iloc[0], v, kind, *b) for n, *b in find_on_page(lines, values) for v, kind in names[n]]
-            return pd.DataFrame(found, columns=["doc_id", "page_num", "value", "type", "x0", "y0", "x1", "y1"])
+            out: list[tuple] = []
+            for doc, page, lines in _pages(batches):
+                out += [(doc, page, v, kind, *b) for n, *b in find_on_page(lines, values) for v, kind in names[n]]
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in out], shape)
+                    out = []
+            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in out], shape)
 
-        return kept.groupBy("doc_id", "page_num").applyInPandas(run, "doc_id long, page_num int, value string, type string, x0 double, y0 double, x1 double, y1 double")
+        return kept.mapInArrow(run, "doc_id long, page_num int, value string, type string, x0 double, y0 double, x1 double, y1 double")
 
+    shape = pa.schema([("doc_id", pa.int64()), ("page_num", pa.int32()), ("value", pa.string()), ("type", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))])
     return reduce(DataFrame.unionByName, map(search, range(parts)))
 
 

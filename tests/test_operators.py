@@ -149,6 +149,19 @@ def brute_find(lines, value):
     return sorted(out)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.text("ab-", min_size=1, max_size=4), st.integers(0, 6)), min_size=1, max_size=3), min_size=1, max_size=5), st.lists(st.text("ab", min_size=1, max_size=4), min_size=1, max_size=4, unique=True))
+def test_find_on_page_is_brute_force(lines, values):
+    """Values that overlap themselves and runs that end others included."""
+    page = [[(w, 10.0 * x, 50.0 - 10 * i, 10.0 * x + 8 * len(w), 58.0 - 10 * i) for w, x in ln] for i, ln in enumerate(lines)]
+    clean = [[(w.replace("-", ""), *box) for w, *box in ln] for ln in page]
+    got = {}
+    for v, *box in match.find_on_page(clean, match.finder(values)):
+        got.setdefault(v, []).append(tuple(box))
+    for v in values:
+        assert sorted(got.get(v, [])) == brute_find(page, v)
+
+
 @pytest.mark.parametrize("value", ["Ann", "ann lee", "Lee 12", "!!", "Quay 12 Main", "nn L"])
 def test_find_on_page(spark, value):
     lines = [[("Joanna", 0.0, 50.0, 60.0, 60.0), ("Lee", 65.0, 50.0, 90.0, 60.0)], [("12", 0.0, 30.0, 20.0, 40.0), ("Main", 22.0, 30.0, 60.0, 40.0)], [("Quay", 300.0, 30.0, 340.0, 40.0)], [("Ann", 0.0, 10.0, 30.0, 20.0), ("Lee", 35.0, 10.0, 60.0, 20.0)]]
