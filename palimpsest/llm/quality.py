@@ -183,15 +183,15 @@ def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
 
 def _drawn(df: DataFrame, id_col: str, sample: int, total: int) -> DataFrame:
     """About `sample` rows, drawn by a hash of the id."""
-    return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) <= int(min(1.0, sample / max(1, total)) * (1 << 30))).limit(2 * sample)
+    return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) <= int(min(1.0, sample / max(1, total)) * (1 << 30)))
 
 
 def _counts(described: DataFrame) -> dict[int, int]:
     return {r["pattern"]: r["count"] for r in described.groupBy("pattern").count().collect()}  # at most 3^10 rows
 
 
-def _learnt(counts: dict[int, int], described: DataFrame) -> tuple[dict[int, float], Scorer]:
-    known, told = posteriors(counts), described.select("pattern", "index", "value").toArrow().to_pydict()
+def _learnt(counts: dict[int, int], described: DataFrame, sample: int) -> tuple[dict[int, float], Scorer]:
+    known, told = posteriors(counts), described.select("pattern", "index", "value").limit(2 * sample).toArrow().to_pydict()
     rows = [_read_numbers(*x) for x in zip(told["index"], told["value"])]
     return known, Scorer(rows, np.array([known.get(p, 0.5) for p in told["pattern"]]))
 
@@ -199,13 +199,13 @@ def _learnt(counts: dict[int, int], described: DataFrame) -> tuple[dict[int, flo
 def learn(described: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[dict[int, float], Scorer]:
     """The patterns' posteriors over all rows of a written describe(), and the scorer learnt from about `sample` of them."""
     counts = _counts(described)
-    return _learnt(counts, _drawn(described, id_col, sample, sum(counts.values())))
+    return _learnt(counts, _drawn(described, id_col, sample, sum(counts.values())), sample)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[int, float], Scorer]:
     """The same from texts, where features of the sample alone are wanted."""
     counts = _counts(describe(df, id_col, text_col, False))
-    return _learnt(counts, describe(_drawn(df, id_col, sample, sum(counts.values())), id_col, text_col))
+    return _learnt(counts, describe(_drawn(df, id_col, sample, sum(counts.values())), id_col, text_col), sample)
 
 
 def rate(described: DataFrame, model: tuple[dict[int, float], Scorer], id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
