@@ -44,6 +44,23 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """The tables that one operator writes for itself; they go once its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(materialise(df, label))
+        return self.tables[-1]
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        out = materialise(df, label)
+        discard(*self.tables)
+        self.tables.clear()
+        return out
+
+
 def prefix(df: DataFrame, base: str) -> str:
     """`base`, longer by underscores until no column of df begins with it, in any case: names made of it clash with none."""
     while any(c.lower().startswith(base.lower()) for c in df.columns):
