@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import discard, materialise, prefix, shared_dir
+from ..shared import Scratch, discard, materialise, prefix, shared_dir
 
-__all__ = ["connected_components", "discard", "materialise", "prefix", "shared_dir"]
+__all__ = ["Scratch", "connected_components", "discard", "materialise", "prefix", "shared_dir"]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of the undirected edges (u, v); component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each keeps at most as many edges as it was given, so hubs never
     square. Rounds grow with the logarithm of the longest chain; each is written to the shared folder. Nothing but
-    a count and a checksum reaches the driver. No edges: no rows. Loops (u = u) are ignored.
+    a count and a checksum reaches the driver. The result reads a table, which is left to `scratch`. No edges: no rows. Loops (u = u) are ignored.
     """
 
     def large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,4 +47,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = step(step(now, large), small)
         if seen == (seen := state(now)):
             break
+    if scratch:
+        scratch.tables.append(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

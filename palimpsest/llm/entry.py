@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, langid, mixing, quality, sentencepiece, sharding, simhash, suffix_dedup, topk, urls
-from .common import materialise
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,8 +108,9 @@ FROM pairs QUALIFY rank <= 5
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    described = materialise(quality.describe(docs), "quality")  # each text is read once
-    return quality.rate(described, quality.learn(described))
+    scratch = Scratch()
+    described = scratch.keep(quality.describe(docs), "quality")  # each text is read once
+    return scratch.result(quality.rate(described, quality.learn(described)), "quality-rated")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, prefix
+from .common import Scratch, discard, materialise, prefix
 
 BITS = 60
 ROUND = 4
@@ -46,12 +46,13 @@ def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "t
     if limit < 1:
         raise ValueError("limit must be positive")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    slim = materialise(df.select(F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"), size.alias("bytes"), hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("h")), "shard-rows")
+    scratch = Scratch()
+    slim = scratch.keep(df.select(F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"), size.alias("bytes"), hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("h")), "shard-rows")
     total = slim.agg(F.sum("bytes")).first()[0] or 0
     low, high, out = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 3), []
     open_rows, word = slim.withColumn("outer", F.lit("")), 0
     while True:
-        found = materialise(_directory(open_rows, low, high, limit), "shard-directory")
+        found = scratch.keep(_directory(open_rows, low, high, limit), "shard-directory")
         placed = open_rows.withColumn("cell", F.expr(f"shiftright(h, {BITS - high})")).join(found.withColumnRenamed("outer", "o"), (F.col("cell") == F.col("c")) & (F.col("outer") == F.col("o")))
         out.append(placed.where("fits").select("id", "row", "bytes", (F.col("depth") + word * BITS).alias("depth"), F.concat("outer", F.col("prefix").cast("string")).alias("prefix"), "shard_bytes", "shard_rows"))
         if found.where("not fits").isEmpty():
@@ -63,11 +64,12 @@ def shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "t
         else:
             rest = rest.select("id", "row", "bytes", "h", "outer")
             low, high = high + 1, min(BITS, high + ROUND)
-        open_rows = materialise(rest, "shard-open")
+        open_rows = scratch.keep(rest, "shard-open")
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
-    return result.select(F.col("id").alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "prefix", "shard_bytes", "shard_rows")
+    result = result.select(F.col("id").alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "prefix", "shard_bytes", "shard_rows")
+    return scratch.result(result, "shards")
 
 
 def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, prefix
+from .common import Scratch, connected_components, prefix
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the Golay code's generator polynomial
 MAX_BITS = 3
@@ -228,11 +228,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     link like any other; ties and repeated rows are kept; rows whose id is null take part and keep a null id; an empty
     table gives no rows. Ids must be integers.
     """
-    fps = materialise(fingerprints(df, id_col, text_col, words), "fp")
-    distinct = materialise(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "fp-distinct")
-    parts = connected_components(link_edges(distinct.where("rep is not null"), hot))
-    classes = materialise(distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "rep").alias("component_id")), "fp-class")
-    return fps.join(classes, F.col("fp") == F.col("c_fp")).select(id_col, "fp", "component_id")
+    scratch = Scratch()
+    fps = scratch.keep(fingerprints(df, id_col, text_col, words), "fp")
+    distinct = scratch.keep(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "fp-distinct")
+    parts = connected_components(link_edges(distinct.where("rep is not null"), hot), scratch)
+    classes = scratch.keep(distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "rep").alias("component_id")), "fp-class")
+    return scratch.result(fps.join(classes, F.col("fp") == F.col("c_fp")).select(id_col, "fp", "component_id"), "fp-components")
 
 
 # Groups by similarity of word shingles.
@@ -356,13 +357,13 @@ def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(u, v): links that span the groups of representatives whose shingle sets are at least so similar, of distinct (fp, rep)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 fps = part.column(0).to_pylist()
                 keys, n = wide_keys(fps), len(PAIRS)
                 sketch = np.frombuffer(b"".join(f[:16] for f in fps), np.int64).reshape(-1, 2)
@@ -399,30 +400,30 @@ def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str
 
     keyed = distinct.select("fp", "rep").mapInArrow(spread, "key long, low long, high long, rep long")
     found = keyed.repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(links, "u long, v long")
-    crowds = materialise(connected_components(materialise(found.where("u <> v").distinct(), "wide-pairs")), "wide-crowds")
+    crowds = scratch.keep(connected_components(scratch.keep(found.where("u <> v").distinct(), "wide-pairs"), scratch), "wide-crowds")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     held = texts.join(crowds, F.col("id") == F.col("node")).select("id", F.col("component").alias("crowd"), "text").mapInArrow(sets, "id long, crowd long, shingles binary")
-    held = materialise(held.dropDuplicates(["id"]), "wide-sets")
+    held = scratch.keep(held.dropDuplicates(["id"]), "wide-sets")
     sizes = held.groupBy("crowd").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    sizes = materialise(sizes.select(F.col("crowd").alias("of"), F.greatest("blocks", F.lit(1)).alias("blocks")), "wide-sizes")
-    large = materialise(held.join(sizes.where("blocks > 1"), F.col("crowd") == F.col("of")).select("id", "crowd", "shingles"), "wide-large")
+    sizes = scratch.keep(sizes.select(F.col("crowd").alias("of"), F.greatest("blocks", F.lit(1)).alias("blocks")), "wide-sizes")
+    large = scratch.keep(held.join(sizes.where("blocks > 1"), F.col("crowd") == F.col("of")).select("id", "crowd", "shingles"), "wide-large")
 
     def met(rank: DataFrame) -> DataFrame:
         """Links of all texts of large crowds to their crowd's pivots, the first of (id, crowd, score)."""
         first = rank.withColumn("place", F.row_number().over(Window.partitionBy("crowd").orderBy(F.desc("score"), F.xxhash64("id")))).where(F.col("place") <= PIVOTS)
         first = first.select(F.col("id").alias("pivot"))
         pivots = large.join(first, F.col("id") == F.col("pivot")).groupBy(F.col("crowd").alias("of")).agg(F.collect_list(F.struct("id", "shingles")).alias("pivots"))
-        pivots = materialise(pivots, "wide-pivots")
+        pivots = scratch.keep(pivots, "wide-pivots")
         rows = large.join(pivots, F.col("crowd") == F.col("of")).select("id", "shingles", "pivots")
-        return materialise(rows.mapInArrow(meet, "u long, v long").where("u <> v"), "wide-met")
+        return scratch.keep(rows.mapInArrow(meet, "u long, v long").where("u <> v"), "wide-met")
 
     once = met(large.select("id", "crowd", F.lit(0).alias("score")))
     score = once.groupBy("u").agg(F.count(F.lit(1)).alias("score"))
     twice = once.unionByName(met(large.select("id", "crowd").join(score, F.col("id") == F.col("u"), "left").select("id", "crowd", F.coalesce("score", F.lit(0)).alias("score"))))
-    parts = connected_components(twice).select("node", "component")
+    parts = connected_components(twice, scratch).select("node", "component")
     state = large.select("id", "crowd").join(parts, F.col("id") == F.col("node"), "left").select("crowd", F.coalesce("component", "id").alias("part"))
     whole = state.groupBy("crowd").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least = most").select(F.col("crowd").alias("of"))
-    todo = materialise(sizes.join(whole, "of", "left_anti"), "wide-todo")
+    todo = scratch.keep(sizes.join(whole, "of", "left_anti"), "wide-todo")
     cut = held.join(todo, F.col("crowd") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("crowd", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "shingles")
@@ -442,11 +443,12 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(shingle_hashes(t.as_py(), SKETCH)) for t in b.column(1)], pa.binary())], names=[id_col, "fp"])
 
     kept = df.select(id_col, F.col(text_col).cast("string"))
-    fps = materialise(kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp binary"), "wide")
-    distinct = materialise(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "wide-distinct")
-    parts = connected_components(similar_pairs(df, distinct.where("rep is not null"), id_col, text_col, words, similarity))
-    classes = materialise(distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "rep").alias("component_id")), "wide-class")
-    return fps.join(classes, F.col("fp") == F.col("c_fp")).select(id_col, "component_id")
+    scratch = Scratch()
+    fps = scratch.keep(kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp binary"), "wide")
+    distinct = scratch.keep(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "wide-distinct")
+    parts = connected_components(similar_pairs(df, distinct.where("rep is not null"), id_col, text_col, words, similarity, scratch), scratch)
+    classes = scratch.keep(distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "rep").alias("component_id")), "wide-class")
+    return scratch.result(fps.join(classes, F.col("fp") == F.col("c_fp")).select(id_col, "component_id"), "wide-components")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, prefix
+from .common import Scratch, prefix
 
 LENGTH, GRAM = 400, 200
 PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 100, 50
@@ -224,18 +224,13 @@ class _Finder:
     def __init__(self, df: DataFrame, text_col: str, length: int, gram: int, hot: int, broadcast_grams: int, within: DataFrame | None = None):
         self.spark, self.length, self.gram, self.hot, self.most = df.sparkSession, length, gram, hot, broadcast_grams
         raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-        self.texts, self.written = df.select(raw.alias("raw"), *identity(text_col)).where(F.octet_length("raw") >= length), []
+        self.texts, self.scratch = df.select(raw.alias("raw"), *identity(text_col)).where(F.octet_length("raw") >= length), Scratch()
         if within is None:
             self.texts = self.texts.withColumn("spans", F.lit(None).cast(SPANS))
         else:
             near = within.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "spans")
             rows = self.texts.join(near, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))).select("raw", "c1", "c2", "spans")
-            self.texts = self.keep(rows, "dup-texts")
-
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        """materialise(), for a table that goes once the spans are written."""
-        self.written.append(materialise(df, label))
-        return self.written[-1]
+            self.texts = self.scratch.keep(rows, "dup-texts")
 
     def counts(self) -> DataFrame:
         """(h, mixed) of the grams that anchor more than one segment; mixed: the segments differ."""
@@ -249,7 +244,7 @@ class _Finder:
 
         rows = self.texts.select("raw", "spans").mapInArrow(run, "h long, s long")
         grams = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("z")).where("n > 1")
-        return self.keep(grams.select("h", (F.col("a") != F.col("z")).alias("mixed")), "dup-grams")
+        return self.scratch.keep(grams.select("h", (F.col("a") != F.col("z")).alias("mixed")), "dup-grams")
 
     def occurrences(self, grams: DataFrame) -> DataFrame:
         """The segments of repeated grams (one row for each kind of segment in a text, `cnt` times there), with the text
@@ -257,16 +252,16 @@ class _Finder:
         if grams.count() <= self.most:  # a checked size; beyond it the grams are joined
             told = grams.toArrow().sort_by("h")
             known = self.spark.sparkContext.broadcast((_long(told["h"]), _long(told["mixed"])))
-            return self.keep(self.texts.mapInArrow(self._scan(known, True), OCCURRENCE), "dup-segments")
+            return self.scratch.keep(self.texts.mapInArrow(self._scan(known, True), OCCURRENCE), "dup-segments")
         every = self.texts.mapInArrow(self._scan(None, False), OCCURRENCE)
-        rows = self.keep(every.drop("part").join(grams, "h", "left").where("cnt = 0 or mixed is not null"), "dup-segments")
+        rows = self.scratch.keep(every.drop("part").join(grams, "h", "left").where("cnt = 0 or mixed is not null"), "dup-segments")
         wanted = rows.where("cnt > 0 and mixed").groupBy("h", "s").agg(F.min(F.struct("c1", "c2", "lo", "n")).alias("w")).select("h", "s", "w.*")
         wanted = wanted.groupBy("c1", "c2").agg(F.collect_list(F.struct("h", "s", "lo", "n")).alias("w")).select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "w")
         at = self.texts.join(wanted, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select("raw", F.explode("w").alias("w"))
         parts = at.select("w.h", "w.s", F.expr("substring(raw, w.lo + 1, w.n)").alias("part"))
         none = [F.lit(0).cast(t).alias(c) for c, t in (("c1", "long"), ("c2", "long"), ("lo", "int"), ("n", "int"))]
         parts = parts.select("h", "s", *none, F.lit(-1).alias("cnt"), "part")
-        return self.keep(rows.select("h", "s", "c1", "c2", "lo", "n", "cnt", F.lit(None).cast("binary").alias("part")).unionByName(parts), "dup-parts")
+        return self.scratch.keep(rows.select("h", "s", "c1", "c2", "lo", "n", "cnt", F.lit(None).cast("binary").alias("part")).unionByName(parts), "dup-parts")
 
     def _scan(self, known, with_parts: bool):
         length, gram = self.length, self.gram
@@ -376,29 +371,27 @@ class _Finder:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(np.full(k, s)), pa.array(np.arange(k, dtype=np.int32)), pa.array(w.view(np.int64))], names=["h", "s", "a", "w"])
 
         one = parts.groupBy("h", "s").agg(F.first("part").alias("part"))
-        windows = self.keep(one.mapInArrow(run, "h long, s long, a int, w long"), "dup-windows")
-        again = self.keep(windows.groupBy("h", "w").count().where("count > 1").select(F.col("h").alias("h2"), F.col("w").alias("w2")), "dup-again")
+        windows = self.scratch.keep(one.mapInArrow(run, "h long, s long, a int, w long"), "dup-windows")
+        again = self.scratch.keep(windows.groupBy("h", "w").count().where("count > 1").select(F.col("h").alias("h2"), F.col("w").alias("w2")), "dup-again")
         return windows.join(again, (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2"))).select("h", "s", "a", (F.col("a") + length).alias("z"))
 
     def spans(self) -> DataFrame:
         """(c1, c2, spans): the ranges to remove from each text that has some, in any order, overlaps left."""
         rows = self.occurrences(self.counts())
-        kinds = self.keep(rows.where("cnt > 0").groupBy("h", "s").agg(F.sum("cnt").alias("total"), F.first("n").alias("n")), "dup-kinds")
-        hot = self.keep(kinds.groupBy("h").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) & (F.col("held") > self.hot)).select("h"), "dup-hot")
+        kinds = self.scratch.keep(rows.where("cnt > 0").groupBy("h", "s").agg(F.sum("cnt").alias("total"), F.first("n").alias("n")), "dup-kinds")
+        hot = self.scratch.keep(kinds.groupBy("h").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) & (F.col("held") > self.hot)).select("h"), "dup-hot")
         parts = rows.where("part is not null").select("h", "s", "part")
         whole = kinds.where("total > 1").select("h", "s", F.lit(0).alias("a"), F.col("n").alias("z"))
         found = whole.unionByName(self.indexed(parts.join(hot, "h", "left_anti")))
         if not hot.isEmpty():
             found = found.unionByName(self.counted(parts.join(hot, "h", "left_semi")))
         found = found.groupBy("h", "s").agg(F.collect_list(F.struct("a", "z")).alias("r"))
-        found = self.keep(found.select(F.col("h").alias("h2"), F.col("s").alias("s2"), "r"), "dup-ranges")
+        found = self.scratch.keep(found.select(F.col("h").alias("h2"), F.col("s").alias("s2"), "r"), "dup-ranges")
         placed = rows.where("cnt > 0").select("h", "s", "c1", "c2", "lo").join(found, (F.col("h") == F.col("h2")) & (F.col("s") == F.col("s2")))
         spread = placed.select("c1", "c2", "lo", F.explode("r").alias("r")).select("c1", "c2", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.z")).alias("z"))
         inner = rows.where("cnt = 0").select("c1", "c2", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("z"))
         every = spread.unionByName(inner).distinct().groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-        out = materialise(every, "dup-spans")
-        discard(*self.written)
-        return out
+        return self.scratch.result(every, "dup-spans")
 
 
 def identity(text_col: str):
