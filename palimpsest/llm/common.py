@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import Scratch, discard, materialise, prefix, shared_dir
 
-__all__ = ["Scratch", "connected_components", "discard", "materialise", "prefix", "shared_dir"]
+__all__ = ["Scratch", "connected_components", "discard", "lean", "materialise", "prefix", "shared_dir"]
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function that gives its worker's free memory back at the end: idle workers wait for more work and count against their executor."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
 
 
 def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:

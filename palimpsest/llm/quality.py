@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 SAMPLE = 16_000
 BUCKETS = 1 << 14
 STRETCH = 1000
@@ -178,7 +180,7 @@ def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(patterns, pa.int32()), *(pa.array(c, pa.binary()) for c in found if with_features)], names=names)
 
     more = ", index binary, value binary" if with_features else ""
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, pattern int{more}")
+    return kept.mapInArrow(lean(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, pattern int{more}")
 
 
 def _drawn(df: DataFrame, id_col: str, sample: int, total: int) -> DataFrame:
@@ -240,4 +242,4 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             texts = (Read(t.as_py()) for t in b.column(at))
             yield b.filter(pa.array([bool(t.words) and shared.value.score(*features(t)) >= threshold for t in texts], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

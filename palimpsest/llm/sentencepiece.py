@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 100_000
@@ -365,7 +367,7 @@ def encode_column(df: DataFrame, model_path: str, text_col: str = "text", ids_co
                     cols.append(pa.array([t is None or decode(own, np.frombuffer(x, np.int32)) == t.replace(SPACE, " ") for t, x in zip(texts, found)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(run, f"{_ddl(df.select(*kept))}`{ids_col}` array<int>" + (f", `{check_col}` boolean" if check_col else ""))
+    return df.mapInArrow(lean(run), f"{_ddl(df.select(*kept))}`{ids_col}` array<int>" + (f", `{check_col}` boolean" if check_col else ""))
 
 
 def _ddl(df: DataFrame) -> str:

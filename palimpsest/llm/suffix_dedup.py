@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix
+from .common import Scratch, lean, prefix
 
 LENGTH, GRAM = 400, 200
 PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 100, 50
@@ -242,7 +242,7 @@ class _Finder:
                     _, h, s, _, _ = cut(group, length, gram)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64))], names=["h", "s"])
 
-        rows = self.texts.select("raw", "spans").mapInArrow(run, "h long, s long")
+        rows = self.texts.select("raw", "spans").mapInArrow(lean(run), "h long, s long")
         grams = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("z")).where("n > 1")
         return self.scratch.keep(grams.select("h", (F.col("a") != F.col("z")).alias("mixed")), "dup-grams")
 
@@ -324,7 +324,7 @@ class _Finder:
             if cols[7]:
                 yield flush()
 
-        return run
+        return lean(run)
 
     def indexed(self, parts: DataFrame) -> DataFrame:
         """(h, s, a, z): ranges of segments that match other segments of their gram, by index shards."""
@@ -354,7 +354,7 @@ class _Finder:
                 yield emit(held)
 
         ordered = parts.select("h", "s", "part").repartition(F.col("h")).sortWithinPartitions("h", "s")
-        return ordered.mapInArrow(run, "h long, s long, a int, z int")
+        return ordered.mapInArrow(lean(run), "h long, s long, a int, z int")
 
     def counted(self, parts: DataFrame) -> DataFrame:
         """The same for grams with very many different segments: window hashes, counted with partial sums."""
@@ -484,7 +484,7 @@ def digest(spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", ove
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds.values()))], names=[id_col, *kinds])
 
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"n_passages": pa.int64(), "text": pa.string()} if cut else {})
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in kinds.items()))
+    return rows.mapInArrow(lean(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in kinds.items()))
 
 
 def whole_words(text: bytes, a: int, z: int) -> int:
@@ -519,4 +519,4 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return found.mapInArrow(run, df.schema)
+    return found.mapInArrow(lean(run), df.schema)
