@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, prefix
+from .common import Scratch, connected_components, lean, prefix
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the Golay code's generator polynomial
 MAX_BITS = 3
@@ -76,7 +76,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     kept = df.select(id_col, F.col(text_col).cast("string"))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(lean(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp long")
 
 
 @lru_cache(1)
@@ -291,7 +291,7 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _candidates(key: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-    """Near pairs under each key of rows that come sorted by key and rep, with whole buckets.
+    """Near pairs (parent, child) under each key of rows that come sorted by key and rep, with whole buckets.
 
     Of large buckets a forest, which chains the same rows as all near pairs would. It grows from the smallest reps: the same
     group meets under many keys, and so gives the same pairs.
@@ -320,7 +320,7 @@ def _candidates(key: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndar
                 todo += left[near].tolist()
                 left = left[~near]
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -374,6 +374,15 @@ def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str
         for columns in whole_buckets(batches):
             yield _candidates(*columns)
 
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[tuple[int, int]] = set()
+        for b in batches:
+            fresh = {(u, v) for p in b.column(0).to_pylist() for v in (min(p),) for u in p if u != v} - said
+            if len(said) > 1_000_000:
+                said.clear()
+            said |= fresh
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*fresh) if fresh else ((), ()))], names=["u", "v"])
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in b.column(2)], pa.binary())
@@ -398,11 +407,14 @@ def similar_pairs(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str
         at = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"u": pa.array(ids[at[:, 0]], pa.int64()), "v": pa.array(ids[at[:, 1]], pa.int64())})
 
-    keyed = distinct.select("fp", "rep").mapInArrow(spread, "key long, low long, high long, rep long")
+    keyed = distinct.select("fp", "rep").mapInArrow(lean(spread), "key long, low long, high long, rep long")
     found = keyed.repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(links, "u long, v long")
-    crowds = scratch.keep(connected_components(scratch.keep(found.where("u <> v").distinct(), "wide-pairs"), scratch), "wide-crowds")
+    # a child has few parents, at most FEW - 1 under a key: all of them are tied to the least, and what the children of a crowd say falls together
+    ties = found.where("u <> v").groupBy("v").agg(F.collect_set("u").alias("p")).select(F.concat("p", F.array("v")).alias("p"))
+    ties = ties.mapInArrow(tie, "u long, v long").distinct()
+    crowds = scratch.keep(connected_components(scratch.keep(ties, "wide-pairs"), scratch), "wide-crowds")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(crowds, F.col("id") == F.col("node")).select("id", F.col("component").alias("crowd"), "text").mapInArrow(sets, "id long, crowd long, shingles binary")
+    held = texts.join(crowds, F.col("id") == F.col("node")).select("id", F.col("component").alias("crowd"), "text").mapInArrow(lean(sets), "id long, crowd long, shingles binary")
     held = scratch.keep(held.dropDuplicates(["id"]), "wide-sets")
     sizes = held.groupBy("crowd").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     sizes = scratch.keep(sizes.select(F.col("crowd").alias("of"), F.greatest("blocks", F.lit(1)).alias("blocks")), "wide-sizes")
@@ -444,7 +456,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kept = df.select(id_col, F.col(text_col).cast("string"))
     scratch = Scratch()
-    fps = scratch.keep(kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp binary"), "wide")
+    fps = scratch.keep(kept.mapInArrow(lean(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp binary"), "wide")
     distinct = scratch.keep(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "wide-distinct")
     parts = connected_components(similar_pairs(df, distinct.where("rep is not null"), id_col, text_col, words, similarity, scratch), scratch)
     classes = scratch.keep(distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "rep").alias("component_id")), "wide-class")
