@@ -32,7 +32,7 @@ CLOSURE = 1.15
 RECALL, TRIALS = 0.98, 256
 LEAST_WIDTH = 16
 DEGREE = 16
-BLOCK = 128
+BLOCK = 1024
 QUERY_BLOCK = 1024
 
 
