@@ -352,3 +352,19 @@ def test_formats(spark):
 def test_terminal(spark):
     rows = [("detect", "analyze", "done"), ("detect", "ocr", "done"), ("scrub", "redact", "done"), ("scrub", "ocr", "error"), ("close", None, None)]
     assert [r[0] for r in one(spark, "c string, p string, s string", rows, readers.terminal(F.col("c"), F.col("p"), F.col("s")))] == [True, False, True, True, False]
+
+
+def test_pages_without_rectangles_see_no_painter(spark):
+    white = bytearray(b"\xff" * 12)
+    pages = spark.createDataFrame([(1, 1, 2, 2, white), (1, 2, 2, 2, bytearray(b"as it is")), (None, 1, 2, 2, white)], "doc_id long, page_num int, width int, height int, pixels binary")
+    rects = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.5, 0.0), (1, 1, 0.0, -9.0, 0.5, 0.0), (2, 1, 0.0, 0.0, 1.0, 1.0), (None, 1, 1.0, 1.0, 9.0, 9.0)], "doc_id long, page_num int, x double, y double, w double, h double")
+    got = {(r.doc_id, r.page_num): (bytes(r.pixels), r.painted) for r in boxes.paint(pages, rects).collect()}
+    assert got == {(1, 1): (b"\0\0\0" + b"\xff" * 9, 1), (1, 2): (b"as it is", 0), (None, 1): (b"\xff" * 9 + b"\0\0\0", 1)}
+
+
+def test_layout_pages_are_those_of_the_words(spark):
+    texts = ["a\nb", None, "", " \n  ", "\n" * 40 + "x", "x" + "\n" * 39 + " \n" + "\n" * 40 + "\t", " a", "a\r\n" * 41]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(r.doc_id, r.page_num) for r in spans.layout_words(docs).collect()}
+    got = [tuple(r) for r in spans.layout_pages(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (5, 3) in want

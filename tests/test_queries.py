@@ -60,3 +60,11 @@ def test_boxes_of_a_number_with_two_spaces(spark, tmp_path):
     sf = made(spark, tmp_path, ["call (555)  555-0100 now", "nothing to see"])
     got = catalogue.queries()["resolve_entity_boxes"](spark, sf).collect()
     assert {(r.doc_id, r.value) for r in got} == {(0, "(555) 555-0100")}
+
+
+def test_painted_pages_detects_once(spark, tmp_path):
+    """The texts are read before the result is: nothing of it depends on them any more."""
+    sf = made(spark, tmp_path, ["mail ann@example.com now", "ann@example.com\n" * 41, "nothing to see", None])
+    got = catalogue.queries()["painted_pages"](spark, sf)
+    assert not any("documents.parquet" in f for f in got.inputFiles())
+    assert {(r.doc_id, r.page_num): r.painted > 0 for r in got.collect()} == {(0, 1): True, (1, 1): True, (1, 2): True, (2, 1): False}
