@@ -368,3 +368,9 @@ def test_layout_pages_are_those_of_the_words(spark):
     want = {(r.doc_id, r.page_num) for r in spans.layout_words(docs).collect()}
     got = [tuple(r) for r in spans.layout_pages(docs).collect()]
     assert len(got) == len(set(got)) and set(got) == want and (5, 3) in want
+
+
+def test_megabytes_round_halves_to_even(spark):
+    sizes = [1310720, 1835008, 131072 * 104_858, -1310720, -20_000, 1, 52_428, 52_429, 9_437_184 * 104_858]
+    got = [r[0] for r in one(spark, "n long", [(n,) for n in sizes], text.megabytes(F.col("n")))]
+    assert got == ["%.1f MB" % (n / 1048576) for n in sizes] and got[:4] == ["1.2 MB", "1.8 MB", "13107.2 MB", "-1.2 MB"]
