@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import accumulate
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -68,15 +71,21 @@ def finder(values: list[str]) -> tuple[ahocorasick.Automaton, ahocorasick.Automa
     return made(values), made([v for v in values if overlaps_itself(v)])
 
 
-def find_on_page(lines: list[list[tuple[str, float, float, float, float]]], values: tuple[ahocorasick.Automaton, ahocorasick.Automaton]) -> Iterator[tuple[str, float, float, float, float]]:
+def find_on_page(
+    lines: list[list[tuple[str, float, float, float, float]]], values: tuple[ahocorasick.Automaton, ahocorasick.Automaton], letterless: bool = False
+) -> Iterator[tuple[str, float, float, float, float]]:
     """(normalised value, x0, y0, x1, y1) for the values of finder() on a page of lines of (normalised word, box).
 
     A value's finds in one run don't overlap, the first comes first; equal boxes (to a tenth of a point, unpadded) of one value count once.
     A run that is another one without its first line holds nothing new but for values that overlap themselves.
+    letterless: words without letters and digits that stand between a find's first and last character belong to its boxes, so those at
+    the end or the beginning of a line widen them.
     """
     boxes = [(min(w[1] for w in ln), min(w[2] for w in ln), max(w[3] for w in ln), max(w[4] for w in ln)) if ln else (0.0, 0.0, 0.0, 0.0) for ln in lines]
     letters = ["".join(w[0] for w in ln) for ln in lines]
     places = [[(i, j, k) for j, w in enumerate(ln) for k in range(len(w[0]))] for i, ln in enumerate(lines)]
+    # words without letters, each with the number of letters before it in its line
+    bare = [[(k, j) for j, (w, k) in enumerate(zip(ln, accumulate((len(w[0]) for w in ln), initial=0))) if not w[0]] if letterless else [] for ln in lines]
     seen: set[tuple] = set()
     before: tuple[int, ...] = ()
     for run in runs_of(boxes):
@@ -84,17 +93,23 @@ def find_on_page(lines: list[list[tuple[str, float, float, float, float]]], valu
         if not len(which):
             continue
         where: list[tuple[int, int, int]] | None = None
+        between: list[tuple[int, int, int]] = []
         behind: dict[str, int] = {}  # the end of a value's last find in this run
         for last, target in which.iter("".join(letters[i] for i in run)):
             at = last + 1 - len(target)
             if at < behind.get(target, 0):
                 continue
             behind[target] = last + 1
-            where = where or [p for i in run for p in places[i]]
+            if where is None:
+                where = [p for i in run for p in places[i]]
+                begins = accumulate((len(letters[i]) for i in run), initial=0)
+                between = [(begin + k, i, j) for begin, i in zip(begins, run) for k, j in bare[i]]
             edge: dict[int, list[float]] = {}
             words: dict[tuple[int, int], list[int]] = {}
             for i, j, k in where[at : last + 1]:
                 words.setdefault((i, j), [k, k])[1] = k
+            for _, i, j in between[bisect_right(between, at, key=itemgetter(0)) : bisect_right(between, last, key=itemgetter(0))]:
+                words[i, j] = [0, -1]
             for (i, j), (low, high) in words.items():
                 name, x0, y0, x1, y1 = lines[i][j]
                 part = (x0, y0, x1, y1) if (low, high + 1) == (0, len(name)) else (x0 + low / len(name) * (x1 - x0), y0, x0 + (high + 1) / len(name) * (x1 - x0), y1)
@@ -134,12 +149,12 @@ def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, list[l
         yield lines_of(held)
 
 
-def match_custom(words: DataFrame, custom: DataFrame, most: int = 100_000, in_order: bool = False) -> DataFrame:
+def match_custom(words: DataFrame, custom: DataFrame, most: int = 100_000, in_order: bool = False, letterless: bool = False) -> DataFrame:
     """(doc_id, page_num, value, type, x0, y0, x1, y1) of custom values on pages of words (with line_idx, word_idx).
 
     The dictionary (value, type) goes to the tasks as automata, so a page costs its letters and its finds and not its letters times
     the values. A dictionary of more than `most` values is cut by a hash into parts of about that many, and the pages meet part after part.
-    in_order: the words come page by page, as layout_words() gives them, and are not shuffled.
+    in_order: the words come page by page, as layout_words() gives them, and are not shuffled. letterless: as in find_on_page().
     """
     given = custom.select("value", "type", norm(F.col("value")).alias("n")).where("n <> ''")
     parts = max(1, math.ceil(given.count() / most))
@@ -159,7 +174,7 @@ def match_custom(words: DataFrame, custom: DataFrame, most: int = 100_000, in_or
             values, names = shared.value
             out: list[tuple] = []
             for doc, page, lines in _pages(batches):
-                out += [(doc, page, v, kind, *b) for n, *b in find_on_page(lines, values) for v, kind in names[n]]
+                out += [(doc, page, v, kind, *b) for n, *b in find_on_page(lines, values, letterless) for v, kind in names[n]]
                 if len(out) > 10_000:
                     yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in out], shape)
                     out = []

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -56,6 +57,19 @@ def test_custom_pii_match_is_brute_force(spark, tmp_path):
     assert Counter((r.doc_id, r.value) for r in catalogue.queries()["custom_pii_match"](spark, sf).collect()) == want
 
 
+def test_custom_pii_match_takes_letterless_words_between(spark, tmp_path):
+    """At the ends of lines, as lines of their own, next to a find and not in it, on two pages, and in finds of one line."""
+    long = "\n" * 39
+    texts = ["xx a\n\u00f1 bx", "xx a \u00f1\nbx", "- xx a\n-\n. ! b -", "- a - b -", long + "a -\n- b", "- a=b\n- a=b -\n- a\n\u00e9 -- b --", "-\n-- plai\n- n -\n-", "of\n- the of -", "078 05\n- 1120 -\n-", None]
+    sf = made(spark, tmp_path, texts)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    for name in ("custom_pii_match", "custom_emitted"):
+        same(catalogue.queries()[name](spark, sf), c, catalogue.oracle_sql()[name])
+    got = {(r.doc_id, r.value): (r.x0, r.x1) for r in catalogue.queries()["custom_pii_match"](spark, sf).where("doc_id < 2 and y1 < 790").collect()}
+    assert got[0, "a=b"] == (-2.0, 20.0)
+
+
 def test_boxes_of_a_number_with_two_spaces(spark, tmp_path):
     sf = made(spark, tmp_path, ["call (555)  555-0100 now", "nothing to see"])
     got = catalogue.queries()["resolve_entity_boxes"](spark, sf).collect()
