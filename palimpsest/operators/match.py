@@ -192,8 +192,12 @@ def emitted(found: DataFrame) -> DataFrame:
 
 
 def all_items(custom: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, place, source, type, value): a document's emitted custom values by page and value, then its model items by offset and label."""
+    """(doc_id, place, source, type, value): a document's emitted custom values by page and value, then its model items by offset and label.
+
+    An item that a chunk's end cut short has the offset and label of the whole one; the value settles which comes first: the short one,
+    whose chunk is the earlier.
+    """
     first = custom.select("doc_id", F.lit(0).alias("s"), F.col("page_num").alias("a"), F.col("value").alias("b"), F.lit("custom").alias("source"), "type", "value")
     then = model.select("doc_id", F.lit(1).alias("s"), F.col("g_start").alias("a"), F.col("label").alias("b"), F.lit("model").alias("source"), "type", "value")
-    order = Window.partitionBy("doc_id").orderBy("s", "a", "b")
+    order = Window.partitionBy("doc_id").orderBy("s", "a", "b", "value", "type")
     return first.unionByName(then).withColumn("place", F.row_number().over(order)).select("doc_id", "place", "source", "type", "value")

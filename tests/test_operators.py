@@ -374,3 +374,13 @@ def test_megabytes_round_halves_to_even(spark):
     sizes = [1310720, 1835008, 131072 * 104_858, -1310720, -20_000, 1, 52_428, 52_429, 9_437_184 * 104_858]
     got = [r[0] for r in one(spark, "n long", [(n,) for n in sizes], text.megabytes(F.col("n")))]
     assert got == ["%.1f MB" % (n / 1048576) for n in sizes] and got[:4] == ["1.2 MB", "1.8 MB", "13107.2 MB", "-1.2 MB"]
+
+
+def test_all_items_order_is_total(spark):
+    """An item that a chunk's end cut short comes before the whole one, in whatever order they are read."""
+    custom = spark.createDataFrame([(1, "b", "other", 2), (1, "a", "other", 2), (1, "c", "other", 1)], "doc_id long, value string, type string, page_num int")
+    model = [(1, 5, "email", "email", "ann@example.com"), (1, 5, "email", "email", "ann@example.co"), (1, 5, "email", "email", "ann@exampl"), (1, 0, "ssn", "ssn", "x")]
+    for rows in (model, model[::-1]):
+        given = spark.createDataFrame(rows, "doc_id long, g_start int, label string, type string, value string").coalesce(1)
+        got = {r.place: r.value for r in match.all_items(custom, given).collect()}
+        assert got == {1: "c", 2: "a", 3: "b", 4: "x", 5: "ann@exampl", 6: "ann@example.co", 7: "ann@example.com"}
